@@ -269,15 +269,17 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     return _encoded(docs, path, id_col, text_col, "ids_sha256 string, decoded_sha256 string", _digest)
 
 
-def _full(ids: np.ndarray, text: bytes) -> tuple:
-    return ids.astype(np.int32).tolist(), text.decode("utf-8", "replace")
+def _full(ids: np.ndarray, cuts: np.ndarray, texts: list[bytes]) -> list[pa.Array]:
+    return [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids.astype(np.int32))), pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())]
 
 
-def _digest(ids: np.ndarray, text: bytes) -> tuple:
-    return hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text).hexdigest()
+def _digest(ids: np.ndarray, cuts: np.ndarray, texts: list[bytes]) -> list[pa.Array]:
+    raw = ids.astype("<u4").tobytes()
+    ids_sha = [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    return [pa.array(ids_sha, pa.string()), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())]
 
 
-def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str, more: str, row) -> DataFrame:
+def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str, more: str, columns) -> DataFrame:
     common.small_batches(docs.sparkSession)
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_tokens bigint, {more}"
     names = [x.split()[0] for x in schema.split(", ")]
@@ -287,9 +289,7 @@ def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str, more: str,
         for batch in batches:
             for part in common.slices(batch, 1, CHUNK):
                 ids, cuts = tok.encode_many(common.column_texts(part.column(1)))
-                decoded = tok.decode_many(ids, cuts)
-                got = [row(ids[a:b], t) for a, b, t in zip(cuts[:-1], cuts[1:], decoded, strict=True)]
-                cols = [part.column(0), pa.array(np.diff(cuts), pa.int64()), *(pa.array(list(c), pa.list_(pa.int32()) if isinstance(c[0], list) else pa.string()) for c in zip(*got, strict=True))]
-                yield pa.RecordBatch.from_arrays(cols, names)
+                made = columns(ids, cuts, tok.decode_many(ids, cuts))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(cuts), pa.int64()), *made], names)
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweft.llm import bpe, linededup, simhash, tokenbin
+from sparkweft.llm import ann, bpe, chat, decontam, htmltext, langid, linededup, simhash, tokenbin, warc
 from sparkweft.llm.common import fresh_path
 
 QUERIES, ORACLES = {}, {}
@@ -26,6 +26,50 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_warc(spark, sf_dir):
+    path = fresh_path(spark, "warc")
+    warc.write_archives(_read(spark, sf_dir, "pages"), path)
+    return warc.records(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
+
+
+ORACLES["op1_warc"] = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS last FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+ CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to, true AS verified FROM m"""
+
+
+@query
+def op2_main_text(spark, sf_dir):
+    return htmltext.extract(_read(spark, sf_dir, "pages"))
+
+
+@query
+def op3_nearest(spark, sf_dir):
+    return ann.search(_read(spark, sf_dir, "embeddings"), F.expr("vec_id % 20 = 0"), k=20)
+
+
+@query
+def op4_chat(spark, sf_dir):
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    return chat.read_back(chat.format_conversations(turns.unionByName(extra)))
+
+
+@query
+def op5_decontamination(spark, sf_dir):
+    return decontam.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+@query
+def op6_language(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~langid.held_out()))
+    return langid.predict(docs, model, ["doc_id", langid.held_out().alias("held_out")])
+
+
 @query
 def op7_bpe(spark, sf_dir):
     return bpe.encode_digests(_read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))

@@ -218,3 +218,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     few hundredths; 32 blocks of 20 bits are the buckets.
     """
     return components(fingerprints(docs, 5, lanes=10, repeats=False, id_col=id_col, text_col=text_col), 32, 1, 97)
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without those that are linked to a smaller doc_id. Rows that share an id stay or go together, rows without id stay."""
+    found = near_components(docs, id_col, text_col)
+    losers = common.staged(found.where("component_id < doc_id").select(F.col("doc_id").alias(id_col)).distinct(), "copies")
+    return docs.join(losers, id_col, "left_anti")
