@@ -23,12 +23,12 @@ from pyspark.sql import functions as F
 
 from sparkweft.llm import common
 
-#: Vectors from which the index is learned, vectors a part should hold, parts at most.
-SAMPLE, PART_ROWS, MAX_PARTS = 6000, 1500, 256
+#: Vectors from which the index is learned, parts at most. There are an eighth of the root of the vectors' number.
+SAMPLE, MAX_PARTS = 6000, 256
 #: Share of the sample's own neighbours that the probed parts must hold; sample queries that are tried.
 TARGET, TRIALS = 0.96, 1000
 #: Vectors and queries that one task compares at most.
-PIECE_ROWS, PIECE_QUERIES = 8192, 4096
+PIECE_ROWS, PIECE_QUERIES = 32768, 4096
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -150,7 +150,7 @@ def learn(x: np.ndarray, rows: int, k: int = 20, target: float = TARGET) -> Rout
     ``target`` of their nearest in the sample. In the whole table the nearest
     are nearer, so this errs to the safe side.
     """
-    parts = int(min(MAX_PARTS, max(1, rows // PART_ROWS), max(1, len(x) // 64)))
+    parts = int(min(MAX_PARTS, max(1, round(rows**0.5 / 8)), max(1, len(x) // 64)))
     if parts < 2:
         return Router(np.zeros((x.shape[1] if x.ndim == 2 else 0, 1)), np.zeros(1), 1)
     graph = neighbour_graph(x, min(k, len(x) - 1))
@@ -229,12 +229,16 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
 
     def compare(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(vectors) or not len(queries):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+            return pd.DataFrame({"query_id": [], "ids": [], "scores": []}).astype({"query_id": "int64", "ids": object, "scores": object})
         q, i, s = best_of(vectors["vec_id"].to_numpy(), matrix(vectors["v"].tolist()), queries["query_id"].to_numpy(), matrix(queries["v"].tolist()), k)
-        return pd.DataFrame({"query_id": q, "vec_id": i, "score": s})
+        cut = np.flatnonzero(np.diff(q)) + 1
+        first = np.concatenate([[0], cut])[: len(q)]
+        return pd.DataFrame({"query_id": q[first], "ids": np.split(i, cut)[: len(first)], "scores": np.split(s, cut)[: len(first)]})
 
     keys = ["part", "a", "b"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "query_id bigint, vec_id bigint, score double")
-    # A query finds k rows a piece at most: the structs of one query are few.
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("m"), "vec_id", "score"))), 1, k).alias("top"))
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "query_id bigint, ids array<bigint>, scores array<double>")
+    # A query has a list of k from each piece at most, so those of one query are few.
+    lists = found.groupBy("query_id").agg(F.flatten(F.collect_list(F.arrays_zip("ids", "scores"))).alias("all"))
+    ranked = F.array_sort(F.transform("all", lambda x: F.struct((-x["scores"]).alias("m"), x["ids"].alias("vec_id"), x["scores"].alias("score"))))
+    best = lists.select("query_id", F.slice(ranked, 1, k).alias("top"))
     return best.select("query_id", F.posexplode("top").alias("pos", "t")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), "t.vec_id", "t.score")
