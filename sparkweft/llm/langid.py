@@ -140,7 +140,7 @@ def predict(docs: DataFrame, model: Model, keep: list[Column | str], text_col: s
     common.small_batches(docs.sparkSession)
     given = docs.select(*keep)
     if text_col not in given.columns:
-        given = given.withColumn("__text", docs[text_col])
+        given = docs.select(*keep, F.col(text_col).alias("__text"))
     out = [f for f in given.schema.fields if f.name != "__text"]
     at = given.columns.index("__text" if "__text" in given.columns else text_col)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in out]
