@@ -155,10 +155,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     last. An empty table gives an empty one. Columns of any name may be there
     besides; those named n_lines and n_dropped are replaced.
     """
-    lost = drops(docs, min_chars, min_docs, batches, id_col, text_col).select(F.col("doc_id").alias("_id"), "dropped")
+    lost = drops(docs, min_chars, min_docs, batches, id_col, text_col).select(F.col("doc_id").alias("__line_doc"), F.col("dropped").alias("__line_gone"))
     rest = docs.drop("n_lines", "n_dropped")
-    joined = rest.join(lost, rest[id_col].eqNullSafe(lost["_id"]), "left")
-    gone = F.coalesce("dropped", F.array().cast("array<int>"))
+    joined = rest.join(lost, rest[id_col].eqNullSafe(lost["__line_doc"]), "left")
+    gone = F.coalesce("__line_gone", F.array().cast("array<int>"))
     lines = text_lines(F.col(text_col))
     numbered = F.arrays_zip(lines.alias("l"), F.sequence(F.lit(0), F.size(lines) - 1).alias("i"))
     kept = F.array_join(F.transform(F.filter(numbered, lambda x: ~F.array_contains(gone, x["i"])), lambda x: x["l"]), "\n")
