@@ -227,7 +227,7 @@ def contaminated(
             index = Index(sent.value, seed)
             types = None
             for batch in batches:
-                for part in common.slices(batch, 1, 4_000_000):
+                for part in common.slices(batch, 1, 1_500_000):
                     texts, keys = common.column_bytes(part.column(1)), part.column(0)
                     rows = []
                     for i, items in index.candidates(texts, seed).items():
