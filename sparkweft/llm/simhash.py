@@ -10,11 +10,16 @@ Inside a bucket not all pairs are made. Few members are compared with each
 other as a matrix that leaves only a spanning forest; many members are sorted
 under masks: two members within distance d agree when the bits in which they
 differ are masked out. Each bucket yields at most one link a member.
+
+Wide fingerprints estimate a similarity. Members that are surely alike leave
+one forest; those whose distance is in doubt leave a few disjoint forests, and
+the links of these are confirmed on the shingle sets themselves.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -128,26 +133,45 @@ def _forest_masks(m: np.ndarray, most: int) -> list[tuple[int, int]]:
     return links
 
 
-def _leaders(m: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """For wide fingerprints: each member is compared with every leader so far and joins all that are near, or leads.
+def bucket_links(members: list[bytes], most: int) -> list[tuple[int, int, bool]]:
+    """Links of a spanning forest of 64-bit members within ``most`` bits; all are sure."""
+    m = np.frombuffer(b"".join(members), ">u8").astype(np.uint64).reshape(len(members), -1)
+    return [(i, j, True) for i, j in (_forest_matrix(m, most) if len(m) <= MATRIX else _forest_masks(m[:, 0], most))]
 
-    Members that no leader is near are compared with the later ones in turn,
-    so the cost is members times leaders, and groups of copies have few.
-    """
-    links, left = [], np.arange(len(m))
-    while len(left):
-        lead, left = left[0], left[1:]
-        near = np.bitwise_count(m[left] ^ m[lead]).sum(1) <= most
-        links += [(int(lead), int(j)) for j in left[near]]
-        left = left[~near]
-    return links
 
+def doubtful_links(members: list[bytes], sure: int, most: int, forests: int) -> list[tuple[int, int, bool]]:
+    """Links of wide members: a forest of those within ``sure`` bits, then ``forests`` disjoint ones of those within ``most``.
 
-def bucket_links(members: list[bytes], most: int) -> list[tuple[int, int]]:
+    What the sure links connect is one node of each later forest. Each row is
+    compared only with members that it isn't connected to, so the copies of
+    one text cost little. A link within ``most`` bits is left out only if that
+    many disjoint ways of other links lead around it.
+    """
     m = np.frombuffer(b"".join(members), ">u8").astype(np.uint64).reshape(len(members), -1)
-    if m.shape[1] > 1:
-        return _leaders(m, most)
-    return _forest_matrix(m, most) if len(m) <= MATRIX else _forest_masks(m[:, 0], most)
+    n, links, root = len(m), [], np.arange(len(m))
+
+    def apart(i: int, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rest = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
+        return rest, np.bitwise_count(m[rest] ^ m[i]).sum(1)
+
+    for i in range(n - 1):
+        rest, bits = apart(i, root)
+        near = rest[bits <= sure]
+        if len(near):
+            groups, first = np.unique(root[near], return_index=True)
+            links += [(i, int(j), True) for j in near[first]]
+            root[np.isin(root, groups)] = root[i]
+    roots = [root.copy() for _ in range(forests)]
+    for i in range(n - 1):
+        rest, bits = apart(i, roots[-1])
+        close = np.flatnonzero(bits <= most)
+        for j in rest[close[np.argsort(bits[close], kind="stable")]].tolist():
+            for level in roots:
+                if level[i] != level[j]:
+                    level[level == level[j]] = level[i]
+                    links.append((i, j, False))
+                    break
+    return links
 
 
 def block_keys(fps: list[bytes], blocks: int, agree: int, splits: int = 1) -> np.ndarray:
@@ -166,11 +190,10 @@ def block_keys(fps: list[bytes], blocks: int, agree: int, splits: int = 1) -> np
     return np.stack(out, axis=1)
 
 
-def links(distinct: DataFrame, blocks: int, agree: int, most: int, splits: int = 1) -> DataFrame:
-    """Links (a, b) between row numbers of distinct fingerprints (n, fp) that are within ``most`` bits.
+def links(distinct: DataFrame, blocks: int, agree: int, find: Callable[[list[bytes]], list[tuple[int, int, bool]]], splits: int = 1) -> DataFrame:
+    """Links (a, b, sure) that ``find`` gives between row numbers of distinct fingerprints (n, fp) in a bucket.
 
-    They connect whatever is within reach inside a bucket, at most one link a
-    member and bucket. Fingerprints are joined to the numbers only in buckets
+    They are few a member and bucket. Fingerprints are joined to the numbers only in buckets
     of two or more.
     """
 
@@ -183,30 +206,72 @@ def links(distinct: DataFrame, blocks: int, agree: int, most: int, splits: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
+            a, b, sure = [], [], []
             for ids, fps in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 order = sorted(range(len(ids)), key=ids.__getitem__)
-                for i, j in bucket_links([fps[k] for k in order], most):
+                for i, j, s in find([fps[k] for k in order]):
                     a.append(ids[order[i]])
                     b.append(ids[order[j]])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                    sure.append(s)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sure, pa.bool_())], ["a", "b", "sure"])
 
     keyed = distinct.select("n", "fp").mapInArrow(keys, "n bigint, keys array<bigint>").select("n", F.posexplode("keys").alias("choice", "key"))
     full = keyed.groupBy("choice", "key").agg(F.collect_list("n").alias("m")).where("size(m) > 1")
     members = full.select("choice", "key", F.explode("m").alias("n")).join(distinct.select("n", "fp"), "n")
     buckets = members.groupBy("choice", "key").agg(F.collect_list(F.struct("n", "fp")).alias("m"))
-    return buckets.select("m.n", "m.fp").mapInArrow(run, "a bigint, b bigint").distinct()
+    return buckets.select("m.n", "m.fp").mapInArrow(run, "a bigint, b bigint, sure boolean").distinct()
+
 
+def confirmed(found: DataFrame, distinct: DataFrame, docs: DataFrame, width: int, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The sure links, and those others whose texts have a Jaccard similarity of ``least`` or more.
 
-def components(prints: DataFrame, blocks: int, agree: int, most: int, splits: int = 1) -> DataFrame:
+    Sets of ``width``-word shingles are made only of texts in such links, once
+    a text. Texts are found by their smallest id: fingerprints that only rows
+    without id have are linked by sure links alone, and ids that several texts
+    share by any of these.
+    """
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [np.unique(shingle_hashes(t, width)).tobytes() for t in common.column_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.large_binary()).cast(pa.binary())], ["id", "s"])
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for x, y in zip(common.column_bytes(batch.column(2)), common.column_bytes(batch.column(3)), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                kept.append(both >= least * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    found = common.staged(found, "links")
+    first = distinct.where("first IS NOT NULL")
+    named = found.where("NOT sure").join(first.select(F.col("n").alias("a"), F.col("first").alias("ida")), "a").join(first.select(F.col("n").alias("b"), F.col("first").alias("idb")), "b")
+    named = common.staged(named.select("a", "b", "ida", "idb"), "doubtful")
+    wanted = common.staged(named.select(F.explode(F.array("ida", "idb")).alias("id")).distinct(), "wanted")
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t")).join(wanted, "id", "left_semi")
+    of = common.staged(texts.mapInArrow(sets, "id bigint, s binary"), "sets")
+    pairs = named.join(of.select(F.col("id").alias("ida"), F.col("s").alias("x")), "ida").join(of.select(F.col("id").alias("idb"), F.col("s").alias("y")), "idb")
+    return found.where("sure").select("a", "b").unionByName(pairs.select("a", "b", "x", "y").mapInArrow(alike, "a bigint, b bigint"))
+
+
+def components(prints: DataFrame, blocks: int, agree: int, most: int) -> DataFrame:
+    """doc_id, fp, component_id of 64-bit fingerprints that are linked within ``most`` bits."""
+    return linked(prints, lambda distinct: links(distinct, blocks, agree, partial(bucket_links, most=most)))
+
+
+def linked(prints: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id that is linked, itself included.
 
+    ``find`` gives links (a, b) between the rows n of distinct fingerprints (n, fp, first: smallest doc_id).
+
     Copies are one fingerprint from the start, so a group of any size costs a
     row. Rows with null doc_id keep a null component unless linked to others.
     """
     prints = common.staged(prints, "fingerprints")
     distinct = common.staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).withColumn("n", F.monotonically_increasing_id()), "distinct")
-    roots = common.connected_components(links(distinct, blocks, agree, most, splits))
+    roots = common.connected_components(find(distinct))
     placed = distinct.join(roots.withColumnRenamed("node", "n"), "n", "inner")
     least = placed.groupBy("root").agg(F.min("first").alias("least"))
     moved = placed.join(least, "root").select("fp", F.col("least").alias("c"))
@@ -215,16 +280,29 @@ def components(prints: DataFrame, blocks: int, agree: int, most: int, splits: in
     return prints.join(known, "fp", "left").select("doc_id", "fp", F.coalesce("c", "doc_id").alias("component_id"))
 
 
+#: The pipeline's near copies: words of a shingle, similarity, 64-bit words of a fingerprint, its blocks and their splits.
+WIDTH, SIMILAR, LANES, BLOCKS, SPLITS = 5, 0.8, 10, 26, 4
+#: Bits within which a link is sure, bits within which it is looked at, disjoint forests of those.
+SURE_BITS, MOST_BITS, FORESTS = 64, 118, 3
+
+
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Components of texts whose 5-word shingle sets have a similarity of about 0.8 or more.
+    """Components of texts whose 5-word shingle sets have a similarity of 0.8 or more.
 
     A Jaccard similarity of 0.8 is a cosine of 0.889, at which SimHash bits
-    differ with probability 0.152. 640 bits tell that from less to within a
-    few hundredths. The buckets are the 26 blocks of 24 or 25 bits, and those of
-    a second split: a similarity of 0.9 shares one with probability 0.97, one
-    of 0.95 nearly always, and unlike texts one in 500,000 pairs.
+    differ with probability 0.152: 97 of 640, with a deviation of 9. Texts
+    within 64 bits (a similarity of 0.8 is 3.6 deviations off) are linked;
+    from there to 118 bits (2.3 deviations beyond) the sets themselves decide.
+    The buckets are 26 blocks of 24 or 25 bits in each of four splits: a
+    similarity of 0.8 shares one with probability 0.84, one of 0.85 with 0.97,
+    one of 0.9 nearly always, and unlike texts one in 160,000 pairs.
     """
-    return components(fingerprints(docs, 5, lanes=10, repeats=False, id_col=id_col, text_col=text_col), 26, 1, 97, splits=2)
+
+    def find(distinct: DataFrame) -> DataFrame:
+        near = partial(doubtful_links, sure=SURE_BITS, most=MOST_BITS, forests=FORESTS)
+        return confirmed(links(distinct, BLOCKS, 1, near, SPLITS), distinct, docs, WIDTH, SIMILAR, id_col, text_col)
+
+    return linked(fingerprints(docs, WIDTH, lanes=LANES, repeats=False, id_col=id_col, text_col=text_col), find)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

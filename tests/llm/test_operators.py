@@ -172,6 +172,51 @@ def test_near_components(spark):
     assert simhash.near_components(docs_of(spark, [])).count() == 0
 
 
+def test_near_components_near_the_threshold(spark):
+    """Copies around a similarity of 0.8, against all pairs: no text is linked that should not be, few links are missed."""
+    rnd = random.Random(7)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
+    texts = []
+    for _ in range(60):
+        base = [rnd.choice(words) for _ in range(rnd.randint(80, 400))]
+        texts.append(base)
+        for _ in range(3):
+            share = rnd.choice([0.01, 0.015, 0.02, 0.025, 0.03])
+            texts.append([rnd.choice(words) if rnd.random() < share else w for w in base])
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                p, q = sorted((root[i], root[j]))
+                root = [p if r == q else r for r in root]
+    got = {r.doc_id: r.component_id for r in simhash.near_components(docs_of(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])).collect()}
+    assert all(root[k] == root[c] for k, c in got.items())
+    missed = sum(got[k] != root[k] for k in got)
+    assert missed <= 0.1 * sum(r != i for i, r in enumerate(root)), missed
+
+
+def test_doubtful_links_connect_what_is_near():
+    """Sure links join what sure pairs join; with all others they join what pairs within the bound do, by few links."""
+    rnd = np.random.default_rng(3)
+    base = rnd.integers(0, 2, (4, 640))
+    rows = np.concatenate([b ^ (rnd.random((60, 640)) < rnd.choice([0.02, 0.06, 0.1], (60, 1))) for b in base])
+    members = [np.packbits(r).tobytes() for r in rows]
+    links = simhash.doubtful_links(members, 64, 118, 3)
+    assert len(links) <= 4 * len(rows)
+
+    def parts(pairs):
+        root = list(range(len(rows)))
+        for i, j in pairs:
+            root = [root[i] if r == root[j] else r for r in root]
+        return [root.index(r) for r in root]
+
+    far = (rows[:, None] ^ rows[None]).sum(2)
+    for most, some in ((64, [x[:2] for x in links if x[2]]), (118, [x[:2] for x in links])):
+        assert parts(some) == parts(np.argwhere(far <= most).tolist())
+        assert all(far[i, j] <= most for i, j in some)
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (200, 200)] + [(300, 300 + i) for i in range(1, 40)]
     got = common.connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
