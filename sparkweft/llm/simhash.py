@@ -21,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import accumulate, combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 
 from sparkweft.llm import common
 
-#: Members up to which a bucket is compared as a matrix.
-MATRIX = 768
+#: Members up to which a bucket is compared as a matrix; block keys that one task makes, about.
+MATRIX, TASK_KEYS = 768, 2_000_000
 
 
 def mix(h: np.ndarray, lane: int) -> np.ndarray:
@@ -193,7 +194,8 @@ def block_keys(fps: list[bytes], blocks: int, agree: int, splits: int = 1) -> np
 def links(distinct: DataFrame, blocks: int, agree: int, find: Callable[[list[bytes]], list[tuple[int, int, bool]]], splits: int = 1) -> DataFrame:
     """Links (a, b, sure) that ``find`` gives between row numbers of distinct fingerprints (n, fp) in a bucket.
 
-    They are few a member and bucket. Fingerprints are joined to the numbers only in buckets
+    They are few a member and bucket. Tasks make a bounded number of keys, as a
+    fingerprint is small beside its keys. Fingerprints are joined to the numbers only in buckets
     of two or more.
     """
 
@@ -215,7 +217,9 @@ def links(distinct: DataFrame, blocks: int, agree: int, find: Callable[[list[byt
                     sure.append(s)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sure, pa.bool_())], ["a", "b", "sure"])
 
-    keyed = distinct.select("n", "fp").mapInArrow(keys, "n bigint, keys array<bigint>").select("n", F.posexplode("keys").alias("choice", "key"))
+    tasks = distinct.count() * comb(blocks, agree) * splits // TASK_KEYS
+    dealt = distinct.select("n", "fp").repartition(max(tasks + 1, distinct.sparkSession.sparkContext.defaultParallelism))
+    keyed = dealt.mapInArrow(keys, "n bigint, keys array<bigint>").select("n", F.posexplode("keys").alias("choice", "key"))
     full = keyed.groupBy("choice", "key").agg(F.collect_list("n").alias("m")).where("size(m) > 1")
     members = full.select("choice", "key", F.explode("m").alias("n")).join(distinct.select("n", "fp"), "n")
     buckets = members.groupBy("choice", "key").agg(F.collect_list(F.struct("n", "fp")).alias("m"))
