@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame
 
 from sparkweft.llm import common, pretoken
 
-#: Pieces whose encoding a worker keeps, and the longest that it keeps.
-CACHE_PIECES, CACHE_LENGTH = 400_000, 64
-#: Bytes of text that are encoded at once.
-CHUNK = 2_000_000
+#: Pieces whose encoding a worker keeps, the longest that it keeps, and answers that its pair table keeps.
+CACHE_PIECES, CACHE_LENGTH, PAIRS = 300_000, 64, 250_000
+#: Bytes of text that are encoded at once; arrays over them take some 60 times as much.
+CHUNK = 500_000
 #: Final symbols are told from inner ones by this distance.
 FINAL = 0x8000
 
@@ -93,7 +93,7 @@ class Backtracking:
     def compatible(self, left: int, right: int) -> bool:
         got = self.pairs.get((left, right))
         if got is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             got = self.pairs[left, right] = self._boundary_stays(left, right)
         return got
@@ -173,7 +173,8 @@ class WordBpe:
         raw = [(strings.get(i, "") + " ").encode() for i in range(max(strings) + 1)]
         self.offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
         self.blob = np.frombuffer(b"".join(raw), np.uint8)
-        self.cache: dict[str, np.ndarray] = {}
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def normalize(self, text: str) -> str:
         """NFC, then lower case character by character (no final sigma). White space needs no rule: it ends pieces either way."""
@@ -187,15 +188,18 @@ class WordBpe:
             text = unicodedata.normalize("NFC", text)
         return text.replace("Σ", "σ").lower()
 
-    def piece_ids(self, piece: str) -> np.ndarray:
+    def piece_ids(self, piece: str) -> bytes:
+        """Ids of a piece as 32-bit integers; as bytes they take a third of an array's memory."""
         got = self.cache.get(piece)
         if got is None:
-            mapped = "".join(map(self.symbol.__getitem__, piece.encode("utf-8", "replace")))
-            marked = mapped[:-1] + chr(ord(mapped[-1]) + FINAL) if self.suffix else mapped
-            got = np.array(self.bpe.encode(marked), np.uint32)
+            got = self.older.get(piece)
+            if got is None:
+                mapped = "".join(map(self.symbol.__getitem__, piece.encode("utf-8", "replace")))
+                marked = mapped[:-1] + chr(ord(mapped[-1]) + FINAL) if self.suffix else mapped
+                got = np.array(self.bpe.encode(marked), np.uint32).tobytes()
             if len(piece) <= CACHE_LENGTH:
-                if len(self.cache) >= CACHE_PIECES:
-                    self.cache.clear()
+                if len(self.cache) >= CACHE_PIECES // 2:  # the half that was filled before goes
+                    self.cache, self.older = {}, self.cache
                 self.cache[piece] = got
         return got
 
@@ -212,8 +216,8 @@ class WordBpe:
         if len(s):
             pieces, which = pretoken.distinct(cp, joined, s, e)
             rows = [self.piece_ids(p) for p in pieces]
-            offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
-            ids, lengths = pretoken.ragged_gather(np.concatenate(rows), offsets, which)
+            offsets = np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])]).astype(np.int64)
+            ids, lengths = pretoken.ragged_gather(np.frombuffer(b"".join(rows), np.uint32), offsets, which)
             ends = np.concatenate([[0], np.cumsum(lengths)])
             cuts = ends[np.searchsorted(s, limits)]
         else:
