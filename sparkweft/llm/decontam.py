@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -152,14 +153,24 @@ def tiles(doc: list[bytes], item: list[bytes], least: int) -> list[tuple[int, in
         if longest > 2 * length:
             length = longest
             continue
-        for n, i, j in sorted(matches):
+        met = bool(matches)
+        heapify(matches)
+        while matches:
+            n, i, j = heappop(matches)
             n = -n
-            if free_a[i : i + n].all() and free_b[j : j + n].all():
+            free = free_a[i : i + n] & free_b[j : j + n]
+            if free.all():
                 free_a[i : i + n] = free_b[j : j + n] = False
                 found.append((j, i, n))
+                continue
+            # Words marked meanwhile cut the match; its parts wait for their turn, short ones for a smaller length.
+            ends = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]])))
+            for x, y in ends.reshape(-1, 2).tolist():
+                if y - x >= length:
+                    heappush(matches, (x - y, i + x, j + x))
         if length == least:
             break
-        length = max(least, length // 2) if not matches or length > 2 * least else max(least, length - 1)
+        length = max(least, length // 2) if not met or length > 2 * least else max(least, length - 1)
     return found
 
 

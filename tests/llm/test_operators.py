@@ -306,6 +306,21 @@ def test_tiles_against_plain():
         assert abs(sum(n for *_, n in got) - sum(plain_tiles(doc, item, 3))) <= 6
 
 
+def test_tiles_cover_what_overlaps():
+    """What a longer tile leaves of a match is a tile of its own."""
+    item = [b"%d" % i for i in range(20)]
+    doc = [b"x", *item[2:10], b"y", *item[8:17], b"z"]
+    assert sorted(n for *_, n in decontam.tiles(doc, item, 5)) == [6, 9]
+    rnd = random.Random(5)
+    for _ in range(300):
+        item = [b"%d" % i for i in range(rnd.randint(20, 40))]
+        doc = []
+        for _ in range(rnd.randint(2, 5)):
+            at = rnd.randrange(len(item) - 5)
+            doc += [*item[at : at + rnd.randint(5, 14)], b"x"]
+        assert sum(n for *_, n in decontam.tiles(doc, item, 5)) == sum(plain_tiles(doc, item, 5))
+
+
 def test_language(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.train(d.where(~langid.held_out()))
