@@ -11,9 +11,8 @@ other as a matrix that leaves only a spanning forest; many members are sorted
 under masks: two members within distance d agree when the bits in which they
 differ are masked out. Each bucket yields at most one link a member.
 
-Wide fingerprints estimate a similarity. Members that are surely alike leave
-one forest; those whose distance is in doubt leave a few disjoint forests, and
-the links of these are confirmed on the shingle sets themselves.
+The pipeline's near copies are told by their shingle sets instead, exactly:
+prefix filters find the candidates, and sets are compared.
 """
 
 from __future__ import annotations
@@ -226,55 +225,22 @@ def links(distinct: DataFrame, blocks: int, agree: int, find: Callable[[list[byt
     return buckets.select("m.n", "m.fp").mapInArrow(run, "a bigint, b bigint, sure boolean").distinct()
 
 
-def confirmed(found: DataFrame, distinct: DataFrame, docs: DataFrame, width: int, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The sure links, and those others whose texts have a Jaccard similarity of ``least`` or more.
-
-    Sets of ``width``-word shingles are made only of texts in such links, once
-    a text. Texts are found by their smallest id: fingerprints that only rows
-    without id have are linked by sure links alone, and ids that several texts
-    share by any of these.
-    """
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [np.unique(shingle_hashes(t, width)).tobytes() for t in common.column_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.large_binary()).cast(pa.binary())], ["id", "s"])
-
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = []
-            for x, y in zip(common.column_bytes(batch.column(2)), common.column_bytes(batch.column(3)), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                kept.append(both >= least * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
-
-    found = common.staged(found, "links")
-    first = distinct.where("first IS NOT NULL")
-    named = found.where("NOT sure").join(first.select(F.col("n").alias("a"), F.col("first").alias("ida")), "a").join(first.select(F.col("n").alias("b"), F.col("first").alias("idb")), "b")
-    named = common.staged(named.select("a", "b", "ida", "idb"), "doubtful")
-    wanted = common.staged(named.select(F.explode(F.array("ida", "idb")).alias("id")).distinct(), "wanted")
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t")).join(wanted, "id", "left_semi")
-    of = common.staged(texts.mapInArrow(sets, "id bigint, s binary"), "sets")
-    pairs = named.join(of.select(F.col("id").alias("ida"), F.col("s").alias("x")), "ida").join(of.select(F.col("id").alias("idb"), F.col("s").alias("y")), "idb")
-    return found.where("sure").select("a", "b").unionByName(pairs.select("a", "b", "x", "y").mapInArrow(alike, "a bigint, b bigint"))
-
-
 def components(prints: DataFrame, blocks: int, agree: int, most: int) -> DataFrame:
     """doc_id, fp, component_id of 64-bit fingerprints that are linked within ``most`` bits."""
     return linked(prints, lambda distinct: links(distinct, blocks, agree, partial(bucket_links, most=most)))
 
 
-def linked(prints: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked(prints: DataFrame, find: Callable[[DataFrame], DataFrame], named: bool = False) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id that is linked, itself included.
 
-    ``find`` gives links (a, b) between the rows n of distinct fingerprints (n, fp, first: smallest doc_id).
+    ``find`` gives links (a, b) between the rows n of distinct fingerprints (n, fp, first: smallest doc_id);
+    if ``named``, a fingerprint is a number and is its own n.
 
     Copies are one fingerprint from the start, so a group of any size costs a
     row. Rows with null doc_id keep a null component unless linked to others.
     """
     prints = common.staged(prints, "fingerprints")
-    distinct = common.staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).withColumn("n", F.monotonically_increasing_id()), "distinct")
+    distinct = common.staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).withColumn("n", F.col("fp") if named else F.monotonically_increasing_id()), "distinct")
     roots = common.connected_components(find(distinct))
     placed = distinct.join(roots.withColumnRenamed("node", "n"), "n", "inner")
     least = placed.groupBy("root").agg(F.min("first").alias("least"))
@@ -284,29 +250,163 @@ def linked(prints: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFra
     return prints.join(known, "fp", "left").select("doc_id", "fp", F.coalesce("c", "doc_id").alias("component_id"))
 
 
-#: The pipeline's near copies: words of a shingle, similarity, 64-bit words of a fingerprint, its blocks and their splits.
-WIDTH, SIMILAR, LANES, BLOCKS, SPLITS = 5, 0.8, 10, 26, 4
-#: Bits within which a link is sure, bits within which it is looked at, disjoint forests of those.
-SURE_BITS, MOST_BITS, FORESTS = 64, 118, 3
+#: The pipeline's near copies: words of a shingle, similarity as a fraction, 64-bit words of a parity map, members of a small bucket.
+WIDTH, PART, WHOLE, MAPS, SMALL = 5, 4, 5, 8, 8
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Components of texts whose 5-word shingle sets have a similarity of 0.8 or more.
-
-    A Jaccard similarity of 0.8 is a cosine of 0.889, at which SimHash bits
-    differ with probability 0.152: 97 of 640, with a deviation of 9. Texts
-    within 64 bits (a similarity of 0.8 is 3.6 deviations off) are linked;
-    from there to 118 bits (2.3 deviations beyond) the sets themselves decide.
-    The buckets are 26 blocks of 24 or 25 bits in each of four splits: a
-    similarity of 0.8 shares one with probability 0.84, one of 0.85 with 0.97,
-    one of 0.9 nearly always, and unlike texts one in 160,000 pairs.
+def _sets(docs: DataFrame, id_col: str, text_col: str, prefix: bool) -> DataFrame:
+    """doc_id, n (a hash of the shingle set), size and, sorted by hash, the shingles: all, or those that seven tenths of the set follow at most."""
+    common.small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, WIDTH)) for t in common.column_bytes(batch.column(1))]
+            n = np.array([xxh64_intdigest(s.tobytes(), WIDTH) for s in sets], np.uint64).view(np.int64)
+            size = np.array([len(s) for s in sets], np.int64)
+            held = [s[: len(s) - len(s) * 7 // 10] for s in sets] if prefix else sets
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in held])]), pa.int32())
+            tokens = pa.array(np.concatenate([np.zeros(0, np.uint64), *held]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(size), pa.ListArray.from_arrays(offsets, tokens)], ["doc_id", "n", "size", "tokens"])
+
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("t"))
+    return rows.mapInArrow(run, "doc_id bigint, n bigint, size bigint, tokens array<bigint>")
+
+
+def _met(sets: DataFrame, what: Callable[..., pa.RecordBatch], schema: str) -> DataFrame:
+    """``what`` of (n, size, token, texts with it) of the shingles that two or more different sets hold, in tasks of a bounded number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [tuple(batch.column(i).to_numpy() for i in range(3)) for batch in batches if batch.num_rows]
+        if not got:
+            return
+        token, n, size = (np.concatenate(x) for x in zip(*got, strict=True))
+        order = np.lexsort((n, token))
+        token, n, size = token[order], n[order], size[order]
+        new = np.ones(len(n), bool)
+        new[1:] = (token[1:] != token[:-1]) | (n[1:] != n[:-1])  # copies count once
+        token, n, size = token[new], n[new], size[new]
+        _, at, times = np.unique(token, return_inverse=True, return_counts=True)
+        many = times[at] > 1
+        yield from what(n[many], size[many], token[many], times[at][many])
+
+    tasks = (sets.agg(F.sum(F.size("tokens"))).first()[0] or 0) // TASK_KEYS
+    rows = sets.select("n", "size", F.explode("tokens").alias("token")).select("token", "n", "size")
+    return rows.repartition(max(tasks + 1, sets.sparkSession.sparkContext.defaultParallelism), "token").mapInArrow(run, schema)
+
+
+def _hits(n: np.ndarray, *_: np.ndarray) -> Iterator[pa.RecordBatch]:
+    nodes, hits = np.unique(n, return_counts=True)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(hits.astype(np.int64))], ["n", "hits"])
+
+
+def _counts(*columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(columns[0]), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000].astype(np.int64)) for c in columns], ["n", "size", "token", "times"])
+
+
+def parity_map(tokens: np.ndarray) -> np.ndarray:
+    """Which of 512 places an odd number of the hashes fall on, as 8 words: two maps differ in no more bits than their sets in members."""
+    odd = np.bincount((tokens.view(np.uint64) & np.uint64(64 * MAPS - 1)).astype(np.int64), minlength=64 * MAPS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """n, size, own (share of shingles that no other set holds), keys, maps, s (the shared shingles) of sets that can have a partner."""
+    for batch in batches:
+        out = []
+        for n, size, seen in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            times, token = (seen.values.field(i).to_numpy() for i in range(2))
+            own, spare = size - len(token), size - -(-PART * size // WHOLE)
+            if own <= spare:
+                keys = token[np.lexsort((token, times))[: spare + 1 - own]]
+                out.append((n, size, own / size, keys.tolist(), parity_map(token).tolist(), own, np.sort(token).tobytes()))
+        names, types = ["n", "size", "share", "keys", "maps", "own", "s"], [pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names)
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        kept = []
+        sizes = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+        for (i, j), x, y in zip(sizes, common.column_bytes(batch.column(4)), common.column_bytes(batch.column(5)), strict=True):
+            both = len(np.intersect1d(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), assume_unique=True))
+            kept.append(WHOLE * both >= PART * (i + j - both))
+        yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+
+def set_links(prints: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) between sets n that connect what all pairs at the similarity connect.
+
+    Exact, by prefix filters. For sets of at most N shingles with 4/5 of N in
+    common, in whatever order, a common shingle that 7/10 of N common ones
+    follow is among the first 3/10 of either, so N/10 of these are shared.
+    Sets that share fewer go, and so do those of whose shingles less than 4/5
+    are left in any other set. The rest are ordered by how many sets hold a
+    shingle, rarest first; a pair shares one of the first n - ceil(4n/5) + 1.
+
+    Inside such a bucket not all pairs are made. In each round some members
+    are compared with all others that they aren't connected to, by confirmed
+    links, and leave the bucket: all in a small bucket, otherwise 1, 8, 64, ... a round. Those with
+    the smallest share of shingles of their own come first, as an original
+    among its edits. A bucket is done when its members are connected or have
+    all been compared.
     """
+    spark = docs.sparkSession
+    sizes = prints.groupBy("n").agg(F.first("size").alias("size"), F.min("doc_id").alias("id"))
+    hits = _met(prints, _hits, "n bigint, hits bigint").groupBy("n").agg(F.sum("hits").alias("hits"))
+    left = common.staged(hits.join(sizes, "n").where("10 * hits >= size").select("n", "id"), "left")
+    # A text is found by an id; its hash tells it from others of the same id.
+    known = docs.join(left.where("id IS NOT NULL").select(F.col("id").alias("_id")).distinct(), F.col(id_col).cast("bigint") == F.col("_id"), "left_semi")
+    again = _sets(known.select(id_col, text_col).unionByName(docs.where(F.col(id_col).isNull()).select(id_col, text_col)), id_col, text_col, prefix=False)
+    again = common.staged(again.join(left.select("n"), "n", "left_semi"), "sets")
+    counts = _met(again, _counts, "n bigint, size bigint, token bigint, times bigint")
+    seen = counts.groupBy("n", "size").agg(F.collect_list(F.struct("times", "token")).alias("seen"))
+    keyed = common.staged(seen.mapInArrow(_keyed, "n bigint, size bigint, share double, keys array<bigint>, maps array<bigint>, own bigint, s binary"), "keyed")
+
+    maps = [f"m{i}" for i in range(MAPS)]
+    members = keyed.select(F.explode("keys").alias("key"), "n", "size", "share", *[F.col("maps")[i].alias(m) for i, m in enumerate(maps)])
+    sets = keyed.select("n", "size", "s")
+    links = tried = roots = None
+    some, more = 1, False
+    while True:
+        # Only buckets that hold unconnected members go on.
+        placed = members.withColumn("c", F.col("n"))
+        if more:
+            roots = common.staged(common.connected_components(links), "roots")
+        if roots is not None:
+            placed = members.join(roots.withColumnRenamed("node", "n"), "n", "left").withColumn("c", F.coalesce("root", "n")).drop("root")
+        open_keys = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("m")).where("x <> y").select("key", "m")
+        placed = common.staged(placed.join(open_keys, "key"), "open")
+        if placed.isEmpty():
+            return links if links is not None else spark.createDataFrame([], "a bigint, b bigint")
+        first = F.min(F.struct("share", F.xxhash64("n").alias("h"), "n", "size", "c", *maps)).alias("r")
+        part = F.when(F.col("m") <= SMALL, F.col("n")).otherwise(F.pmod(F.xxhash64("n", F.lit(some)), F.lit(some)))
+        heads = placed.groupBy("key", part.alias("part")).agg(first)
+        heads = common.staged(heads.select("key", *[F.col(f"r.{x}").alias(f"r_{x}") for x in ("n", "size", "c", *maps)]), "heads")
+        apart = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"r_{m}"))) for m in maps), F.lit(0))
+        near = (F.col("c") != F.col("r_c")) & (WHOLE * F.least("size", "r_size") >= PART * F.greatest("size", "r_size"))
+        # Maps leave out shingles of no other set, so they differ in no more places than the sets do.
+        near &= (PART + WHOLE) * apart <= (WHOLE - PART) * (F.col("size") + F.col("r_size"))
+        pairs = placed.join(heads, "key").where(near).select(F.least("n", "r_n").alias("a"), F.greatest("n", "r_n").alias("b")).distinct()
+        pairs = common.staged(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        both = pairs.join(sets.toDF("a", "i", "x"), "a").join(sets.toDF("b", "j", "y"), "b").select("a", "b", "i", "j", "x", "y")
+        found = common.staged(both.mapInArrow(_alike, "a bigint, b bigint"), "links")
+        links, more = found if links is None else links.unionByName(found), not found.isEmpty()
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        members = placed.drop("c", "m").join(heads.select("key", F.col("r_n").alias("n")), ["key", "n"], "left_anti")
+        some *= 8
 
-    def find(distinct: DataFrame) -> DataFrame:
-        near = partial(doubtful_links, sure=SURE_BITS, most=MOST_BITS, forests=FORESTS)
-        return confirmed(links(distinct, BLOCKS, 1, near, SPLITS), distinct, docs, WIDTH, SIMILAR, id_col, text_col)
 
-    return linked(fingerprints(docs, WIDTH, lanes=LANES, repeats=False, id_col=id_col, text_col=text_col), find)
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Components of texts whose 5-word shingle sets have a similarity of 0.8 or more: all such pairs, and no others.
+
+    Sets are of 64-bit hashes and are told by one; equal sets are one node.
+    """
+    prints = common.staged(_sets(docs, id_col, text_col, prefix=True), "prefixes")
+    nodes = prints.select("doc_id", F.col("n").alias("fp"))
+    return linked(nodes, lambda distinct: set_links(prints, docs, id_col, text_col), named=True)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -196,6 +196,35 @@ def test_near_components_near_the_threshold(spark):
     assert missed <= 0.1 * sum(r != i for i, r in enumerate(root)), missed
 
 
+def near_by_all_pairs(texts):
+    """Smallest number of the texts that are linked at 0.8, from every pair of them."""
+    sets = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in texts]
+    number = {x: k for k, x in enumerate(set().union(*sets))}
+    held = np.zeros((len(texts), len(number)), np.float32)
+    for i, x in enumerate(sets):
+        held[i, [number[y] for y in x]] = 1
+    both, size = held @ held.T, held.sum(1)
+    root = list(range(len(texts)))
+    for i, j in np.argwhere(5 * both >= 4 * (size[:, None] + size - both)).tolist():
+        if root[i] != root[j]:
+            p, q = sorted((root[i], root[j]))
+            root = [p if r == q else r for r in root]
+    return root
+
+
+def test_near_components_of_many_edits(spark):
+    """Independent edits of one original are alike only by way of it."""
+    rnd = random.Random(11)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
+    base = [rnd.choice(words) for _ in range(204)]
+    texts = [[f"new{k}" if i in at else w for i, w in enumerate(base)] for k in range(1000) for at in [{rnd.randrange(10, 195) // 10 * 10 for _ in range(3)}]]
+    texts.insert(700, base)
+    root = near_by_all_pairs(texts)
+    got = {r.doc_id: r.component_id for r in simhash.near_components(docs_of(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])).collect()}
+    assert got == dict(enumerate(root))
+    assert max(root.count(r) for r in set(root)) > 900
+
+
 def test_doubtful_links_connect_what_is_near():
     """Sure links join what sure pairs join; with all others they join what pairs within the bound do, by few links."""
     rnd = np.random.default_rng(3)
