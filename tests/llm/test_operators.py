@@ -225,6 +225,16 @@ def test_near_components_of_many_edits(spark):
     assert max(root.count(r) for r in set(root)) > 900
 
 
+def test_near_components_of_short_texts(spark):
+    """4 against 5 shingles and 12 against 15 are at 0.8: every pair is found."""
+    texts = []
+    for k in range(150):
+        words = [f"w{k}x{i}" for i in range(19)]
+        texts += [words[:9], words[:8]] if k % 2 else [words, words[:16]]
+    got = {r.doc_id: r.component_id for r in simhash.near_components(docs_of(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])).collect()}
+    assert got == dict(enumerate(near_by_all_pairs(texts))) == {i: i // 2 * 2 for i in got}
+
+
 def test_doubtful_links_connect_what_is_near():
     """Sure links join what sure pairs join; with all others they join what pairs within the bound do, by few links."""
     rnd = np.random.default_rng(3)
