@@ -1,11 +1,12 @@
 """Line dedup against levelled sorted runs of line hashes.
 
 A run is a table of (hash, documents, largest doc_id), bucketed and sorted by
-the hash. Each batch of documents is merge-joined with the runs, which tells
-which of its lines are known, and leaves a run of its own at level 0. When a
-level has ``fanout`` runs they are merged into one of the next level. Runs have
-the same buckets, so these joins and merges read them in place: only a batch's
-own rows are shuffled.
+the hash, and no two runs hold the same hash. Each batch of documents is
+merge-anti-joined with the runs: hashes that none holds become a run of their
+own at level 0, the others go to a log of what the batch adds to known hashes.
+When a level has ``fanout`` runs they are merged into one of the next level.
+Runs and logs have the same buckets and are read in their order, so these
+joins neither shuffle nor sort them: only a batch's own rows are shuffled.
 
 Everything is DataFrame functions. A line's hash has 128 bits, two XXH64 with
 different prefixes, so that lines are not taken for others at any corpus size.
@@ -14,6 +15,8 @@ different prefixes, so that lines are not taken for others at any corpus size.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,20 +47,33 @@ def text_lines(text: Column) -> Column:
 
 
 def keyed_lines(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, pos, h1, h2) of each line whose key has at least ``min_chars`` code points."""
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(text_lines(F.col(text_col))).alias("pos", "line"))
-    keys = lines.where(F.char_length("line") >= min_chars).select("doc_id", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
-    return keys.select("doc_id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("#"), "key").alias("h2"))
+    """(doc_id, mark, pos, h1, h2) of each line whose key has at least ``min_chars`` code points; mark is a hash of the text."""
+    lines = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.posexplode(text_lines(F.col(text_col))).alias("pos", "line"))
+    keys = lines.where(F.char_length("line") >= min_chars).select("doc_id", "mark", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
+    return keys.select("doc_id", "mark", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("#"), "key").alias("h2"))
+
+
+@contextmanager
+def sorted_scans(spark: SparkSession) -> Iterator[None]:
+    """Within it, scans of bucketed tables tell the order of buckets that are one file."""
+    key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 @dataclass
 class Runs:
-    """The levelled runs of a corpus, as bucketed tables of the session's warehouse."""
+    """The levelled runs of a corpus and the log of what later batches add, as bucketed tables of the session's warehouse."""
 
     spark: SparkSession
     buckets: int
-    fanout: int = 4
+    fanout: int = 2
     levels: list[list[str]] = field(default_factory=list)
+    log: list[str] = field(default_factory=list)
     name: str = field(default_factory=lambda: f"line_runs_{uuid.uuid4().hex}")
     made: int = 0
 
@@ -67,12 +83,33 @@ class Runs:
         rows.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").saveAsTable(table)
         return table
 
+    def _drop(self, tables: list[str]) -> None:
+        for t in tables:
+            self.spark.sql(f"DROP TABLE {t} PURGE")
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.table(name)
 
+    def names(self) -> list[str]:
+        return [t for level in self.levels for t in level]
+
+    def unknown(self, hashes: DataFrame) -> DataFrame:
+        """The merge-anti-join: rows whose hash no run holds."""
+        for t in self.names():
+            hashes = hashes.hint("merge").join(self.table(t).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+        return hashes
+
     def add(self, counts: DataFrame) -> None:
-        """A batch's (h1, h2, n_docs, last) as a run of level 0; full levels are merged."""
-        self._put(self._write(counts.repartition(self.buckets, "h1", "h2")), 0)
+        """Takes in a batch's (h1, h2, n_docs, last): unknown hashes as a run of level 0, known ones into the log."""
+        batch = self._write(counts.repartition(self.buckets, "h1", "h2"))
+        if not any(self.levels):
+            self._put(batch, 0)
+            return
+        fresh = self._write(self.unknown(self.table(batch)))
+        known = self.table(batch).hint("merge").join(self.table(fresh).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+        self.log.append(self._write(known))
+        self._drop([batch])
+        self._put(fresh, 0)
 
     def _put(self, table: str, level: int) -> None:
         while len(self.levels) <= level:
@@ -81,51 +118,44 @@ class Runs:
         if len(self.levels[level]) >= self.fanout:
             old, self.levels[level] = self.levels[level], []
             merged = self._write(self._merged(old))
-            for t in old:
-                self.spark.sql(f"DROP TABLE {t}")
+            self._drop(old)
             self._put(merged, level + 1)
 
-    def _merged(self, tables: list[str]) -> DataFrame:
+    def _merged(self, tables: list[str], how: str = "full_outer") -> DataFrame:
         out = self.table(tables[0])
         for t in tables[1:]:
             other = self.table(t).select("h1", "h2", F.col("n_docs").alias("n2"), F.col("last").alias("last2"))
-            joined = out.hint("merge").join(other, ["h1", "h2"], "full_outer")
+            joined = out.hint("merge").join(other.hint("merge"), ["h1", "h2"], how)
             zero = F.lit(0).cast("bigint")
             out = joined.select("h1", "h2", (F.coalesce("n_docs", zero) + F.coalesce("n2", zero)).alias("n_docs"), F.greatest("last", "last2").alias("last"))
         return out
 
-    def compact(self) -> DataFrame:
-        """All runs merged into one."""
-        left = [t for level in self.levels for t in level]
+    def compact(self) -> str:
+        """All runs merged into one; its name."""
+        left = self.names()
         if len(left) > 1:
             merged = self._write(self._merged(left))
-            for t in left:
-                self.spark.sql(f"DROP TABLE {t}")
-            left, self.levels = [merged], [*([] for _ in self.levels), [merged]]
-        return self.table(left[0])
+            self._drop(left)
+            self.levels = [*([] for _ in self.levels), [merged]]
+        return self.names()[0]
 
-    def known(self, hashes: DataFrame) -> DataFrame:
-        """Those rows of (h1, h2, ...) whose hash a run holds."""
-        return hashes.join(self.compact().select("h1", "h2"), ["h1", "h2"], "left_semi")
-
-    def unknown(self, hashes: DataFrame) -> DataFrame:
-        """The merge-anti-join: rows whose hash no run holds."""
-        return hashes.join(self.compact().select("h1", "h2"), ["h1", "h2"], "left_anti") if any(self.levels) else hashes
+    def totals(self) -> DataFrame:
+        """(h1, h2, n_docs, last) of every hash, over all batches."""
+        return self._merged([self.compact(), *self.log], "left")
 
     def drop(self) -> None:
-        for t in [t for level in self.levels for t in level]:
-            self.spark.sql(f"DROP TABLE {t}")
-        self.levels = []
+        self._drop([*self.names(), *self.log])
+        self.levels, self.log = [], []
 
 
 def batch_counts(keys: DataFrame) -> DataFrame:
     """(h1, h2, n_docs, last) of a batch; a line that a document repeats counts once."""
-    once = keys.select("doc_id", "h1", "h2").distinct() if "once" not in keys.columns else keys.where("once")
+    once = keys.select("doc_id", "h1", "h2").distinct()
     return once.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last"))
 
 
 def drops(docs: DataFrame, min_chars: int, min_docs: int, batches: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, dropped: positions) of documents that lose lines.
+    """(doc_id, mark, dropped: positions) of the texts that lose lines, one row for each id and text.
 
     The documents go through the runs in ``batches`` parts of equal expected
     size, dealt by a hash of the id. A key's documents are counted over all of
@@ -136,14 +166,36 @@ def drops(docs: DataFrame, min_chars: int, min_docs: int, batches: int, id_col:
     part = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
     path = common.fresh_path(spark, "lines")
     keyed_lines(docs, min_chars, id_col, text_col).withColumn("part", part).write.partitionBy("part").parquet(path)
-    keys = spark.read.schema("doc_id bigint, pos int, h1 bigint, h2 bigint, part int").parquet(path)
-    runs = Runs(spark, int(spark.conf.get("spark.sql.shuffle.partitions")), fanout=max(2, batches // 2))
-    for i in range(batches):
-        runs.add(batch_counts(keys.where(F.col("part") == i)))
-    hot = common.staged(runs.compact().where(F.col("n_docs") >= min_docs).select("h1", "h2", "last"), "frequent")
+    id_type = docs.schema[id_col].dataType.simpleString()
+    keys = spark.read.schema(f"doc_id {id_type}, mark bigint, pos int, h1 bigint, h2 bigint, part int").parquet(path)
+    runs = Runs(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    with sorted_scans(spark):
+        for i in range(batches):
+            runs.add(batch_counts(keys.where(F.col("part") == i)))
+        hot = common.staged(runs.totals().where(F.col("n_docs") >= min_docs).select("h1", "h2", "last"), "frequent")
     runs.drop()
-    lost = keys.select("doc_id", "pos", "h1", "h2").join(hot, ["h1", "h2"]).where("doc_id IS NULL OR doc_id <> last")
-    return lost.groupBy("doc_id").agg(F.collect_set("pos").alias("dropped"))
+    lost = keys.select("doc_id", "mark", "pos", "h1", "h2").join(hot, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("last")))
+    gone = common.staged(lost.groupBy("doc_id", "mark").agg(F.collect_set("pos").alias("dropped")), "dropped")
+    common.remove_path(spark, path)
+    return gone
+
+
+#: Bits of the map of documents that lose lines, which goes to every task.
+MAP_BITS = 1 << 26
+
+
+def may_lose(docs: DataFrame, lost: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` with ``__may``: false only for ids that are not in ``lost``.
+
+    The map is of at most MAP_BITS / 8 bytes, whatever the corpus: ids that
+    share a bit only make it say true too often.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS)) + 1
+    bits = lost.select(bit("doc_id").alias("b")).groupBy(F.bitmap_bucket_number("b").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("__bits"))
+    at = F.bitmap_bit_position(bit(id_col)).cast("int")
+    byte = F.conv(F.hex(F.substring("__bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = docs.withColumn("__bucket", F.bitmap_bucket_number(bit(id_col))).join(F.broadcast(bits), "__bucket", "left")
+    return marked.withColumn("__may", F.coalesce(F.getbit(byte, at % 8) == 1, F.lit(False))).drop("__bucket", "__bits")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,17 +203,24 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
 
     Null and empty texts are one empty line and become empty. A line that a
     document repeats goes or stays as a whole. Rows with equal doc_id count as
-    one document; rows with null doc_id count as a document that is never the
-    last. An empty table gives an empty one. Columns of any name may be there
-    besides; those named n_lines and n_dropped are replaced.
+    one document, whose lines are those of all its rows, and each row loses
+    lines of its own text only; rows with null doc_id count as one document
+    that is never the last. An empty table gives an empty one. Columns of any
+    name may be there besides; those named n_lines and n_dropped are replaced.
+
+    Only documents that a map of fixed size says may lose lines are shuffled.
     """
-    lost = drops(docs, min_chars, min_docs, batches, id_col, text_col).select(F.col("doc_id").alias("__line_doc"), F.col("dropped").alias("__line_gone"))
     rest = docs.drop("n_lines", "n_dropped")
-    joined = rest.join(lost, rest[id_col].eqNullSafe(lost["__line_doc"]), "left")
-    gone = F.coalesce("__line_gone", F.array().cast("array<int>"))
-    lines = text_lines(F.col(text_col))
-    numbered = F.arrays_zip(lines.alias("l"), F.sequence(F.lit(0), F.size(lines) - 1).alias("i"))
-    kept = F.array_join(F.transform(F.filter(numbered, lambda x: ~F.array_contains(gone, x["i"])), lambda x: x["l"]), "\n")
-    text = F.when(F.size(gone) > 0, kept).otherwise(F.coalesce(F.col(text_col), F.lit("")))
-    out = joined.withColumns({"n_lines": F.size(lines).cast("bigint"), "n_dropped": F.size(gone).cast("bigint"), text_col: text})
-    return out.select(*rest.columns, "n_lines", "n_dropped")
+    lost = drops(rest, min_chars, min_docs, batches, id_col, text_col).select(F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark"), F.col("dropped").alias("__gone"))
+    told = may_lose(rest, lost.select(F.col("__doc").alias("doc_id")), id_col).withColumn("__lines", text_lines(F.col(text_col)))
+    size = F.size("__lines").cast("bigint").alias("n_lines")
+    others = [F.col(c) for c in rest.columns]
+    whole = told.where(~F.col("__may")).select(*[F.coalesce(c, F.lit("")).alias(text_col) if n == text_col else c for n, c in zip(rest.columns, others, strict=True)], size, F.lit(0).cast("bigint").alias("n_dropped"))
+    # The text goes on as its lines alone; they are a column of the join's, so that a line is found by its place at once.
+    some = told.where("__may").withColumn("__key", F.xxhash64(text_col)).drop(text_col, "__may")
+    joined = some.join(lost, some[id_col].eqNullSafe(lost["__doc"]) & (F.col("__key") == F.col("__mark")), "left")
+    gone = F.coalesce("__gone", F.array().cast("array<int>"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), gone)
+    text = F.array_join(F.transform(left, lambda i: F.get("__lines", i)), "\n").alias(text_col)
+    cut = joined.select(*[text if n == text_col else some[n] for n in rest.columns], size, F.size(gone).cast("bigint").alias("n_dropped"))
+    return whole.unionByName(cut)

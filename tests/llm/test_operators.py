@@ -273,12 +273,13 @@ def plain_line_dedup(rows, min_chars, min_docs):
         for x in (t or "").split("\n"):
             if len(key(x)) >= min_chars:
                 where.setdefault(key(x), set()).add(k)
-    out = {}
+    out = []
     for k, t in rows:
         lines = (t or "").split("\n")
-        kept = [x for x in lines if len(where.get(key(x), ())) < min_docs or k == max(where[key(x)])]
-        out[k] = (len(lines), len(lines) - len(kept), "\n".join(kept))
-    return out
+        last = lambda held: max((h for h in held if h is not None), default=None)
+        kept = [x for x in lines if len(where.get(key(x), ())) < min_docs or k == last(where[key(x)])]
+        out.append((k, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return sorted(out, key=repr)
 
 
 def test_line_dedup(spark, table):
@@ -286,19 +287,36 @@ def test_line_dedup(spark, table):
     rows = [(r.doc_id, r.text) for r in table.collect()]
     rows += [(1000 + i, f"{common_line if i % 2 else common_line.strip()}\nown {i}\n{common_line.upper() if i == 3 else ''}") for i in range(9)]
     rows += [(2000, None), (2001, ""), (2002, "\n\n"), (2003, f"{common_line}\n{common_line}"), (2004, LONG)]
+    # One id with several texts, and rows without id: each loses its own frequent lines only.
+    unique = "a line that no other document holds and that is long enough"
+    rows += [(1004, f"{unique}\n{common_line}"), (1004, f"keep\nkeep\n{common_line}\n{unique}"), (2003, unique), (None, f"{common_line}\n{unique} 2"), (None, f"{unique} 3\nkeep\n{common_line}"), (None, None), (1004, f"{unique}\n{common_line}")]
+    want = plain_line_dedup(rows, 40, 5)
     got = linededup.dedup_lines(docs_of(spark, rows)).collect()
-    assert {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in got} == plain_line_dedup(rows, 40, 5)
+    assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got), key=repr) == want
     assert got[0].fp == "x" and got[0].dropped == "z"
+    for batches in (1, 3):
+        again = linededup.dedup_lines(docs_of(spark, rows), batches=batches).collect()
+        assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in again), key=repr) == want
     assert linededup.dedup_lines(docs_of(spark, [])).count() == 0
+    assert linededup.dedup_lines(docs_of(spark, [(None, unique)] * 3), min_docs=1).where("n_dropped > 0").count() == 0
 
 
 def test_runs_merge_and_antijoin(spark):
+    """Runs share no hash, logs hold only known ones, and no run is shuffled or sorted when it is joined."""
     runs = linededup.Runs(spark, 4, fanout=2)
-    for i in range(5):
-        runs.add(spark.range(i * 10, i * 10 + 20).select(F.col("id").alias("h1"), F.col("id").alias("h2"), F.lit(1).cast("bigint").alias("n_docs"), F.lit(i).cast("bigint").alias("last")))
-    hashes = spark.range(50, 80).select(F.col("id").alias("h1"), F.col("id").alias("h2"))
-    assert runs.unknown(hashes).count() == 20 and runs.known(hashes).count() == 10
-    assert {r.h1: (r.n_docs, r["last"]) for r in runs.compact().collect()}[10] == (2, 1)
+    counts = lambda a, b, i: spark.range(a, b).select(F.col("id").alias("h1"), F.col("id").alias("h2"), F.lit(1).cast("bigint").alias("n_docs"), F.lit(i).cast("bigint").alias("last"))
+    with linededup.sorted_scans(spark):
+        for i in range(5):
+            runs.add(counts(i * 10, i * 10 + 20, i))
+        held = [r.h1 for t in runs.names() for r in runs.table(t).collect()]
+        assert sorted(held) == list(range(60)) and len(runs.names()) == 2
+        assert [sorted(r.h1 for r in runs.table(t).collect()) for t in runs.log] == [list(range(i * 10, i * 10 + 10)) for i in range(1, 5)]
+        plan = runs.unknown(runs.table(runs.log[0]))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 2 and "Exchange" not in plan and "Sort [" not in plan
+        hashes = counts(50, 80, 9)
+        assert runs.unknown(hashes).count() == 20
+        got = {r.h1: (r.n_docs, r["last"]) for r in runs.totals().collect()}
+    assert got == {k: ((1, 0) if k < 10 else (1, 4) if k >= 50 else (2, k // 10)) for k in range(60)}
     runs.drop()
 
 
