@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkweft.llm import common
@@ -27,19 +27,15 @@ DATE = "2024-01-01T00:00:00Z"
 MIN_REVISIT_BYTES, FILE_RECORDS = 1000, 4096
 
 
-def payload_roles(pages: DataFrame, page_id: str, html: str, least: int) -> DataFrame:
-    """page_id, refers_to of the pages whose payload a page of larger id has too.
+def winners(rows: DataFrame, least: int) -> DataFrame:
+    """digest, n, refers_to: the largest page_id of each payload of ``least`` bytes that several rows have.
 
-    Payloads are told by digest and length. The winners are combined before
-    the shuffle and written, so that the join with a payload that a third of
-    all pages share can be split.
+    Payloads are told by digest and length. They are combined before the
+    shuffle and written, so that the join with a payload that a third of all
+    pages share can be split.
     """
-    body = F.coalesce(F.col(html), F.lit(""))
-    marks = pages.select(F.col(page_id).alias("page_id"), F.sha1(body.cast("binary")).alias("digest"), F.octet_length(body).alias("n")).where(F.col("n") >= least)
-    marks = common.staged(marks, "payloads")
-    first = marks.groupBy("digest", "n").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    first = common.staged(first, "winners")
-    return marks.join(first, ["digest", "n"]).where("page_id < refers_to").select("page_id", "refers_to").distinct()
+    first = rows.where(F.col("n") >= least).groupBy("digest", "n").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    return common.staged(first, "winners")
 
 
 def _uri(page_id: Column) -> Column:
@@ -50,12 +46,13 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
     """A record per row: a response with the HTML, or a revisit of the page that keeps the same payload.
 
     Null HTML is an empty payload, a null url an empty one, control characters
-    in a url are percent-encoded away. Rows that repeat a page_id and payload
-    are all of the same kind. A row without page_id is a response.
+    in a url are percent-encoded away. Rows may repeat a page_id, with any
+    payloads: each is a record, and all that have the largest page_id of their
+    payload are responses. A row without page_id is a response.
     """
-    roles = common.staged(payload_roles(pages, page_id, html, least), "revisits")
-    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    rows = rows.join(roles, "page_id", "left")
+    body = F.coalesce(F.col(html), F.lit(""))
+    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), body.alias("html"), F.sha1(body.cast("binary")).alias("digest"), F.octet_length(body).alias("n"))
+    rows = rows.join(winners(rows.drop("url", "html"), least), ["digest", "n"], "left").withColumn("refers_to", F.when(F.col("page_id") < F.col("refers_to"), F.col("refers_to")))
     revisit = F.col("refers_to").isNotNull()
     block = F.when(revisit, "").otherwise(F.col("html"))
     lines = [
@@ -63,7 +60,7 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
         F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"[\x00-\x20\x7f]", "%20")),
         F.lit(f"WARC-Date: {DATE}"),
         F.concat(F.lit("WARC-Record-ID: "), F.coalesce(_uri(F.col("page_id")), F.lit("<urn:page:>"))),
-        F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.sha1(F.col("html").cast("binary"))),
+        F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest")),
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), _uri(F.col("refers_to")))),
         F.when(revisit, "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
         F.lit("Content-Type: text/html"),
@@ -82,7 +79,7 @@ def _header(name: str, kind: str) -> Column:
 def _fragments(spark: SparkSession, path: str) -> DataFrame:
     """What lies between ``WARC/1.0`` lines, in order of (file, split, row)."""
     text = spark.read.option("lineSep", MAGIC).text(path)
-    return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"), "value")
+    return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"), F.octet_length("value").cast("bigint").alias("size"), "value")
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
@@ -90,9 +87,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
 
     Only lengths and headers are kept, so what follows does not carry payloads.
     """
-    from pyspark.sql import Window
-
-    cut = _fragments(spark, path).withColumn("header", F.substring_index("value", GAP, 1)).withColumn("size", F.octet_length("value").cast("bigint"))
+    cut = _fragments(spark, path).withColumn("header", F.substring_index("value", GAP, 1))
     head = F.octet_length("header") + len(GAP)
     length = F.try_to_number(_header("Content-Length", r"\d{1,18}"), F.lit("9" * 18)).cast("bigint")
     parsed = cut.select(
@@ -105,9 +100,12 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
         F.when(head + length <= F.col("size"), F.sha1(F.substring(F.col("value").cast("binary"), (head + 1).cast("int"), length.cast("int")))).alias("digest"),
     )
     parsed = common.staged(parsed, "fragments")
-    order = Window.partitionBy("file").orderBy("split", "row")
-    before = F.sum(F.col("size") + len(MAGIC)).over(order) - F.col("size") - len(MAGIC)
-    placed = parsed.withColumn("start", before - len(MAGIC))
+    # Offsets are running sums inside a split, after the sums of the splits before it: no task sorts a whole archive.
+    length_of = F.col("size") + len(MAGIC)
+    splits = parsed.groupBy("file", "split").agg(F.sum(length_of).alias("total"))
+    bases = splits.select("file", "split", (F.sum("total").over(Window.partitionBy("file").orderBy("split")) - F.col("total")).alias("base"))
+    inside = F.sum(length_of).over(Window.partitionBy("file", "split").orderBy("row")) - length_of
+    placed = parsed.withColumn("inside", inside).join(bases, ["file", "split"]).withColumn("start", F.col("base") + F.col("inside") - len(MAGIC)).drop("base", "inside", "split", "row")
     return placed.withColumn("next", F.col("start") + len(MAGIC) + F.col("head") + F.col("length") + len(GAP))
 
 
@@ -136,7 +134,7 @@ def _chain(file: pd.DataFrame) -> pd.DataFrame:
     mark = np.zeros(len(start), bool)
     mark[real] = reachable(start[real], nxt[real])
     place = np.maximum.accumulate(np.where(mark, np.arange(len(start)), -1))
-    out = file[["file", "split", "row", "start"]].assign(record=start[np.maximum(place, 0)])
+    out = file[["file", "start"]].assign(record=start[np.maximum(place, 0)])
     return out[place >= 0]
 
 
@@ -147,35 +145,42 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     cut off at the end of its file is kept only as far as its length allows,
     that is, not at all. Payloads with ``WARC/1.0`` lines come as several
     fragments; those are read a second time and put together again, in one
-    record's own group. A revisit has the length and digest of the page that
-    it refers to.
+    record's own group. A revisit has the digest that it states, and the
+    length of the payload of that digest of the page that it refers to; if
+    there is none, the length is null and it is not verified. One task holds
+    the offsets of an archive's candidates, of 24 bytes each, never payloads.
     """
-    found = candidates(spark, path)
-    places = found.select("file", "split", "row", "start", "next").groupBy("file").applyInPandas(_chain, "file string, split bigint, row bigint, start bigint, record bigint")
-    # The offset of a fragment in its file names it; split and row lead back to its bytes.
+    found = common.staged(candidates(spark, path), "candidates")
+    places = found.select("file", "start", "next").groupBy("file").applyInPandas(_chain, "file string, start bigint, record bigint")
     owned = common.staged(places, "chain")
-    heads = found.join(owned.where("start = record").select("file", "start"), ["file", "start"])
-    heads = common.staged(heads, "records")
-    broken = heads.where("digest IS NULL AND length IS NOT NULL").select("file", F.col("start").alias("record"))
+    heads = common.staged(found.join(owned.where("start = record").select("file", "start"), ["file", "start"]), "records")
+    broken = heads.where("digest IS NULL AND length IS NOT NULL").select("file", F.col("start").alias("record"), "head", "length")
     if not broken.isEmpty():
-        heads = heads.join(_rejoined(spark, path, owned, broken, heads), ["file", "start"], "left").withColumn("digest", F.coalesce("digest", "whole")).drop("whole")
+        whole = _rejoined(spark, path, owned, common.staged(broken, "broken"))
+        heads = heads.join(whole, ["file", "start"], "left").withColumn("digest", F.coalesce("digest", "whole")).drop("whole")
     heads = heads.where("digest IS NOT NULL")
     page = F.nullif(F.col("page"), F.lit("")).cast("bigint")
-    rows = heads.select(page.alias("page_id"), "url", F.col("kind").alias("record_type"), F.col("length").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.nullif(F.col("refers"), F.lit("")).cast("bigint").alias("refers_to"), "stated")
+    rows = heads.select(page.alias("page_id"), "url", F.col("kind").alias("record_type"), F.col("length").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.nullif(F.col("refers"), F.lit("")).cast("bigint").alias("refers_to"), F.nullif(F.col("stated"), F.lit("")).alias("stated"))
     full = rows.where("record_type <> 'revisit'").withColumn("verified", F.col("stated") == F.col("payload_digest"))
-    target = common.staged(full.select(F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("_n"), F.col("payload_digest").alias("_d")).distinct(), "targets")
-    again = rows.where("record_type = 'revisit'").join(target, "refers_to", "left")
-    again = again.select("page_id", "url", "record_type", F.col("_n").alias("payload_bytes"), F.col("_d").alias("payload_digest"), "refers_to", "stated", (F.col("stated") == F.col("_d")).alias("verified"))
+    target = common.staged(full.select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("stated"), F.col("payload_bytes").alias("_n")).distinct(), "targets")
+    # A page may have several payloads: the one meant is that of the stated digest.
+    again = rows.where("record_type = 'revisit'").join(target, ["refers_to", "stated"], "left")
+    again = again.select("page_id", "url", "record_type", F.col("_n").alias("payload_bytes"), F.col("stated").alias("payload_digest"), "refers_to", "stated", F.col("_n").isNotNull().alias("verified"))
     return full.unionByName(again).drop("stated")
 
 
-def _rejoined(spark: SparkSession, path: str, owned: DataFrame, broken: DataFrame, heads: DataFrame) -> DataFrame:
-    """file, start, whole: the digest of each payload that lies in several fragments."""
+def _rejoined(spark: SparkSession, path: str, owned: DataFrame, broken: DataFrame) -> DataFrame:
+    """file, start, whole: the digest of each payload that lies in several fragments.
+
+    Their archives are read again. The offsets are summed up anew from that
+    same read, so the fragments are told by offset, however either read was
+    split among executors.
+    """
+    read = _fragments(spark, path).join(broken.select("file").distinct(), "file", "left_semi")
+    before = F.sum(F.col("size") + len(MAGIC)).over(Window.partitionBy("file").orderBy("split", "row")) - F.col("size") - len(MAGIC)
+    text = read.select("file", (before - len(MAGIC)).alias("start"), "value")
     parts = owned.join(broken, ["file", "record"])
-    text = _fragments(spark, path).join(parts, ["file", "split", "row"])
-    joined = text.groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("start", F.col("value").cast("binary").alias("v")))).alias("p"))
-    gap = F.lit(MAGIC).cast("binary")
-    raw = F.aggregate(F.slice("p", F.lit(2), F.greatest(F.size("p") - 1, F.lit(0))), F.element_at("p", 1)["v"], lambda acc, x: F.concat(acc, gap, x["v"]))
-    sized = joined.select("file", F.col("record").alias("start"), raw.alias("raw")).join(heads.select("file", "start", "head", "length"), ["file", "start"])
-    fits = F.octet_length("raw") >= F.col("head") + F.col("length")
-    return sized.where(fits).select("file", "start", F.sha1(F.substring("raw", (F.col("head") + 1).cast("int"), F.col("length").cast("int"))).alias("whole"))
+    joined = text.join(parts, ["file", "start"]).groupBy("file", "record", "head", "length").agg(F.array_sort(F.collect_list(F.struct("start", "value"))).alias("p"))
+    raw = F.array_join(F.transform("p", lambda x: x["value"]), MAGIC).cast("binary")
+    sized = joined.select("file", F.col("record").alias("start"), "head", "length", raw.alias("raw")).where(F.octet_length("raw") >= F.col("head") + F.col("length"))
+    return sized.select("file", "start", F.sha1(F.substring("raw", (F.col("head") + 1).cast("int"), F.col("length").cast("int"))).alias("whole"))

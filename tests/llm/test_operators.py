@@ -415,6 +415,13 @@ def test_warc(spark):
         want.append((k, len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if again else "response", last[h or ""] if again else None))
     assert got == sorted(want)
     assert all(r.verified for r in warc.records(spark, path).collect())
+    again = [(1, "a", big), (1, "b", fake), (1, "c", "small"), (5, "a", big), (7, "b", fake), (7, "c", "WARC/1.0\r\n" * 300), (None, "d", big), (None, None, None)]
+    path = common.fresh_path(spark, "w")
+    fake += "é" * 900
+    warc.write_archives(spark.createDataFrame([(k, u, fake if u == "b" else h) for k, u, h in again], "page_id bigint, url string, html string"), path)
+    rows = sorted(((r.page_id, r.url, r.payload_bytes, r.record_type, r.refers_to, r.verified) for r in warc.records(spark, path).collect()), key=repr)
+    n = len(fake.encode())
+    assert rows == sorted([(1, "a", len(big), "revisit", 5, True), (1, "b", n, "revisit", 7, True), (1, "c", 5, "response", None, True), (5, "a", len(big), "response", None, True), (7, "b", n, "response", None, True), (7, "c", 3000, "response", None, True), (None, "d", len(big), "response", None, True), (None, None, 0, "response", None, True)], key=repr)
     empty = common.fresh_path(spark, "w")
     warc.write_archives(pages.limit(0), empty)
     assert warc.records(spark, empty).count() == 0
@@ -434,6 +441,26 @@ def test_warc_small_splits(spark):
     assert got == {r.page_id: hashlib.sha1(r.html.encode()).hexdigest() for r in pages.collect()}
 
 
+def test_warc_read_again_with_other_splits(spark, monkeypatch):
+    """Between the two reads of a broken payload's archive the splits change."""
+    pages = spark.range(200).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("p\r\n\r\nWARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.0\r\n"), F.repeat(F.lit("y"), (F.col("id") % 70).cast("int")), F.col("id").cast("string")).alias("html"))
+    path = common.fresh_path(spark, "w")
+    warc.write_archives(pages.coalesce(2), path)
+    real, old = warc._rejoined, spark.conf.get("spark.sql.files.maxPartitionBytes")
+
+    def later(*args):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1700")
+        return common.staged(real(*args), "whole")
+
+    monkeypatch.setattr(warc, "_rejoined", later)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        got = {r.page_id: r.payload_digest for r in warc.records(spark, path).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {r.page_id: hashlib.sha1(r.html.encode()).hexdigest() for r in pages.collect()}
+
+
 def test_pointer_jumping():
     start = np.array([0, 5, 7, 12, 20])
     assert warc.reachable(start, np.array([7, 12, 12, 30, 1])).tolist() == [True, False, True, True, False]
