@@ -1,34 +1,35 @@
 """Benchmark decontamination by greedy string tiling.
 
-Texts are lower-cased words. Every run of ``seed`` words of a document is
-hashed (vectorised, over whole Arrow batches) and looked up among the runs of
-the benchmark; documents that share one go on. Between such a document and an
-item the longest common run of unmarked words is marked again and again, found
-by Karp-Rabin hashes of falling length, until none of at least ``seed`` words
-is left. The share of the item's words under marks decides, wherever in the
-document they lie and in whatever order.
+Texts are lower-cased words. Every run of ``seed`` words of a document and of
+an item is hashed. A Bloom filter of the items' hashes, of bounded size, lets
+a task leave out most of a document's before anything is shuffled; what passes
+is joined with the items' hashes, and (document, item) pairs that share enough
+of them go on. In such a pair the longest common run of unmarked words is
+marked again and again, found by Karp-Rabin hashes of falling length, until
+none of at least ``seed`` words is left. The share of the item's words under
+marks decides, wherever in the document they lie and in whatever order.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkweft.llm import common
 
 #: Words of a seed and of the shortest tile; covered share of an item from which a document is contaminated.
 SEED_WORDS, COVERAGE = 5, 0.5
-#: Benchmark bytes that go to the executors at once; a larger benchmark is done in blocks of this size.
-BLOCK_BYTES = 16_000_000
+#: Bits of the Bloom filter for a seed and at most (32 MB), and its probes; a larger benchmark only lets more seeds pass.
+BITS_PER_SEED, MOST_BITS, PROBES = 64, 1 << 28, 4
+#: Items that a document is tiled with at once, word pairs that are compared at once.
+GROUP_ITEMS, PAIRS = 64, 1_000_000
 
 _P, _Q, _MIX = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F, np.uint64(0xBF58476D1CE4E5B9)
-_BLOOM_BITS = 22
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -110,13 +111,46 @@ def seed_hashes(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]
     return h[same], owner[: len(at)][same]
 
 
+def _common_runs(a: np.ndarray, b: np.ndarray, free_a: np.ndarray, free_b: np.ndarray, length: int) -> list[tuple[int, int, int]]:
+    """(-words, place in a, place in b) of every common unmarked run of at least ``length`` words that can't be made longer."""
+
+    def hashed(v: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(v) < length:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        blocked = np.concatenate([[0], np.cumsum(~free)])
+        at = np.flatnonzero(blocked[length:] == blocked[:-length])
+        return at, _ranges(v + np.uint64(1), _Q, at, at + length)
+
+    at_a, hash_a = hashed(a, free_a)
+    at_b, hash_b = hashed(b, free_b)
+    order = np.argsort(hash_a, kind="stable")
+    first, last = (np.searchsorted(hash_a[order], hash_b, side) for side in ("left", "right"))
+    met = np.flatnonzero(last > first)
+    out = []
+    while len(met):
+        some = max(1, int(np.searchsorted(np.cumsum(last[met] - first[met]), PAIRS, side="right")))
+        now, met = met[:some], met[some:]
+        times = last[now] - first[now]
+        j = np.repeat(at_b[now], times)
+        i = at_a[order[np.arange(times.sum()) + np.repeat(first[now] - np.cumsum(times) + times, times)]]
+        inner = (i > 0) & (j > 0) & free_a[i - 1] & free_b[j - 1] & (a[i - 1] == b[j - 1])  # part of one that starts before
+        for x, y in zip(i[~inner].tolist(), j[~inner].tolist(), strict=True):
+            m = min(len(a) - x, len(b) - y)
+            same = (a[x : x + m] == b[y : y + m]) & free_a[x : x + m] & free_b[y : y + m]
+            n = m if same.all() else int(same.argmin())
+            if n >= length:  # else two hashes are equal by chance
+                out.append((-n, x, y))
+    return out
+
+
 def tiles(doc: list[bytes], item: list[bytes], least: int) -> list[tuple[int, int, int]]:
-    """(place in the document, place in the item, words) of the tiles.
+    """(place in the document, place in the item, words) of the tiles, in the order in which they are laid.
 
     Search lengths fall from the longest possible; at each, unmarked runs of
     that length are matched by rolling Karp-Rabin hashes, checked word by
     word, and extended. If a match is far longer than searched for, the search
-    starts again at its length, so longer tiles always come first; ties go to
+    starts again at its length. What a tile leaves of a match waits for its
+    turn as a match of its own, so longer tiles always come first; ties go to
     the earlier place in the item, then in the document.
     """
     number: dict[bytes, int] = {}
@@ -124,36 +158,13 @@ def tiles(doc: list[bytes], item: list[bytes], least: int) -> list[tuple[int, in
     b = np.array([number.get(w, len(number) + i) for i, w in enumerate(doc)], np.uint64)
     free_a, free_b = np.ones(len(a), bool), np.ones(len(b), bool)
     found: list[tuple[int, int, int]] = []
-
-    def runs(v: np.ndarray, free: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(v) < n:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        blocked = np.concatenate([[0], np.cumsum(~free)])
-        at = np.flatnonzero(blocked[n:] == blocked[:-n])
-        return at, _ranges(v + np.uint64(1), _Q, at, at + n)
-
     length = min(len(a), len(b))
     while length >= least:
-        at_a, hash_a = runs(a, free_a, length)
-        at_b, hash_b = runs(b, free_b, length)
-        places = defaultdict(list)
-        for i, h in zip(at_a.tolist(), hash_a.tolist(), strict=True):
-            places[h].append(i)
-        matches, longest = [], 0
-        for k in np.flatnonzero(np.isin(hash_b, hash_a)).tolist():
-            j = int(at_b[k])
-            for i in places[int(hash_b[k])]:
-                if not (a[i : i + length] == b[j : j + length]).all():
-                    continue
-                n = length
-                while i + n < len(a) and j + n < len(b) and free_a[i + n] and free_b[j + n] and a[i + n] == b[j + n]:
-                    n += 1
-                matches.append((-n, i, j))
-                longest = max(longest, n)
+        matches = _common_runs(a, b, free_a, free_b, length)
+        longest = max((-n for n, *_ in matches), default=0)
         if longest > 2 * length:
             length = longest
             continue
-        met = bool(matches)
         heapify(matches)
         while matches:
             n, i, j = heappop(matches)
@@ -163,105 +174,156 @@ def tiles(doc: list[bytes], item: list[bytes], least: int) -> list[tuple[int, in
                 free_a[i : i + n] = free_b[j : j + n] = False
                 found.append((j, i, n))
                 continue
-            # Words marked meanwhile cut the match; its parts wait for their turn, short ones for a smaller length.
+            # Words marked meanwhile cut the match; short remnants are found again at a smaller length.
             ends = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]])))
             for x, y in ends.reshape(-1, 2).tolist():
                 if y - x >= length:
                     heappush(matches, (x - y, i + x, j + x))
         if length == least:
             break
-        length = max(least, length // 2) if not met or length > 2 * least else max(least, length - 1)
+        length = max(least, length // 2)
     return found
 
 
-class Index:
-    """Seeds of a block of benchmark items."""
-
-    def __init__(self, items: list[tuple[int, bytes]], width: int):
-        self.items = {k: words(t) for k, t in items}
-        hashes, owner = seed_hashes([t for _, t in items], width)
-        self.of: dict[int, dict[int, int]] = defaultdict(dict)
-        for h, o in zip(hashes.tolist(), owner.tolist(), strict=True):
-            self.of[h][items[o][0]] = self.of[h].get(items[o][0], 0) + 1
-        self.sorted = np.unique(hashes)
-        self.bloom = np.zeros(1 << _BLOOM_BITS, bool)
-        self.bloom[self.sorted >> np.uint64(64 - _BLOOM_BITS)] = True
-
-    def candidates(self, texts: list[bytes], width: int) -> dict[int, dict[int, int]]:
-        """text -> item -> places in the item at which a shared seed lies."""
-        h, owner = seed_hashes(texts, width)
-        maybe = self.bloom[h >> np.uint64(64 - _BLOOM_BITS)]
-        h, owner = h[maybe], owner[maybe]
-        sure = np.isin(h, self.sorted)
-        out: dict[int, dict[int, int]] = {}
-        for x, o in {*zip(h[sure].tolist(), owner[sure].tolist(), strict=True)}:
-            for item, times in self.of[x].items():
-                row = out.setdefault(o, {})
-                row[item] = row.get(item, 0) + times
-        return out
-
-
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, bytes]]]:
-    """Items in blocks of BLOCK_BYTES, a partition at a time; items without id or text have no part."""
-    block, size = [], 0
-    for r in benchmark.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col).toLocalIterator():
-        raw = r[1].encode()
-        if block and size + len(raw) > BLOCK_BYTES:
-            yield block
-            block, size = [], 0
-        block.append((r[0], raw))
-        size += len(raw)
-    if block:
-        yield block
+def _place(h: np.ndarray, bits: int, probe: int) -> np.ndarray:
+    """Places of the hashes in a Bloom filter of that many bits, a power of two."""
+    x = (h ^ (h >> np.uint64(29 + probe))) * np.uint64((0x9E3779B97F4A7C15 * (2 * probe + 1)) & 0xFFFFFFFFFFFFFFFF)
+    return (x >> np.uint64(65 - bits.bit_length())).astype(np.int64)
+
+
+def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    flat = np.concatenate([np.zeros(0, np.int64), *[r.view(np.int64) for r in rows]])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat).cast(kind))
+
+
+def _items(benchmark: DataFrame, seed: int, id_col: str, text_col: str) -> DataFrame:
+    """k, item_id, text, words, width, seeds, times of each item with a word; k numbers the rows.
+
+    Items of fewer than ``seed`` words have one seed, of all their words.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = common.column_bytes(batch.column(2))
+            size = [len(words(t)) for t in texts]
+            seeds = [np.unique(_seeds([t], min(seed, n))[0], return_counts=True) for t, n in zip(texts, size, strict=True)]
+            width = pa.array([min(seed, n) for n in size], pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size, pa.int32()), width, _lists([h for h, _ in seeds], pa.int64()), _lists([n for _, n in seeds], pa.int64())], ["k", "item_id", "text", "words", "width", "seeds", "times"])
+
+    kind = benchmark.schema[id_col].dataType.simpleString()
+    rows = benchmark.select(F.monotonically_increasing_id().alias("k"), F.col(id_col).alias("item_id"), F.col(text_col).alias("text"))
+    out = rows.where("text IS NOT NULL").mapInArrow(run, f"k bigint, item_id {kind}, text string, words int, width int, seeds array<bigint>, times array<bigint>")
+    return common.staged(out.where("words > 0"), "items")
+
+
+def _seeds(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Seed hashes and owners; those of different widths are kept apart."""
+    h, owner = seed_hashes(texts, width) if width else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    return h + np.uint64(width), owner
+
+
+def _filter(items: DataFrame) -> tuple[int, bytes]:
+    """Bits of a Bloom filter of the items' seeds, and the filter: of 4 MB for 500,000 seeds, of 32 MB at most."""
+    n = items.agg(F.sum(F.size("seeds"))).first()[0] or 0
+    bits = min(MOST_BITS, max(1 << 22, 1 << max(0, BITS_PER_SEED * n - 1).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(0).flatten().to_numpy().view(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([_place(h, bits, k) for k in range(PROBES)])) + 1)], ["at"])
+
+    places = items.select("seeds").mapInArrow(run, "at bigint")
+    rows = places.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in rows.toLocalIterator():
+        part = np.frombuffer(bytes(r.bits), np.uint8)
+        out[(r.bucket - 1) * 4096 :][: len(part)] = part
+    return bits, out.tobytes()
+
+
+def _suspects(docs: DataFrame, items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """n, doc_id, text, seeds of the documents of whose distinct seeds any passes the filter; n numbers the rows."""
+    spark = docs.sparkSession
+    widths = sorted(r.width for r in items.select("width").distinct().collect())  # five at most, by the default seed
+    bits, raw = _filter(items)
+    sent = spark.sparkContext.broadcast(raw)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.frombuffer(sent.value, np.uint8)
+        for batch in batches:
+            for part in common.slices(batch, 1, 1_500_000):
+                texts = common.column_bytes(part.column(1))
+                hashes, owners = [], []
+                for width in widths:
+                    h, owner = _seeds(texts, width)
+                    for k in range(PROBES):
+                        at = _place(h, bits, k)
+                        passed = (held[at >> 3] >> (at & 7)) & 1 > 0
+                        h, owner = h[passed], owner[passed]
+                    hashes.append(h)
+                    owners.append(owner)
+                h, owner = np.concatenate([np.zeros(0, np.uint64), *hashes]), np.concatenate([np.zeros(0, np.int64), *owners])
+                mine = np.unique(owner)
+                rows = part.take(pa.array(mine))
+                yield pa.RecordBatch.from_arrays([*rows.columns, _lists([np.unique(h[owner == i]) for i in mine], pa.int64())], ["doc_id", "text", "seeds"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, text string, seeds array<bigint>")
+    return common.staged(found.withColumn("n", F.monotonically_increasing_id()), "suspects")
 
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, seed: int = SEED_WORDS, coverage: float = COVERAGE,
     id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
-    """doc_id, item_id, coverage, n_tiles, longest for each document that covers that share of an item.
+    """doc_id, item_id, coverage, n_tiles, longest for each document row and item row of which it covers that share.
 
-    Null and empty texts, an empty table or an empty benchmark give no rows;
-    items of fewer than ``seed`` words can't be told from chance and are left
-    out; repeated documents have a row each; items that share an id are taken
-    as one of them, the last read; other columns are not read.
+    Null and empty texts, an empty table or an empty benchmark give no rows.
+    An item of fewer than ``seed`` words is covered by all its words in a row
+    and by nothing less. Repeated documents have a row each; items are told by
+    row, so those that share an id, or have none, are each tested; other
+    columns are not read. The documents are read once at any benchmark size.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
-    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, item_id {benchmark.schema[item_id].dataType.simpleString()}, coverage double, n_tiles bigint, longest bigint"
-    names = ["doc_id", "item_id", "coverage", "n_tiles", "longest"]
-    out = None
-    for block in _blocks(benchmark, item_id, item_text):
-        sent = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = Index(sent.value, seed)
-            types = None
-            for batch in batches:
-                for part in common.slices(batch, 1, 1_500_000):
-                    texts, keys = common.column_bytes(part.column(1)), part.column(0)
-                    rows = []
-                    for i, items in index.candidates(texts, seed).items():
-                        doc = None
-                        for item, shared in items.items():
-                            want = index.items[item]
-                            if shared * seed < coverage * len(want):  # a place covers at most ``seed`` words
-                                continue
-                            doc = doc if doc is not None else words(texts[i])
-                            found = tiles(doc, want, seed)
-                            share = sum(n for _, _, n in found) / len(want)
-                            if share >= coverage:
-                                rows.append((keys[i].as_py(), item, share, len(found), max(n for _, _, n in found)))
-                    types = types or [keys.type, pa.int64() if not isinstance(next(iter(index.items), 0), str) else pa.string(), pa.float64(), pa.int64(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
-
-        found = docs.select(id_col, text_col).mapInArrow(run, schema)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], schema)
+    doc_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
+    items = _items(benchmark, seed, item_id, item_text)
+    suspects = _suspects(docs, items, id_col, text_col)
+    seeds = common.staged(items.select("k", F.explode(F.arrays_zip("seeds", "times")).alias("s")).select("k", F.col("s.seeds").alias("h"), F.col("s.times").alias("times")), "seeds")
+    shared = suspects.select("n", F.explode("seeds").alias("h")).join(seeds, "h").groupBy("n", "k").agg(F.sum("times").alias("shared"))
+    enough = F.col("shared") * F.col("width") >= F.lit(coverage) * F.col("words")  # a place covers at most a seed's words
+    pairs = common.staged(shared.join(items.select("k", "words", "width"), "k").where(enough).select("n", "k"), "pairs")
+    # A document meets its items in groups, so neither many items nor a long text make a row large.
+    group = F.floor((F.row_number().over(Window.partitionBy("n").orderBy("k")) - 1) / GROUP_ITEMS).alias("g")
+    groups = pairs.select("n", "k", group).join(items.select("k", "item_id", "text"), "k").groupBy("n", "g").agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, ids, found = [], [], []
+            texts = common.column_bytes(batch.column(1))
+            lists = batch.column(2)
+            bounds, known, said = lists.offsets.to_pylist(), lists.values.field(0).to_pylist(), common.column_bytes(lists.values.field(1))
+            for i, text in enumerate(texts):
+                doc = words(text)
+                for k in range(bounds[i], bounds[i + 1]):
+                    item = words(said[k])
+                    laid = [n for *_, n in tiles(doc, item, min(seed, len(item)))]
+                    if laid and sum(laid) >= coverage * len(item):
+                        at.append(i)
+                        ids.append(known[k])
+                        found.append((sum(laid) / len(item), len(laid), max(laid)))
+            keys = batch.column(0).take(pa.array(at, pa.int64()))
+            share, count, longest = zip(*found, strict=True) if found else ((), (), ())
+            columns = [keys, pa.array(ids, lists.values.field(0).type), pa.array(share, pa.float64()), pa.array(count, pa.int64()), pa.array(longest, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "coverage", "n_tiles", "longest"])
+
+    rows = suspects.select("n", "doc_id", "text").join(groups, "n").select("doc_id", "text", "items")
+    return rows.mapInArrow(run, f"doc_id {doc_type}, item_id {item_type}, coverage double, n_tiles bigint, longest bigint")
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that cover no item. Rows without doc_id are kept."""
+    """The documents that cover no item. Rows that share the id of one that does go with it, rows without doc_id are kept."""
     id_col = options.get("id_col", "doc_id")
     bad = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias(id_col)).distinct()
     return docs.join(common.staged(bad, "contaminated"), id_col, "left_anti")

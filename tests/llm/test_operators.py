@@ -326,7 +326,15 @@ def test_decontamination(spark):
     rows = [(1, f"before {item.upper()}! after"), (2, "nothing of it here at all really nothing"), (3, " ".join(half[9:]) + " and then other words " + " ".join(half[:9])), (4, " ".join(half[:6])), (5, None), (6, ""), (7, item + " " + LONG), (7, item)]
     bench = spark.createDataFrame([(1, item, "k"), (2, None, "k"), (3, "too short", "k"), (None, item, "k")], "item_id bigint, text string, doc_id string")
     got = decontam.contaminated(docs_of(spark, rows), bench).collect()
-    assert sorted((r.doc_id, r.item_id, r.coverage, r.n_tiles) for r in got) == [(1, 1, 1.0, 1), (3, 1, 1.0, 2), (7, 1, 1.0, 1), (7, 1, 1.0, 1)]
+    want = [(1, 1.0, 1), (3, 1.0, 2), (7, 1.0, 1), (7, 1.0, 1)]
+    assert sorted((r.doc_id, r.coverage, r.n_tiles) for r in got if r.item_id == 1) == sorted((r.doc_id, r.coverage, r.n_tiles) for r in got if r.item_id is None) == want
+    assert len(got) == 8 and got[0].item_id in (1, None)
+    # Items that share an id, ids of another type, items of fewer words than a seed.
+    other = "one item that has the same id but other words in it than the first one has"
+    twice = spark.createDataFrame([(1, item), (1, other), (2, "Tall, warm"), (3, "lazy"), (4, "nothing REALLY"), (5, " . "), (5, "")], "item_id int, text string")
+    more = [*rows, (8, f"x {other} y")]
+    found = decontam.contaminated(docs_of(spark, more).withColumn("doc_id", F.col("doc_id").cast("int")), twice).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(1, 1), (1, 2), (1, 3), (3, 1), (3, 2), (3, 3), (7, 1), (7, 1), (7, 2), (7, 2), (7, 3), (7, 3), (8, 1)]
     assert sorted(r.doc_id for r in decontam.remove_contaminated(docs_of(spark, [*rows, (None, "x")]), bench).collect() if r.doc_id) == [2, 4, 5, 6]
     assert decontam.contaminated(docs_of(spark, rows), bench.limit(0)).count() == 0
     assert decontam.contaminated(docs_of(spark, []), bench).count() == 0
@@ -352,15 +360,50 @@ def plain_tiles(a, b, least):
 
 
 def test_tiles_against_plain():
+    """The same tiles as by trying every pair of places: texts of few words, and shuffled pieces of an item."""
     rnd = random.Random(4)
+    cases = []
     for _ in range(300):
         item = [rnd.choice([b"a", b"b", b"c"]) for _ in range(rnd.randint(5, 25))]
-        doc = [rnd.choice([b"a", b"b", b"c", b"d"]) for _ in range(rnd.randint(0, 30))] + item[rnd.randint(0, 4) :]
-        got = decontam.tiles(doc, item, 3)
+        cases.append(([rnd.choice([b"a", b"b", b"c", b"d"]) for _ in range(rnd.randint(0, 30))] + item[rnd.randint(0, 4) :], item, 3))
+    for _ in range(300):
+        item = [b"%d" % rnd.randrange(60) for _ in range(rnd.randint(5, 40))]
+        cuts = sorted(rnd.sample(range(len(item)), min(3, len(item))))
+        pieces = [item[a:b] for a, b in zip([0, *cuts], [*cuts, len(item)], strict=True)]
+        rnd.shuffle(pieces)
+        cases.append(([w for p in pieces for w in (*p, *[b"x"] * rnd.randint(0, 1))], item, rnd.choice([2, 5])))
+    for doc, item, least in cases:
+        got = decontam.tiles(doc, item, least)
         for j, i, n in got:
             assert doc[j : j + n] == item[i : i + n]
-        assert max((n for *_, n in got), default=0) == max(plain_tiles(doc, item, 3), default=0)
-        assert abs(sum(n for *_, n in got) - sum(plain_tiles(doc, item, 3))) <= 6
+        assert [n for *_, n in got] == plain_tiles(doc, item, least)
+
+
+def test_tiles_of_repetitive_texts():
+    assert [n for *_, n in decontam.tiles([b"w"] * 20_000, [b"w"] * 400, 5)] == [400]
+
+
+def test_decontamination_against_all_pairs(spark, table):
+    """Every document with every item, and the same with an item cut up, moved and dropped into other texts."""
+    bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    rnd = random.Random(6)
+    rows = [(r.doc_id, r.text) for r in table.collect()]
+    items = [(r.item_id, r.text) for r in bench.collect()]
+    for k in range(60):
+        w = rnd.choice(items)[1].split()
+        a, b = sorted(rnd.sample(range(len(w)), 2))
+        rows.append((10_000 + k, " ".join([*w[b:], "so", *w[: a // 2], "and", *w[a:b], rnd.choice(rows)[1] or ""])))
+    got = {(r.doc_id, r.item_id): (r.n_tiles, r.longest, round(r.coverage, 9)) for r in decontam.contaminated(docs_of(spark, rows), bench).collect()}
+    want = {}
+    for k, t in rows:
+        doc = decontam.words((t or "").encode())
+        for i, x in items:
+            item = decontam.words(x.encode())
+            if len({*zip(*[doc[s:] for s in range(5)], strict=False)} & {*zip(*[item[s:] for s in range(5)], strict=False)}):
+                laid = plain_tiles(doc, item, 5)
+                if 2 * sum(laid) >= len(item):
+                    want[k, i] = (len(laid), max(laid), round(sum(laid) / len(item), 9))
+    assert got == want and len(want) > 30
 
 
 def test_tiles_cover_what_overlaps():
