@@ -17,10 +17,12 @@ BATCH_ROWS = 512
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's checkpoint folder.
 
-    Only where none is set (a single machine, as in tests) one is made.
+    Only where none is set, on a single machine as in tests, one is made.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -80,6 +82,25 @@ def slices(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.Record
         yield batch.slice(start)
 
 
+#: Bits of the map that ``maybe_in`` sends to every task: 8 MB.
+MAP_BITS = 1 << 26
+
+
+def maybe_in(rows: DataFrame, column: str, keys: DataFrame, key: str, flag: str) -> DataFrame:
+    """``rows`` with ``flag``: false only if the column's value is not among the keys; null is a value.
+
+    The map of the keys' hashes is of MAP_BITS / 8 bytes at most, whatever
+    their number: values that share a bit only make it say true too often.
+    So it goes to every task, and rows that it tells apart need no shuffle.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS)) + 1
+    bits = keys.select(bit(key).alias("b")).groupBy(F.bitmap_bucket_number("b").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("__bits"))
+    at = F.bitmap_bit_position(bit(column)).cast("int")
+    byte = F.conv(F.hex(F.substring("__bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    told = rows.withColumn("__bucket", F.bitmap_bucket_number(bit(column))).join(F.broadcast(bits), "__bucket", "left")
+    return told.withColumn(flag, F.coalesce(F.getbit(byte, at % 8) == 1, F.lit(False))).select(*rows.columns, flag)
+
+
 def connected_components(edges: DataFrame, node_type: str = "bigint") -> DataFrame:
     """(node, root) for each node of an undirected edge list (a, b).
 

@@ -180,24 +180,6 @@ def drops(docs: DataFrame, min_chars: int, min_docs: int, batches: int, id_col:
     return gone
 
 
-#: Bits of the map of documents that lose lines, which goes to every task.
-MAP_BITS = 1 << 26
-
-
-def may_lose(docs: DataFrame, lost: DataFrame, id_col: str) -> DataFrame:
-    """``docs`` with ``__may``: false only for ids that are not in ``lost``.
-
-    The map is of at most MAP_BITS / 8 bytes, whatever the corpus: ids that
-    share a bit only make it say true too often.
-    """
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS)) + 1
-    bits = lost.select(bit("doc_id").alias("b")).groupBy(F.bitmap_bucket_number("b").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("__bits"))
-    at = F.bitmap_bit_position(bit(id_col)).cast("int")
-    byte = F.conv(F.hex(F.substring("__bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    marked = docs.withColumn("__bucket", F.bitmap_bucket_number(bit(id_col))).join(F.broadcast(bits), "__bucket", "left")
-    return marked.withColumn("__may", F.coalesce(F.getbit(byte, at % 8) == 1, F.lit(False))).drop("__bucket", "__bits")
-
-
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of the documents with ``text`` without the dropped lines, and n_lines, n_dropped.
 
@@ -212,7 +194,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     """
     rest = docs.drop("n_lines", "n_dropped")
     lost = drops(rest, min_chars, min_docs, batches, id_col, text_col).select(F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark"), F.col("dropped").alias("__gone"))
-    told = may_lose(rest, lost.select(F.col("__doc").alias("doc_id")), id_col).withColumn("__lines", text_lines(F.col(text_col)))
+    told = common.maybe_in(rest, id_col, lost, "__doc", "__may").withColumn("__lines", text_lines(F.col(text_col)))
     size = F.size("__lines").cast("bigint").alias("n_lines")
     others = [F.col(c) for c in rest.columns]
     whole = told.where(~F.col("__may")).select(*[F.coalesce(c, F.lit("")).alias(text_col) if n == text_col else c for n, c in zip(rest.columns, others, strict=True)], size, F.lit(0).cast("bigint").alias("n_dropped"))

@@ -78,7 +78,7 @@ def op7_bpe(spark, sf_dir):
 @query
 def op8_simhash(spark, sf_dir):
     prints = simhash.fingerprints(_read(spark, sf_dir, "documents"), width=3)
-    out = simhash.components(prints, blocks=4, agree=2, most=2)
+    out = simhash.components(prints, blocks=4, most=2)
     return out.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 

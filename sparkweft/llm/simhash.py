@@ -3,34 +3,36 @@
 A fingerprint's bit is set if it is set in over half of the hashes of the
 text's word shingles. Two fingerprints that differ in few bits agree in whole
 blocks: of B blocks, at least B - d for d differing bits. So each distinct
-fingerprint is dealt to one bucket per choice of ``agree`` blocks; buckets of
-one are dropped, and inside the others the Hamming distance is verified.
+fingerprint is dealt to one bucket per choice of B - d blocks; buckets of one
+are dropped, large ones are split again by blocks of the bits that are left,
+and inside the others the Hamming distance is verified.
 
 Inside a bucket not all pairs are made. Few members are compared with each
 other as a matrix that leaves only a spanning forest; many members are sorted
 under masks: two members within distance d agree when the bits in which they
 differ are masked out. Each bucket yields at most one link a member.
 
-The pipeline's near copies are told by their shingle sets instead, exactly:
-prefix filters find the candidates, and sets are compared.
+The pipeline's near copies are those whose sets of five-word shingles are
+alike to 0.8. Fingerprints of copies at 0.8 differ in more bits than any
+blocks promise to find, so the blocks come first, their links are confirmed on
+the sets, and prefix filters find what is left: all of it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import partial
 from itertools import accumulate, combinations
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkweft.llm import common
 
-#: Members up to which a bucket is compared as a matrix; block keys that one task makes, about.
-MATRIX, TASK_KEYS = 768, 2_000_000
+#: Members up to which a bucket is compared as a matrix, and from which it is split; keys that one task makes, about.
+MATRIX, SPLIT, TASK_KEYS = 768, 8192, 1_000_000
 
 
 def mix(h: np.ndarray, lane: int) -> np.ndarray:
@@ -133,129 +135,137 @@ def _forest_masks(m: np.ndarray, most: int) -> list[tuple[int, int]]:
     return links
 
 
-def bucket_links(members: list[bytes], most: int) -> list[tuple[int, int, bool]]:
-    """Links of a spanning forest of 64-bit members within ``most`` bits; all are sure."""
-    m = np.frombuffer(b"".join(members), ">u8").astype(np.uint64).reshape(len(members), -1)
-    return [(i, j, True) for i, j in (_forest_matrix(m, most) if len(m) <= MATRIX else _forest_masks(m[:, 0], most))]
+def bucket_links(members: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Links of a spanning forest of 64-bit members within ``most`` bits."""
+    return _forest_matrix(members[:, None], most) if len(members) <= MATRIX else _forest_masks(members, most)
 
 
-def doubtful_links(members: list[bytes], sure: int, most: int, forests: int) -> list[tuple[int, int, bool]]:
-    """Links of wide members: a forest of those within ``sure`` bits, then ``forests`` disjoint ones of those within ``most``.
-
-    What the sure links connect is one node of each later forest. Each row is
-    compared only with members that it isn't connected to, so the copies of
-    one text cost little. A link within ``most`` bits is left out only if that
-    many disjoint ways of other links lead around it.
-    """
-    m = np.frombuffer(b"".join(members), ">u8").astype(np.uint64).reshape(len(members), -1)
-    n, links, root = len(m), [], np.arange(len(m))
-
-    def apart(i: int, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rest = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
-        return rest, np.bitwise_count(m[rest] ^ m[i]).sum(1)
-
-    for i in range(n - 1):
-        rest, bits = apart(i, root)
-        near = rest[bits <= sure]
-        if len(near):
-            groups, first = np.unique(root[near], return_index=True)
-            links += [(i, int(j), True) for j in near[first]]
-            root[np.isin(root, groups)] = root[i]
-    roots = [root.copy() for _ in range(forests)]
-    for i in range(n - 1):
-        rest, bits = apart(i, roots[-1])
-        close = np.flatnonzero(bits <= most)
-        for j in rest[close[np.argsort(bits[close], kind="stable")]].tolist():
-            for level in roots:
-                if level[i] != level[j]:
-                    level[level == level[j]] = level[i]
-                    links.append((i, j, False))
-                    break
-    return links
-
-
-def block_keys(fps: list[bytes], blocks: int, agree: int, splits: int = 1) -> np.ndarray:
-    """For each fingerprint, the bits of every choice of ``agree`` blocks as a number: (fingerprints, choices).
-
-    Each further split cuts the bits, put in another fixed order, into blocks again.
-    """
-    bits = np.unpackbits(np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1), axis=1)
-    cuts = [bits.shape[1] * i // blocks for i in range(blocks + 1)]
+def block_keys(fps: np.ndarray, places: np.ndarray, blocks: int, agree: int) -> np.ndarray:
+    """For each fingerprint, its bits at every choice of ``agree`` blocks of those places as a number: (fingerprints, choices)."""
+    bits = (fps[:, None] >> places.astype(np.uint64)) & np.uint64(1)
+    cuts = [len(places) * i // blocks for i in range(blocks + 1)]
     out = []
-    for split in range(splits):
-        order = np.random.default_rng(split).permutation(bits.shape[1]) if split else np.arange(bits.shape[1])
-        for choice in combinations(range(blocks), agree):
-            taken = order[np.concatenate([np.arange(cuts[i], cuts[i + 1]) for i in choice])]
-            out.append(bits[:, taken].astype(np.int64) @ (np.int64(1) << np.arange(len(taken), dtype=np.int64)))
+    for choice in combinations(range(blocks), agree):
+        taken = np.concatenate([np.arange(cuts[i], cuts[i + 1]) for i in choice])
+        out.append((bits[:, taken] << np.arange(len(taken), dtype=np.uint64)).sum(1, dtype=np.uint64).view(np.int64))
     return np.stack(out, axis=1)
 
 
-def links(distinct: DataFrame, blocks: int, agree: int, find: Callable[[list[bytes]], list[tuple[int, int, bool]]], splits: int = 1) -> DataFrame:
-    """Links (a, b, sure) that ``find`` gives between row numbers of distinct fingerprints (n, fp) in a bucket.
+def _words(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), ">u8").astype(np.uint64)
+
+
+def links(distinct: DataFrame, blocks: int, most: int, split: int = SPLIT) -> DataFrame:
+    """Links (a, b) that connect, in buckets, the row numbers of distinct 64-bit fingerprints (n, fp) within ``most`` bits.
 
-    They are few a member and bucket. Tasks make a bounded number of keys, as a
-    fingerprint is small beside its keys. Fingerprints are joined to the numbers only in buckets
-    of two or more.
+    They are few a member and bucket. Tasks make a bounded number of keys, as
+    a fingerprint is small beside its keys. Buckets are runs of sorted rows; a
+    bucket of over ``split`` members is dealt out again, by choices of blocks
+    of the bits that its own key leaves open.
     """
+    agree, every = blocks - most, np.arange(64)
+    choices = [np.setdiff1d(every, np.concatenate([every[64 * i // blocks : 64 * (i + 1) // blocks] for i in c])) for c in combinations(range(blocks), agree)]
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                k = block_keys(batch.column(1).to_pylist(), blocks, agree, splits)
+                k = block_keys(_words(batch.column(1)), every, blocks, agree)
                 offsets = pa.array(np.arange(len(k) + 1) * k.shape[1], pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(k.ravel()))], ["n", "keys"])
 
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m, choice, fps = batch.column(4).to_numpy(), batch.column(2).to_numpy(), _words(batch.column(1))
+            rows, part, sub = [np.flatnonzero(m <= split)], [np.full((m <= split).sum(), -1)], [np.zeros((m <= split).sum(), np.int64)]
+            for c in np.unique(choice[m > split]):
+                at = np.flatnonzero((choice == c) & (m > split))
+                k = block_keys(fps[at], choices[c], blocks, agree)
+                rows.append(np.repeat(at, k.shape[1]))
+                part.append(np.tile(np.arange(k.shape[1]), len(at)))
+                sub.append(k.ravel())
+            out = batch.take(pa.array(np.concatenate(rows)))
+            yield pa.RecordBatch.from_arrays([*out.columns[:4], pa.array(np.concatenate(part), pa.int32()), pa.array(np.concatenate(sub))], ["n", "fp", "choice", "key", "part", "sub"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 6
+
+        def found(upto: int) -> pa.RecordBatch:
+            """Links of the whole buckets at the front of the rows held."""
+            edge = np.any([np.diff(x[:upto]) != 0 for x in held[2:]], axis=0) if upto else np.zeros(0, bool)
+            cuts = np.concatenate([[0], np.flatnonzero(edge) + 1, [upto]])
+            a, b = [], []
+            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if y - x > 1:
+                    for i, j in bucket_links(held[1][x:y], most):
+                        a.append(held[0][x + i])
+                        b.append(held[0][x + j])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
         for batch in batches:
-            a, b, sure = [], [], []
-            for ids, fps in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                order = sorted(range(len(ids)), key=ids.__getitem__)
-                for i, j, s in find([fps[k] for k in order]):
-                    a.append(ids[order[i]])
-                    b.append(ids[order[j]])
-                    sure.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sure, pa.bool_())], ["a", "b", "sure"])
-
-    tasks = distinct.count() * comb(blocks, agree) * splits // TASK_KEYS
+            if not batch.num_rows:
+                continue
+            new = [_words(batch.column(1)) if i == 1 else batch.column(i).to_numpy() for i in range(6)]
+            held = [np.concatenate([x.astype(y.dtype), y]) for x, y in zip(held, new, strict=True)]
+            last = np.all([x == x[-1] for x in held[2:]], axis=0)
+            upto = len(last) - int(np.argmin(last[::-1])) if not last.all() else 0
+            if upto:
+                yield found(upto)
+                held = [x[upto:] for x in held]
+        yield found(len(held[0]))
+
+    tasks = distinct.count() * comb(blocks, agree) // TASK_KEYS
     dealt = distinct.select("n", "fp").repartition(max(tasks + 1, distinct.sparkSession.sparkContext.defaultParallelism))
     keyed = dealt.mapInArrow(keys, "n bigint, keys array<bigint>").select("n", F.posexplode("keys").alias("choice", "key"))
-    full = keyed.groupBy("choice", "key").agg(F.collect_list("n").alias("m")).where("size(m) > 1")
-    members = full.select("choice", "key", F.explode("m").alias("n")).join(distinct.select("n", "fp"), "n")
-    buckets = members.groupBy("choice", "key").agg(F.collect_list(F.struct("n", "fp")).alias("m"))
-    return buckets.select("m.n", "m.fp").mapInArrow(run, "a bigint, b bigint, sure boolean").distinct()
+    met = keyed.withColumn("m", F.count("*").over(Window.partitionBy("choice", "key"))).where("m > 1")
+    members = met.join(distinct.select("n", "fp"), "n").select("n", "fp", "choice", "key", "m")
+    buckets = ["choice", "key", "part", "sub"]
+    spread = members.mapInArrow(deal, "n bigint, fp binary, choice int, key bigint, part int, sub bigint").repartition(*buckets).sortWithinPartitions(*buckets, "n")
+    return spread.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def components(prints: DataFrame, blocks: int, agree: int, most: int) -> DataFrame:
+def components(prints: DataFrame, blocks: int, most: int) -> DataFrame:
     """doc_id, fp, component_id of 64-bit fingerprints that are linked within ``most`` bits."""
-    return linked(prints, lambda distinct: links(distinct, blocks, agree, partial(bucket_links, most=most)))
+    prints = common.staged(prints, "fingerprints")
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"))
+    distinct = common.staged(distinct.withColumn("n", F.monotonically_increasing_id()), "distinct")
+    return linked(prints, distinct, links(distinct, blocks, most))
 
 
-def linked(prints: DataFrame, find: Callable[[DataFrame], DataFrame], named: bool = False) -> DataFrame:
+def linked(prints: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id that is linked, itself included.
 
-    ``find`` gives links (a, b) between the rows n of distinct fingerprints (n, fp, first: smallest doc_id);
-    if ``named``, a fingerprint is a number and is its own n.
+    ``edges`` (a, b) are between the n of distinct fingerprints (n, fp, rows
+    that have it, first: smallest doc_id). Both tables are written ones.
 
     Copies are one fingerprint from the start, so a group of any size costs a
     row. Rows with null doc_id keep a null component unless linked to others.
     """
-    prints = common.staged(prints, "fingerprints")
-    distinct = common.staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).withColumn("n", F.col("fp") if named else F.monotonically_increasing_id()), "distinct")
-    roots = common.connected_components(find(distinct))
+    roots = common.connected_components(edges)
     placed = distinct.join(roots.withColumnRenamed("node", "n"), "n", "inner")
     least = placed.groupBy("root").agg(F.min("first").alias("least"))
     moved = placed.join(least, "root").select("fp", F.col("least").alias("c"))
     alone = distinct.join(roots.select(F.col("node").alias("n")), "n", "left_anti").where("rows > 1").select("fp", F.col("first").alias("c"))
     known = common.staged(moved.unionByName(alone), "components")
-    return prints.join(known, "fp", "left").select("doc_id", "fp", F.coalesce("c", "doc_id").alias("component_id"))
+    return prints.select("doc_id", "fp").join(known, "fp", "left").select("doc_id", "fp", F.coalesce("c", "doc_id").alias("component_id"))
 
 
 #: The pipeline's near copies: words of a shingle, similarity as a fraction, 64-bit words of a parity map, members of a small bucket.
 WIDTH, PART, WHOLE, MAPS, SMALL = 5, 4, 5, 8, 8
+#: Shingles whose frequency is told in the order of a prefix filter, and the share of sets (one in so many) that it is estimated on.
+FREQUENT, EVERY = 100_000, 8
+
 
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    flat = np.concatenate([rows[0][:0], *rows]) if rows else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rows])]), pa.int32()), pa.array(flat))
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, prefix: bool) -> DataFrame:
-    """doc_id, n (a hash of the shingle set), size and, sorted by hash, the shingles: all, or those that seven tenths of the set follow at most."""
+
+def _sets(docs: DataFrame, prefix: bool) -> DataFrame:
+    """Of (doc_id, t): doc_id, fp (a hash of the shingle set), size, the set's 64-bit fingerprint and shingles.
+
+    The shingles are all, sorted by hash, or 32 bits of those that seven
+    tenths of the set follow at most.
+    """
     common.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,47 +273,62 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, prefix: bool) -> DataFram
 
         for batch in batches:
             sets = [np.unique(shingle_hashes(t, WIDTH)) for t in common.column_bytes(batch.column(1))]
-            n = np.array([xxh64_intdigest(s.tobytes(), WIDTH) for s in sets], np.uint64).view(np.int64)
+            fp = np.array([xxh64_intdigest(s.tobytes(), WIDTH) for s in sets], np.uint64).view(np.int64)
             size = np.array([len(s) for s in sets], np.int64)
-            held = [s[: len(s) - len(s) * 7 // 10] for s in sets] if prefix else sets
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in held])]), pa.int32())
-            tokens = pa.array(np.concatenate([np.zeros(0, np.uint64), *held]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(size), pa.ListArray.from_arrays(offsets, tokens)], ["doc_id", "n", "size", "tokens"])
-
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(run, "doc_id bigint, n bigint, size bigint, tokens array<bigint>")
-
-
-def _met(sets: DataFrame, what: Callable[..., pa.RecordBatch], schema: str) -> DataFrame:
-    """``what`` of (n, size, token, texts with it) of the shingles that two or more different sets hold, in tasks of a bounded number."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [tuple(batch.column(i).to_numpy() for i in range(3)) for batch in batches if batch.num_rows]
-        if not got:
-            return
-        token, n, size = (np.concatenate(x) for x in zip(*got, strict=True))
-        order = np.lexsort((n, token))
-        token, n, size = token[order], n[order], size[order]
-        new = np.ones(len(n), bool)
-        new[1:] = (token[1:] != token[:-1]) | (n[1:] != n[:-1])  # copies count once
-        token, n, size = token[new], n[new], size[new]
-        _, at, times = np.unique(token, return_inverse=True, return_counts=True)
-        many = times[at] > 1
-        yield from what(n[many], size[many], token[many], times[at][many])
-
-    tasks = (sets.agg(F.sum(F.size("tokens"))).first()[0] or 0) // TASK_KEYS
-    rows = sets.select("n", "size", F.explode("tokens").alias("token")).select("token", "n", "size")
-    return rows.repartition(max(tasks + 1, sets.sparkSession.sparkContext.defaultParallelism), "token").mapInArrow(run, schema)
-
-
-def _hits(n: np.ndarray, *_: np.ndarray) -> Iterator[pa.RecordBatch]:
-    nodes, hits = np.unique(n, return_counts=True)
-    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(hits.astype(np.int64))], ["n", "hits"])
+            if prefix:
+                held = [np.unique(s[: len(s) - len(s) * 7 // 10].astype(np.uint32)).view(np.int32) for s in sets]
+                marks = [fingerprint(s, 1) for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), pa.array(size), pa.array(marks, pa.binary()), _lists(held)], ["doc_id", "fp", "size", "mark", "tokens"])
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(size), _lists([s.view(np.int64) for s in sets])], ["n", "size", "tokens"])
+
+    rows = docs.select("doc_id", "t").mapInArrow(run, "doc_id bigint, fp bigint, size bigint, mark binary, tokens array<int>" if prefix else "n bigint, size bigint, tokens array<bigint>")
+    return rows.withColumn("row", F.monotonically_increasing_id()) if prefix else rows
+
+
+def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each row, how many of its shingles here another row has too."""
+    got = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches if batch.num_rows]
+    if got:
+        token, row = (np.concatenate(x) for x in zip(*got, strict=True))
+        got.clear()
+        order = np.argsort(token, kind="stable")
+        token = token[order]
+        same = token[1:] == token[:-1]
+        rows, hits = np.unique(row[order[np.append(same, False) | np.append(False, same)]], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(hits.astype(np.int64))], ["row", "hits"])
+
+
+def _one_of_each(rows: DataFrame, key: str) -> DataFrame:
+    """The row of smallest ``row`` of each value of ``key``. A map of fixed size tells most rows at once that they are alone, so only the others travel."""
+    first = common.staged(rows.groupBy(key).agg(F.min("row").alias("row"), F.count("*").alias("n_rows")), "firsts")
+    told = common.maybe_in(rows, key, first.where("n_rows > 1"), key, "again")
+    return told.where(~F.col("again")).unionByName(told.where("again").join(first.select("row"), "row", "left_semi").select(told.columns)).drop("again")
+
+
+def _may_have_partner(held: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Those distinct sets that share a tenth of their shingles or more in the prefixes.
+
+    For sets of at most N shingles with 4/5 of N in common, in whatever order,
+    a common shingle that 7/10 N common ones follow is among the first 3/10 of
+    either, so N/10 of these are shared. Of copies only one row gives its
+    shingles. Two shingles of a set may have the same 32 bits; a set is let
+    off that many.
+    """
+    rows = _one_of_each(held, "fp").select(F.explode("tokens").alias("token"), "row")
+    tasks = (held.agg(F.sum(F.size("tokens"))).first()[0] or 0) // TASK_KEYS
+    dealt = rows.repartition(max(tasks + 1, held.sparkSession.sparkContext.defaultParallelism), "token")
+    hits = dealt.mapInArrow(_hits, "row bigint, hits bigint").groupBy("row").agg(F.sum("hits").alias("hits"))
+    return hits.join(distinct, "row").where("10 * hits >= size - 10 * lost")
 
 
-def _counts(*columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(columns[0]), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000].astype(np.int64)) for c in columns], ["n", "size", "token", "times"])
+def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many sets hold, and how many, on some of the sets: any order of shingles gives the same pairs, so this only sets the cost."""
+    some = sets.where(F.pmod("n", F.lit(EVERY)) == 0).select(F.explode("tokens").alias("token")).groupBy("token").count().where("count > 2")
+    rows = some.orderBy(F.desc("count"), "token").limit(FREQUENT).collect()
+    token, count = np.array([r.token for r in rows], np.int64), np.array([r["count"] for r in rows], np.int64)
+    order = np.argsort(token)
+    return token[order], count[order]
 
 
 def parity_map(tokens: np.ndarray) -> np.ndarray:
@@ -312,89 +337,102 @@ def parity_map(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """n, size, own (share of shingles that no other set holds), keys, maps, s (the shared shingles) of sets that can have a partner."""
-    for batch in batches:
-        out = []
-        for n, size, seen in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            times, token = (seen.values.field(i).to_numpy() for i in range(2))
-            own, spare = size - len(token), size - -(-PART * size // WHOLE)
-            if own <= spare:
-                keys = token[np.lexsort((token, times))[: spare + 1 - own]]
-                out.append((n, size, own / size, keys.tolist(), parity_map(token).tolist(), own, np.sort(token).tobytes()))
-        names, types = ["n", "size", "share", "keys", "maps", "own", "s"], [pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names)
+def _keyed(sets: DataFrame) -> DataFrame:
+    """n, size, share of shingles that are not frequent, prefix keys, parity map of each set: a pair at 4/5 shares one of the first n - ceil(4n/5) + 1 shingles of either."""
+    token, count = _frequent(sets)
+    sent = sets.sparkSession.sparkContext.broadcast((token, count))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, count = sent.value
+        for batch in batches:
+            share, keys, maps = [], [], []
+            for size, own in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                mine = own.values.to_numpy()
+                at = np.minimum(np.searchsorted(token, mine), max(0, len(token) - 1))
+                times = np.where(token[at] == mine, count[at], 0) if len(token) else np.zeros(size, np.int64)
+                share.append(float((times == 0).mean()) if size else 0.0)
+                keys.append(mine[np.lexsort((mine, times))[: size - -(-PART * size // WHOLE) + 1]])
+                maps.append(parity_map(mine))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share, pa.float64()), _lists(keys), _lists(maps)], ["n", "size", "share", "keys", "maps"])
+
+    return sets.mapInArrow(run, "n bigint, size bigint, share double, keys array<bigint>, maps array<bigint>")
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept = []
-        sizes = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-        for (i, j), x, y in zip(sizes, common.column_bytes(batch.column(4)), common.column_bytes(batch.column(5)), strict=True):
-            both = len(np.intersect1d(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), assume_unique=True))
-            kept.append(WHOLE * both >= PART * (i + j - both))
+        for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            i, j = x.values.to_numpy(), y.values.to_numpy()
+            both = len(np.intersect1d(i, j, assume_unique=True))
+            kept.append(WHOLE * both >= PART * (len(i) + len(j) - both))
         yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
 
-def set_links(prints: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Links (a, b) between sets n that connect what all pairs at the similarity connect.
+def set_links(held: DataFrame, distinct: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) between sets fp that connect what all pairs at the similarity connect.
 
-    Exact, by prefix filters. For sets of at most N shingles with 4/5 of N in
-    common, in whatever order, a common shingle that 7/10 of N common ones
-    follow is among the first 3/10 of either, so N/10 of these are shared.
-    Sets that share fewer go, and so do those of whose shingles less than 4/5
-    are left in any other set. The rest are ordered by how many sets hold a
-    shingle, rarest first; a pair shares one of the first n - ceil(4n/5) + 1.
+    Sets without a possible partner go first. Then come pairs whose
+    fingerprints are equal or within two bits, by pigeonhole blocks. What
+    these leave open is found by prefix filters: a pair shares one of the
+    first shingles of either, rare ones first, so it meets in a bucket.
 
     Inside such a bucket not all pairs are made. In each round some members
     are compared with all others that they aren't connected to, by confirmed
-    links, and leave the bucket: all in a small bucket, otherwise 1, 8, 64, ... a round. Those with
-    the smallest share of shingles of their own come first, as an original
-    among its edits. A bucket is done when its members are connected or have
-    all been compared.
+    links, and leave the bucket: all in a small bucket, otherwise 1, 8, 64,
+    ... a round. Those with the smallest share of rare shingles come first, as
+    an original among its edits. A bucket is done when its members are
+    connected or have all been compared. Every pair that is compared is first
+    told by size and parity map, which the sets' difference bounds, and then
+    by the sets themselves.
     """
     spark = docs.sparkSession
-    sizes = prints.groupBy("n").agg(F.first("size").alias("size"), F.min("doc_id").alias("id"))
-    hits = _met(prints, _hits, "n bigint, hits bigint").groupBy("n").agg(F.sum("hits").alias("hits"))
-    left = common.staged(hits.join(sizes, "n").where("10 * hits >= size").select("n", "id"), "left")
-    # A text is found by an id; its hash tells it from others of the same id.
-    known = docs.join(left.where("id IS NOT NULL").select(F.col("id").alias("_id")).distinct(), F.col(id_col).cast("bigint") == F.col("_id"), "left_semi")
-    again = _sets(known.select(id_col, text_col).unionByName(docs.where(F.col(id_col).isNull()).select(id_col, text_col)), id_col, text_col, prefix=False)
-    again = common.staged(again.join(left.select("n"), "n", "left_semi"), "sets")
-    counts = _met(again, _counts, "n bigint, size bigint, token bigint, times bigint")
-    seen = counts.groupBy("n", "size").agg(F.collect_list(F.struct("times", "token")).alias("seen"))
-    keyed = common.staged(seen.mapInArrow(_keyed, "n bigint, size bigint, share double, keys array<bigint>, maps array<bigint>, own bigint, s binary"), "keyed")
-
+    left = common.staged(_may_have_partner(held, distinct).select(F.col("fp").alias("n"), "first", "mark"), "left")
+    # Their texts are found by a map of ids, of fixed size, without a shuffle; their sets by one of hashes.
+    some = common.maybe_in(docs, "doc_id", left, "first", "may").where("may")
+    sets = common.maybe_in(_sets(some, prefix=False), "n", left, "n", "may").where("may").drop("may")
+    sets = _one_of_each(common.staged(sets.withColumn("row", F.monotonically_increasing_id()), "sets"), "n")
+    keyed = common.staged(_keyed(sets), "keyed")
     maps = [f"m{i}" for i in range(MAPS)]
-    members = keyed.select(F.explode("keys").alias("key"), "n", "size", "share", *[F.col("maps")[i].alias(m) for i, m in enumerate(maps)])
-    sets = keyed.select("n", "size", "s")
-    links = tried = roots = None
-    some, more = 1, False
+    facts = keyed.select("n", "size", *[F.col("maps")[i].alias(m) for i, m in enumerate(maps)])
+    tokens = sets.select("n", "tokens")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """The written pairs (a, b) that are at the similarity."""
+        one, two = (facts.toDF(x, *[f"{x}_{c}" for c in ("size", *maps)]) for x in ("a", "b"))
+        apart = sum((F.bit_count(F.col(f"a_{m}").bitwiseXOR(F.col(f"b_{m}"))) for m in maps), F.lit(0))
+        near = WHOLE * F.least("a_size", "b_size") >= PART * F.greatest("a_size", "b_size")
+        near &= (PART + WHOLE) * apart <= (WHOLE - PART) * (F.col("a_size") + F.col("b_size"))
+        close = common.staged(pairs.join(one, "a").join(two, "b").where(near).select("a", "b").distinct(), "close")
+        both = close.join(tokens.toDF("a", "x"), "a").join(tokens.toDF("b", "y"), "b").select("a", "b", "x", "y")
+        return common.staged(both.mapInArrow(_alike, "a bigint, b bigint").distinct(), "links")
+
+    ends = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    by_print = common.staged(left.groupBy(F.col("mark").alias("fp")).agg(F.min("n").alias("n")), "marks")
+    equal = left.select("n", F.col("mark").alias("fp")).join(by_print.withColumnRenamed("n", "m"), "fp").where("n <> m").select(*ends("n", "m"))
+    tried = common.staged(equal.unionByName(links(by_print, 4, 2).select(*ends("a", "b"))).distinct(), "pairs")
+    found = confirmed(tried)
+
+    members = keyed.select(F.explode("keys").alias("key"), "n", "share")
+    some, more, roots = 1, not found.isEmpty(), None
     while True:
         # Only buckets that hold unconnected members go on.
         placed = members.withColumn("c", F.col("n"))
         if more:
-            roots = common.staged(common.connected_components(links), "roots")
+            roots = common.staged(common.connected_components(found), "roots")
         if roots is not None:
             placed = members.join(roots.withColumnRenamed("node", "n"), "n", "left").withColumn("c", F.coalesce("root", "n")).drop("root")
         open_keys = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("m")).where("x <> y").select("key", "m")
         placed = common.staged(placed.join(open_keys, "key"), "open")
         if placed.isEmpty():
-            return links if links is not None else spark.createDataFrame([], "a bigint, b bigint")
-        first = F.min(F.struct("share", F.xxhash64("n").alias("h"), "n", "size", "c", *maps)).alias("r")
+            return found
+        first = F.min(F.struct("share", F.xxhash64("n").alias("h"), "n", "c")).alias("r")
         part = F.when(F.col("m") <= SMALL, F.col("n")).otherwise(F.pmod(F.xxhash64("n", F.lit(some)), F.lit(some)))
-        heads = placed.groupBy("key", part.alias("part")).agg(first)
-        heads = common.staged(heads.select("key", *[F.col(f"r.{x}").alias(f"r_{x}") for x in ("n", "size", "c", *maps)]), "heads")
-        apart = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"r_{m}"))) for m in maps), F.lit(0))
-        near = (F.col("c") != F.col("r_c")) & (WHOLE * F.least("size", "r_size") >= PART * F.greatest("size", "r_size"))
-        # Maps leave out shingles of no other set, so they differ in no more places than the sets do.
-        near &= (PART + WHOLE) * apart <= (WHOLE - PART) * (F.col("size") + F.col("r_size"))
-        pairs = placed.join(heads, "key").where(near).select(F.least("n", "r_n").alias("a"), F.greatest("n", "r_n").alias("b")).distinct()
-        pairs = common.staged(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        both = pairs.join(sets.toDF("a", "i", "x"), "a").join(sets.toDF("b", "j", "y"), "b").select("a", "b", "i", "j", "x", "y")
-        found = common.staged(both.mapInArrow(_alike, "a bigint, b bigint"), "links")
-        links, more = found if links is None else links.unionByName(found), not found.isEmpty()
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        heads = common.staged(placed.groupBy("key", part.alias("part")).agg(first).select("key", F.col("r.n").alias("r_n"), F.col("r.c").alias("r_c")), "heads")
+        pairs = placed.join(heads, "key").where("c <> r_c").select(*ends("n", "r_n")).distinct()
+        pairs = common.staged(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        new = confirmed(pairs)
+        more = not new.isEmpty()
+        found, tried = found.unionByName(new), tried.unionByName(pairs)
         members = placed.drop("c", "m").join(heads.select("key", F.col("r_n").alias("n")), ["key", "n"], "left_anti")
         some *= 8
 
@@ -404,9 +442,12 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Sets are of 64-bit hashes and are told by one; equal sets are one node.
     """
-    prints = common.staged(_sets(docs, id_col, text_col, prefix=True), "prefixes")
-    nodes = prints.select("doc_id", F.col("n").alias("fp"))
-    return linked(nodes, lambda distinct: set_links(prints, docs, id_col, text_col), named=True)
+    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("t"))
+    held = common.staged(_sets(docs, prefix=True), "prefixes")
+    given = F.first("size") - F.floor(F.first("size") * 7 / 10) - F.first(F.size("tokens"))
+    distinct = held.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"), F.min("row").alias("row"), F.first("size").alias("size"), F.first("mark").alias("mark"), given.alias("lost"))
+    distinct = common.staged(distinct.withColumn("n", F.col("fp")), "distinct")
+    return linked(held, distinct, set_links(held, distinct, docs))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

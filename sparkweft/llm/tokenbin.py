@@ -16,6 +16,11 @@ counts at most a few words on: no 64-bit offset table is needed.
 Shards are rows of a Parquet table, so they go to whatever store Spark writes
 to and a lost task leaves nothing behind; ``export`` writes them out as plain
 files.
+
+Texts are encoded where they are read, and only ids travel: each document's
+are compressed, dealt by ranges of the doc_id and sorted. The ranges come from
+quantiles of the ids alone. An id that many rows share spans several ranges,
+among which its rows are dealt, so it fills no single task.
 """
 
 from __future__ import annotations
@@ -72,36 +77,39 @@ class EliasFano:
         samples = np.frombuffer(raw, "<u4", ns, at + nl + nh)
         return cls(n, low_bits, low, high, samples), at + nl + nh + 4 * ns
 
-    def select(self, i: int) -> int:
-        """Place of the i-th one bit: from the sample before it, whole words on, then inside a word."""
-        place = int(self.samples[i // SELECT_STEP])
-        left = i % SELECT_STEP
-        if not left:
-            return place
+    def select(self, i: np.ndarray) -> np.ndarray:
+        """Places of the one bits of those numbers: from the sample before each, whole words on, then inside a word."""
+        i = np.asarray(i, np.int64)
+        place = self.samples[i // SELECT_STEP].astype(np.int64)
+        left = i % SELECT_STEP  # ones still to come after the sample's
         words = self.high.view("<u8")
         k = place // 64
-        word = int(words[k]) >> (place % 64) >> 1
-        base = place + 1
-        while (ones := word.bit_count()) < left:
-            left -= ones
-            k += 1
-            word, base = int(words[k]), k * 64
-        for _ in range(left - 1):
-            word &= word - 1
-        return base + (word & -word).bit_length() - 1
-
-    def __getitem__(self, i: int) -> int:
-        first = i * self.low_bits
-        low = sum(int(self.low[b // 8] >> (b % 8) & 1) << (b - first) for b in range(first, first + self.low_bits))
-        return self.select(i) - i << self.low_bits | low
-
-    def values(self) -> np.ndarray:
-        at = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))
-        out = at.astype(np.uint64) - np.arange(self.n, dtype=np.uint64) << np.uint64(self.low_bits)
+        word = words[k] & ~((np.uint64(2) << (place % 64).astype(np.uint64)) - np.uint64(1)) if len(i) else np.zeros(0, np.uint64)
+        ones = np.bitwise_count(word).astype(np.int64)
+        far = np.flatnonzero(ones < left)
+        while len(far):
+            left[far] -= ones[far]
+            k[far] += 1
+            word[far] = words[k[far]]
+            ones[far] = np.bitwise_count(word[far])
+            far = far[ones[far] < left[far]]
+        # Inside a word by halves: go to the upper half if the lower one has too few.
+        bit, at = np.zeros(len(i), np.uint64), left.copy()
+        for half in (32, 16, 8, 4, 2, 1):
+            low = np.bitwise_count((word >> bit) & np.uint64((1 << half) - 1)).astype(np.int64)
+            up = at > low
+            at -= np.where(up, low, 0)
+            bit += np.where(up, np.uint64(half), np.uint64(0))
+        return np.where(left > 0, k * 64 + bit.astype(np.int64), place)
+
+    def get(self, i: np.ndarray) -> np.ndarray:
+        """The values of those numbers, by select."""
+        i = np.asarray(i, np.int64)
+        out = (self.select(i) - i) << self.low_bits
         if self.low_bits:
-            bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-            out |= bits.astype(np.uint64) @ (np.uint64(1) << np.arange(self.low_bits, dtype=np.uint64))
-        return out.astype(np.int64)
+            bits = i[:, None] * self.low_bits + np.arange(self.low_bits)
+            out |= (self.low[bits >> 3].astype(np.int64) >> (bits & 7) & 1) @ (np.int64(1) << np.arange(self.low_bits))
+        return out
 
 
 def pack(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
@@ -125,12 +133,17 @@ class Shard:
         self.keys, at = EliasFano.from_bytes(raw, at)
         self.ids = np.frombuffer(raw, f"<u{width}", offset=at)
 
+    def starts(self) -> np.ndarray:
+        """Where each document begins in the ids, and the end."""
+        return self.bounds.get(np.arange(self.n_docs + 1))
+
     def document(self, i: int) -> np.ndarray:
         """Ids of the i-th document, by two selects."""
-        return self.ids[self.bounds[i] : self.bounds[i + 1]]
+        first, end = self.bounds.get(np.array([i, i + 1]))
+        return self.ids[first:end]
 
     def doc_ids(self) -> list[int | None]:
-        return [None] * self.nulls + (self.keys.values() + self.least).tolist()
+        return [None] * self.nulls + (self.keys.get(np.arange(self.n_docs - self.nulls)) + self.least).tolist()
 
 
 class ByteBpe:
@@ -190,47 +203,72 @@ def tokenizer(path: str) -> ByteBpe:
 SHARDS = "part bigint, seq bigint, n_docs bigint, n_ids bigint, image binary"
 
 
+def _ranges(rows: DataFrame, parts: int) -> np.ndarray:
+    """Quantiles of the ids k that deal them to that many parts; an id of many rows is there several times."""
+    shares = [i / parts for i in range(1, parts)]
+    found = rows.agg(F.percentile_approx("k", shares, 100 * parts).alias("q")).first().q if parts > 1 else []
+    return np.array(found or [], np.int64)
+
+
 def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, out: str, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Encode every text, append ``end_id``, and write shards in ascending id order to ``out``.
 
-    Rows are dealt by ranges of the id and sorted, so a shard is a run of the
-    order; (part, seq) orders the shards. Null and empty texts have just the
-    end id, rows with equal ids stay rows side by side, null ids come first,
-    an empty table gives no shard; other columns are not read.
+    A shard is a run of the order; (part, seq) orders the shards. Null and
+    empty texts have just the end id, rows with equal ids stay rows, side by
+    side, null ids come first, an empty table gives no shard; other columns
+    are not read.
     """
-    common.small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    common.small_batches(spark)
+    rows = docs.select(F.col(id_col).cast("bigint").alias("k"), F.col(text_col).alias("t"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bounds = _ranges(rows, parts)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from zstandard import ZstdCompressor
+
+        tok, pack_one, done = tokenizer(tokenizer_path), ZstdCompressor(level=3).compress, 0
+        for batch in batches:
+            for piece in common.slices(batch, 1, CHUNK):
+                ids, cuts = tok.encode_many(common.column_texts(piece.column(1)))
+                ids = np.insert(ids, cuts[1:], np.array(end_id, ids.dtype))
+                cuts = (cuts + np.arange(len(cuts))).tolist()
+                keys = piece.column(0)
+                known = keys.fill_null(0).to_numpy()
+                first, last = np.searchsorted(bounds, known, "left"), np.searchsorted(bounds, known, "right")
+                part = first + (done + np.arange(len(known))) % (last - first + 1)
+                part[keys.is_null().to_numpy(zero_copy_only=False)] = 0
+                done += len(known)
+                held = [pack_one(ids[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([keys, pa.array(part, pa.int32()), pa.array(held, pa.binary())], ["k", "part", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, part, seq = tokenizer(tokenizer_path), TaskContext.get().partitionId(), 0
+        from zstandard import ZstdDecompressor
+
+        part, seq, dtype, unpack = TaskContext.get().partitionId(), 0, tokenizer(tokenizer_path).dtype, ZstdDecompressor().decompress
         keys: list = []
-        lengths: list[int] = []
         held: list[np.ndarray] = []
         count = 0
 
         def close() -> pa.RecordBatch:
             ids = np.concatenate(held)
-            row = [part], [seq], [len(keys)], [len(ids)], [pack(keys, lengths, ids)]
+            row = [part], [seq], [len(keys)], [len(ids)], [pack(keys, [len(x) for x in held], ids)]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int64(),) * 4 + (pa.binary(),), strict=True)], ["part", "seq", "n_docs", "n_ids", "image"])
 
         for batch in batches:
-            for piece in common.slices(batch, 1, CHUNK):
-                ids, cuts = tok.encode_many(common.column_texts(piece.column(1)))
-                ids = np.insert(ids, cuts[1:], np.array(end_id, ids.dtype))
-                cuts = cuts + np.arange(len(cuts))
-                for k, a, b in zip(piece.column(0).to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    if count and count + b - a > SHARD_IDS:
-                        yield close()
-                        keys, lengths, held, count, seq = [], [], [], 0, seq + 1
-                    keys.append(k)
-                    lengths.append(b - a)
-                    held.append(ids[a:b])
-                    count += b - a
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = np.frombuffer(unpack(raw), dtype)
+                if count and count + len(ids) > SHARD_IDS:
+                    yield close()
+                    keys, held, count, seq = [], [], 0, seq + 1
+                keys.append(k)
+                held.append(ids)
+                count += len(ids)
         if keys:
             yield close()
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("k"), F.col(text_col).alias("t"))
-    dealt = rows.repartitionByRange("k").sortWithinPartitions(F.col("k").asc_nulls_first())
-    dealt.mapInArrow(run, SHARDS).write.option("parquet.block.size", 16 << 20).parquet(out)
+    dealt = rows.mapInArrow(encode, "k bigint, part int, ids binary").repartitionById(parts, F.col("part"))
+    dealt.select("k", "ids").sortWithinPartitions(F.col("k").asc_nulls_first()).mapInArrow(run, SHARDS).write.option("parquet.block.size", 16 << 20).parquet(out)
     return out
 
 
@@ -247,7 +285,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for part, seq, image in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 shard = Shard(image)
-                bounds = shard.bounds.values()
+                bounds = shard.starts()
                 wide = shard.ids.astype("<u4").tobytes()
                 crc = [zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 n = shard.n_docs
