@@ -255,13 +255,13 @@ WIDTH, PART, WHOLE, MAPS, SMALL = 5, 4, 5, 8, 8
 FREQUENT, EVERY = 100_000, 8
 
 
-def _lists(rows: list[np.ndarray]) -> pa.ListArray:
-    flat = np.concatenate([rows[0][:0], *rows]) if rows else np.zeros(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rows])]), pa.int32()), pa.array(flat))
+def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    flat = np.concatenate([np.zeros(0, kind.to_pandas_dtype()), *rows])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rows])]), pa.int32()), pa.array(flat, kind))
 
 
 def _sets(docs: DataFrame, prefix: bool) -> DataFrame:
-    """Of (doc_id, t): doc_id, fp (a hash of the shingle set), size, the set's 64-bit fingerprint and shingles.
+    """Of (doc_id, t): doc_id, fp (a hash of the shingle set), size and shingles, and row, a number of the row.
 
     The shingles are all, sorted by hash, or 32 bits of those that seven
     tenths of the set follow at most.
@@ -275,37 +275,106 @@ def _sets(docs: DataFrame, prefix: bool) -> DataFrame:
             sets = [np.unique(shingle_hashes(t, WIDTH)) for t in common.column_bytes(batch.column(1))]
             fp = np.array([xxh64_intdigest(s.tobytes(), WIDTH) for s in sets], np.uint64).view(np.int64)
             size = np.array([len(s) for s in sets], np.int64)
-            if prefix:
-                held = [np.unique(s[: len(s) - len(s) * 7 // 10].astype(np.uint32)).view(np.int32) for s in sets]
-                marks = [fingerprint(s, 1) for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), pa.array(size), pa.array(marks, pa.binary()), _lists(held)], ["doc_id", "fp", "size", "mark", "tokens"])
-            else:
-                yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(size), _lists([s.view(np.int64) for s in sets])], ["n", "size", "tokens"])
-
-    rows = docs.select("doc_id", "t").mapInArrow(run, "doc_id bigint, fp bigint, size bigint, mark binary, tokens array<int>" if prefix else "n bigint, size bigint, tokens array<bigint>")
-    return rows.withColumn("row", F.monotonically_increasing_id()) if prefix else rows
-
-
-def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each row, how many of its shingles here another row has too."""
-    got = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches if batch.num_rows]
-    if got:
-        token, row = (np.concatenate(x) for x in zip(*got, strict=True))
-        got.clear()
-        order = np.argsort(token, kind="stable")
-        token = token[order]
-        same = token[1:] == token[:-1]
-        rows, hits = np.unique(row[order[np.append(same, False) | np.append(False, same)]], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(hits.astype(np.int64))], ["row", "hits"])
+            held = [np.unique(s[: len(s) - len(s) * 7 // 10].astype(np.uint32)).view(np.int32) if prefix else s.view(np.int64) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), pa.array(size), _lists(held, pa.int32() if prefix else pa.int64())], ["doc_id", "fp", "size", "tokens"])
+
+    rows = docs.select("doc_id", "t").mapInArrow(run, f"doc_id bigint, fp bigint, size bigint, tokens array<{'int' if prefix else 'bigint'}>")
+    return rows.withColumn("row", F.monotonically_increasing_id())
 
 
-def _one_of_each(rows: DataFrame, key: str) -> DataFrame:
-    """The row of smallest ``row`` of each value of ``key``. A map of fixed size tells most rows at once that they are alone, so only the others travel."""
-    first = common.staged(rows.groupBy(key).agg(F.min("row").alias("row"), F.count("*").alias("n_rows")), "firsts")
-    told = common.maybe_in(rows, key, first.where("n_rows > 1"), key, "again")
+def _one_of_each(rows: DataFrame) -> DataFrame:
+    """The row of smallest number of each set. A map of fixed size tells most rows at once that they are alone, so only the others travel."""
+    first = common.staged(rows.groupBy("fp").agg(F.min("row").alias("row"), F.count("*").alias("n_rows")), "firsts")
+    told = common.maybe_in(rows, "fp", first.where("n_rows > 1"), "fp", "again")
     return told.where(~F.col("again")).unionByName(told.where("again").join(first.select("row"), "row", "left_semi").select(told.columns)).drop("again")
 
 
+def _split_bytes(x: np.ndarray) -> bytes:
+    """Little-endian u32 with all first bytes first: what is small or alike packs well so."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _join_bytes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def _packed(token: np.ndarray, row: np.ndarray, parts: int) -> Iterator[tuple]:
+    """(part, base, blob, row, hits): shingles for each part, packed, and the hits of rows that share one here.
+
+    A shingle that several rows here have is a hit for each of them, and is
+    passed on once, as no row's: so a frequent one costs an entry, not a row.
+    """
+    from zstandard import compress
+
+    order = np.argsort(token, kind="stable")
+    token, row = token[order], row[order]
+    same = token[1:] == token[:-1]
+    after, before = np.append(same, False), np.append(False, same)
+    rows, hits = np.unique(row[after | before], return_counts=True)
+    yield from ((int(r) % parts, None, None, int(r), int(h)) for r, h in zip(rows, hits, strict=True))
+    base = int(row.min()) - 1
+    place = np.where(after, 0, row - base)[~before]
+    token = token[~before]
+    part = (token.astype(np.uint64) * np.uint64(parts)) >> np.uint64(32)
+    cuts = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+    for p in np.unique(part).tolist():
+        x, y = cuts[p], cuts[p + 1]
+        yield p, base, compress(_split_bytes(np.diff(token[x:y], prepend=np.uint32(0))) + _split_bytes(place[x:y]), 3), None, None
+
+
+def _hits(rows: DataFrame, parts: int) -> DataFrame:
+    """(row, hits): how many of its shingles another row has too. Tasks get a bounded number of shingles."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            token, row = (np.concatenate(x) for x in zip(*held, strict=True))
+            for far in np.unique(row >> 31):  # so that numbers less the least are short
+                near = row >> 31 == far
+                found = [*_packed(token[near], row[near], parts)]
+                for i in range(0, len(found), 4096):
+                    columns = zip(*found[i : i + 4096], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["part", "base", "blob", "row", "hits"])
+
+        held, count = [], 0
+        for batch in batches:
+            lists = batch.column(0)
+            flat = lists.flatten().to_numpy().view(np.uint32)
+            if len(flat):
+                held.append((flat, np.repeat(batch.column(1).to_numpy(), lists.value_lengths().to_numpy())))
+                count += len(flat)
+            if count >= TASK_KEYS:
+                yield from out(held)
+                held, count = [], 0
+        if held:
+            yield from out(held)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from zstandard import decompress
+
+        tokens, rows = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for batch in batches:
+            known = batch.column(2).is_null()
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(known) for i in (3, 4)], ["row", "hits"])
+            for base, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if blob is not None:
+                    both = _join_bytes_pair(decompress(blob))
+                    tokens.append(np.cumsum(both[0], dtype=np.uint32))
+                    rows.append(np.where(both[1] > 0, both[1].astype(np.int64) + base, -1))
+        token, row = np.concatenate(tokens), np.concatenate(rows)
+        order = np.argsort(token, kind="stable")
+        same = token[order[1:]] == token[order[:-1]]
+        row = row[order[np.append(same, False) | np.append(False, same)]] if len(order) else row
+        found, hits = np.unique(row[row >= 0], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(hits.astype(np.int64))], ["row", "hits"])
+
+    dealt = rows.select("tokens", "row").mapInArrow(deal, "part int, base bigint, blob binary, row bigint, hits bigint").repartitionById(parts, F.col("part"))
+    return dealt.mapInArrow(meet, "row bigint, hits bigint").groupBy("row").agg(F.sum("hits").alias("hits"))
+
+
+def _join_bytes_pair(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return _join_bytes(raw[: len(raw) // 2]), _join_bytes(raw[len(raw) // 2 :])
+
+
 def _may_have_partner(held: DataFrame, distinct: DataFrame) -> DataFrame:
     """Those distinct sets that share a tenth of their shingles or more in the prefixes.
 
@@ -315,16 +384,14 @@ def _may_have_partner(held: DataFrame, distinct: DataFrame) -> DataFrame:
     shingles. Two shingles of a set may have the same 32 bits; a set is let
     off that many.
     """
-    rows = _one_of_each(held, "fp").select(F.explode("tokens").alias("token"), "row")
-    tasks = (held.agg(F.sum(F.size("tokens"))).first()[0] or 0) // TASK_KEYS
-    dealt = rows.repartition(max(tasks + 1, held.sparkSession.sparkContext.defaultParallelism), "token")
-    hits = dealt.mapInArrow(_hits, "row bigint, hits bigint").groupBy("row").agg(F.sum("hits").alias("hits"))
+    parts = (held.agg(F.sum(F.size("tokens"))).first()[0] or 0) // TASK_KEYS
+    hits = _hits(_one_of_each(held), max(parts + 1, held.sparkSession.sparkContext.defaultParallelism))
     return hits.join(distinct, "row").where("10 * hits >= size - 10 * lost")
 
 
 def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that many sets hold, and how many, on some of the sets: any order of shingles gives the same pairs, so this only sets the cost."""
-    some = sets.where(F.pmod("n", F.lit(EVERY)) == 0).select(F.explode("tokens").alias("token")).groupBy("token").count().where("count > 2")
+    some = sets.where(F.pmod("fp", F.lit(EVERY)) == 0).select(F.explode("tokens").alias("token")).groupBy("token").count().where("count > 2")
     rows = some.orderBy(F.desc("count"), "token").limit(FREQUENT).collect()
     token, count = np.array([r.token for r in rows], np.int64), np.array([r["count"] for r in rows], np.int64)
     order = np.argsort(token)
@@ -338,24 +405,29 @@ def parity_map(tokens: np.ndarray) -> np.ndarray:
 
 
 def _keyed(sets: DataFrame) -> DataFrame:
-    """n, size, share of shingles that are not frequent, prefix keys, parity map of each set: a pair at 4/5 shares one of the first n - ceil(4n/5) + 1 shingles of either."""
-    token, count = _frequent(sets)
-    sent = sets.sparkSession.sparkContext.broadcast((token, count))
+    """row, size, mark (fingerprint), share of rare shingles in 16 steps, keys and parity map of each set.
+
+    A pair at 4/5 shares one of the first n - ceil(4n/5) + 1 shingles of
+    either, in any order; 32 bits of each of these are the keys.
+    """
+    sent = sets.sparkSession.sparkContext.broadcast(_frequent(sets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, count = sent.value
         for batch in batches:
-            share, keys, maps = [], [], []
+            share, keys, maps, marks = [], [], [], []
             for size, own in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 mine = own.values.to_numpy()
                 at = np.minimum(np.searchsorted(token, mine), max(0, len(token) - 1))
                 times = np.where(token[at] == mine, count[at], 0) if len(token) else np.zeros(size, np.int64)
-                share.append(float((times == 0).mean()) if size else 0.0)
-                keys.append(mine[np.lexsort((mine, times))[: size - -(-PART * size // WHOLE) + 1]])
+                share.append(int(16 * (times == 0).mean()) if size else 0)
+                first = mine[np.lexsort((mine, times))[: size - -(-PART * size // WHOLE) + 1]]
+                keys.append(np.unique(first.astype(np.uint32)).view(np.int32))
                 maps.append(parity_map(mine))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share, pa.float64()), _lists(keys), _lists(maps)], ["n", "size", "share", "keys", "maps"])
+                marks.append(fingerprint(mine.view(np.uint64), 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks, pa.binary()), pa.array(share, pa.int8()), _lists(keys, pa.int32()), _lists(maps, pa.int64())], ["n", "size", "mark", "share", "keys", "maps"])
 
-    return sets.mapInArrow(run, "n bigint, size bigint, share double, keys array<bigint>, maps array<bigint>")
+    return sets.select("row", "size", "tokens").mapInArrow(run, "n bigint, size bigint, mark binary, share tinyint, keys array<int>, maps array<bigint>")
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,23 +450,22 @@ def set_links(held: DataFrame, distinct: DataFrame, docs: DataFrame) -> DataFram
 
     Inside such a bucket not all pairs are made. In each round some members
     are compared with all others that they aren't connected to, by confirmed
-    links, and leave the bucket: all in a small bucket, otherwise 1, 8, 64,
-    ... a round. Those with the smallest share of rare shingles come first, as
+    links, and leave the bucket: one in the first round, then all in a small
+    bucket and 8, 64, ... in others. Those with the smallest share of rare shingles come first, as
     an original among its edits. A bucket is done when its members are
     connected or have all been compared. Every pair that is compared is first
     told by size and parity map, which the sets' difference bounds, and then
     by the sets themselves.
     """
-    spark = docs.sparkSession
-    left = common.staged(_may_have_partner(held, distinct).select(F.col("fp").alias("n"), "first", "mark"), "left")
+    left = common.staged(_may_have_partner(held, distinct).select("fp", "first"), "left")
     # Their texts are found by a map of ids, of fixed size, without a shuffle; their sets by one of hashes.
     some = common.maybe_in(docs, "doc_id", left, "first", "may").where("may")
-    sets = common.maybe_in(_sets(some, prefix=False), "n", left, "n", "may").where("may").drop("may")
-    sets = _one_of_each(common.staged(sets.withColumn("row", F.monotonically_increasing_id()), "sets"), "n")
-    keyed = common.staged(_keyed(sets), "keyed")
+    sets = common.maybe_in(_sets(some, prefix=False), "fp", left, "fp", "may").where("may").drop("may")
+    sets = _one_of_each(common.staged(sets, "sets"))
+    keyed = common.staged(_keyed(sets), "keyed")  # here n is the set's row number
     maps = [f"m{i}" for i in range(MAPS)]
     facts = keyed.select("n", "size", *[F.col("maps")[i].alias(m) for i, m in enumerate(maps)])
-    tokens = sets.select("n", "tokens")
+    tokens = sets.select(F.col("row").alias("n"), "tokens")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The written pairs (a, b) that are at the similarity."""
@@ -403,38 +474,47 @@ def set_links(held: DataFrame, distinct: DataFrame, docs: DataFrame) -> DataFram
         near = WHOLE * F.least("a_size", "b_size") >= PART * F.greatest("a_size", "b_size")
         near &= (PART + WHOLE) * apart <= (WHOLE - PART) * (F.col("a_size") + F.col("b_size"))
         close = common.staged(pairs.join(one, "a").join(two, "b").where(near).select("a", "b").distinct(), "close")
-        both = close.join(tokens.toDF("a", "x"), "a").join(tokens.toDF("b", "y"), "b").select("a", "b", "x", "y")
+        # Only the sets of these pairs travel.
+        x, y = (common.maybe_in(tokens, "n", close, c, "may").where("may").select(F.col("n").alias(c), F.col("tokens").alias(v)) for c, v in (("a", "x"), ("b", "y")))
+        both = close.join(x, "a").join(y, "b").select("a", "b", "x", "y")
         return common.staged(both.mapInArrow(_alike, "a bigint, b bigint").distinct(), "links")
 
     ends = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    by_print = common.staged(left.groupBy(F.col("mark").alias("fp")).agg(F.min("n").alias("n")), "marks")
-    equal = left.select("n", F.col("mark").alias("fp")).join(by_print.withColumnRenamed("n", "m"), "fp").where("n <> m").select(*ends("n", "m"))
+    by_print = common.staged(keyed.groupBy(F.col("mark").alias("fp")).agg(F.min("n").alias("n")), "marks")
+    equal = keyed.select("n", F.col("mark").alias("fp")).join(by_print.withColumnRenamed("n", "m"), "fp").where("n <> m").select(*ends("n", "m"))
     tried = common.staged(equal.unionByName(links(by_print, 4, 2).select(*ends("a", "b"))).distinct(), "pairs")
     found = confirmed(tried)
 
-    members = keyed.select(F.explode("keys").alias("key"), "n", "share")
-    some, more, roots = 1, not found.isEmpty(), None
+    def rooted(rows: DataFrame, n: str, c: str) -> DataFrame:
+        """The rows with the component c of n, as far as it is known."""
+        if roots is None:
+            return rows.withColumn(c, F.col(n))
+        return rows.join(roots.select(F.col("node").alias(n), "root"), n, "left").withColumn(c, F.coalesce("root", n)).drop("root")
+
+    # What a head has least of: its share of rare shingles, then its number; both in one long.
+    members = keyed.select(F.explode("keys").alias("key"), (F.shiftleft(F.col("share").cast("bigint"), 58) + F.col("n")).alias("o"), "n")
+    some, roots, more = 1, None, not found.isEmpty()
     while True:
         # Only buckets that hold unconnected members go on.
-        placed = members.withColumn("c", F.col("n"))
         if more:
             roots = common.staged(common.connected_components(found), "roots")
-        if roots is not None:
-            placed = members.join(roots.withColumnRenamed("node", "n"), "n", "left").withColumn("c", F.coalesce("root", "n")).drop("root")
-        open_keys = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("m")).where("x <> y").select("key", "m")
+        placed = rooted(members, "n", "c")
+        open_keys = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("m")).where("x <> y").select("key", (F.col("m") <= SMALL).alias("small"))
         placed = common.staged(placed.join(open_keys, "key"), "open")
         if placed.isEmpty():
-            return found
-        first = F.min(F.struct("share", F.xxhash64("n").alias("h"), "n", "c")).alias("r")
-        part = F.when(F.col("m") <= SMALL, F.col("n")).otherwise(F.pmod(F.xxhash64("n", F.lit(some)), F.lit(some)))
-        heads = common.staged(placed.groupBy("key", part.alias("part")).agg(first).select("key", F.col("r.n").alias("r_n"), F.col("r.c").alias("r_c")), "heads")
+            break
+        part = F.when(F.col("small") & F.lit(some > 1), F.col("n")).otherwise(F.pmod(F.xxhash64("n", F.lit(some)), F.lit(some)))
+        heads = placed.groupBy("key", part.alias("part")).agg(F.min("o").alias("o")).select("key", F.col("o").bitwiseAND(F.lit((1 << 58) - 1)).alias("r_n"))
+        heads = common.staged(rooted(heads, "r_n", "r_c"), "heads")
         pairs = placed.join(heads, "key").where("c <> r_c").select(*ends("n", "r_n")).distinct()
         pairs = common.staged(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         new = confirmed(pairs)
         more = not new.isEmpty()
         found, tried = found.unionByName(new), tried.unionByName(pairs)
-        members = placed.drop("c", "m").join(heads.select("key", F.col("r_n").alias("n")), ["key", "n"], "left_anti")
+        members = placed.drop("c", "small").join(heads.select("key", F.col("r_n").alias("n")), ["key", "n"], "left_anti")
         some *= 8
+    named = sets.select("row", "fp")
+    return found.join(named.toDF("a", "x"), "a").join(named.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -445,7 +525,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("t"))
     held = common.staged(_sets(docs, prefix=True), "prefixes")
     given = F.first("size") - F.floor(F.first("size") * 7 / 10) - F.first(F.size("tokens"))
-    distinct = held.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"), F.min("row").alias("row"), F.first("size").alias("size"), F.first("mark").alias("mark"), given.alias("lost"))
+    distinct = held.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"), F.min("row").alias("row"), F.first("size").alias("size"), given.alias("lost"))
     distinct = common.staged(distinct.withColumn("n", F.col("fp")), "distinct")
     return linked(held, distinct, set_links(held, distinct, docs))
 
