@@ -1,10 +1,13 @@
 """Nearest neighbours by learned partitions.
 
 A neighbour graph is built over a bounded sample of the vectors and cut into
-equal parts of few crossing edges. A softmax classifier learns to tell a
-vector's part. It then puts every vector of the table in its most probable
-part, and sends every query to the several most probable ones, where all
-vectors are compared exactly.
+equal parts of few crossing edges; a softmax classifier learns to tell a
+vector's part. Inside each part the same is done again, by one task a part on
+a sample of its vectors, which gives leaves of a few dozen vectors. A leaf's
+probability is that of its part times its own in the part. Every vector is put
+in its most probable leaf, and a query is compared exactly with all vectors of
+the leaves that are probable enough for it; that bound is the one with which
+sample vectors find the wanted share of their neighbours.
 
 Parts are dealt to tasks in pieces of bounded size, so a part that holds a
 third of all vectors is many tasks, each with the queries of the part.
@@ -13,7 +16,7 @@ third of all vectors is many tasks, each with the queries of the part.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -23,10 +26,12 @@ from pyspark.sql import functions as F
 
 from sparkweft.llm import common
 
-#: Vectors from which the index is learned, parts at most. There are an eighth of the root of the vectors' number.
-SAMPLE, MAX_PARTS = 6000, 256
-#: Share of the sample's own neighbours that the probed parts must hold; sample queries that are tried.
-TARGET, TRIALS = 0.96, 1000
+#: Vectors from which the parts are learned, at first and at most; a part's own sample.
+SAMPLE, MOST_SAMPLE, PART_SAMPLE = 6000, 20_000, 4096
+#: Parts (an eighth of the root of the vectors' number) and leaves of a part at most, vectors of a leaf, bytes of all leaves' classifiers at most.
+MAX_PARTS, MAX_LEAVES, LEAF_ROWS, ROUTER_BYTES = 256, 128, 24, 32 << 20
+#: Share of their neighbours that sample vectors find; sample queries that are tried.
+TARGET, TRIALS = 0.94, 1000
 #: Vectors and queries that one task compares at most.
 PIECE_ROWS, PIECE_QUERIES = 32768, 4096
 
@@ -58,13 +63,14 @@ def matrix(rows) -> np.ndarray:
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
-    """The k nearest others of each vector by inner product, in blocks."""
+    """The k nearest others of each vector by inner product, nearest first, in blocks."""
     k = min(k, len(x) - 1)
     out = np.empty((len(x), k), np.int64)
     for a in range(0, len(x), 1024):
         s = x[a : a + 1024] @ x.T
         s[np.arange(len(s)), np.arange(a, a + len(s))] = -np.inf
-        out[a : a + 1024] = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        near = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        out[a : a + 1024] = np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, 1), axis=1, kind="stable"), 1)
     return out
 
 
@@ -109,78 +115,117 @@ def balanced_cut(x: np.ndarray, graph: np.ndarray, parts: int, rounds: int = 25)
 
 
 @dataclass
-class Router:
-    """A linear softmax classifier of parts, and how many of the most probable ones a query visits."""
+class Softmax:
+    """A linear classifier of the parts that vectors lie in, by their directions."""
 
     weights: np.ndarray
     bias: np.ndarray
-    probes: int = 1
 
-    def logits(self, x: np.ndarray) -> np.ndarray:
+    def log_shares(self, x: np.ndarray) -> np.ndarray:
+        """Logarithm of the probability of each part."""
         norm = np.linalg.norm(x, axis=1, keepdims=True)
-        return (x / np.where(norm > 0, norm, 1)) @ self.weights + self.bias
-
-    def ranked(self, x: np.ndarray) -> np.ndarray:
-        return np.argsort(-self.logits(x), axis=1, kind="stable")
+        s = (x / np.where(norm > 0, norm, 1)).astype(np.float32) @ self.weights + self.bias
+        s -= s.max(1, keepdims=True)
+        return s - np.log(np.exp(s).sum(1, keepdims=True))
 
 
-def fit_router(x: np.ndarray, graph: np.ndarray, part: np.ndarray, parts: int, rounds: int = 200) -> Router:
+def fit_router(x: np.ndarray, graph: np.ndarray, part: np.ndarray, parts: int, rounds: int = 120) -> Softmax:
     """Softmax regression whose target is where a vector and its neighbours lie."""
-    want = np.zeros((len(x), parts))
+    want = np.zeros((len(x), parts), np.float32)
     np.add.at(want, (np.repeat(np.arange(len(x)), graph.shape[1]), part[graph.ravel()]), 1.0)
     want[np.arange(len(x)), part] += graph.shape[1] / 2
     want /= want.sum(1, keepdims=True)
-    z = x / np.linalg.norm(x, axis=1, keepdims=True)
-    w, b = np.zeros((x.shape[1], parts)), np.zeros(parts)
-    vw, vb, rate = w, b, 4.0 * np.sqrt(x.shape[1])
+    z = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    w, b = np.zeros((x.shape[1], parts), np.float32), np.zeros(parts, np.float32)
+    vw, vb, rate = w, b, np.float32(4.0 * np.sqrt(x.shape[1]))
     for k in range(rounds):
         s = z @ vw + vb
         p = np.exp(s - s.max(1, keepdims=True))
-        g = (p / p.sum(1, keepdims=True) - want) / len(x)
+        g = (p / p.sum(1, keepdims=True) - want) / np.float32(len(x))
         old_w, old_b = w, b
-        w, b = vw - rate * (z.T @ g + 1e-5 * vw), vb - rate * 0.1 * g.sum(0)
-        vw, vb = w + k / (k + 3) * (w - old_w), b + k / (k + 3) * (b - old_b)
-    return Router(w, b)
-
+        w, b = vw - rate * (z.T @ g + np.float32(1e-5) * vw), vb - rate * np.float32(0.1) * g.sum(0)
+        step = np.float32(k / (k + 3))
+        vw, vb = w + step * (w - old_w), b + step * (b - old_b)
+    return Softmax(w, b)
 
-def learn(x: np.ndarray, rows: int, k: int = 20, target: float = TARGET) -> Router:
-    """A router from a sample of a table of ``rows`` vectors.
 
-    The number of probes is the least with which sample vectors find
-    ``target`` of their nearest in the sample. In the whole table the nearest
-    are nearer, so this errs to the safe side.
-    """
-    parts = int(min(MAX_PARTS, max(1, round(rows**0.5 / 8)), max(1, len(x) // 64)))
+def learn(x: np.ndarray, parts: int, k: int) -> Softmax:
+    """A classifier of that many balanced parts of the neighbour graph of x, of fewer if x is small."""
+    parts = min(parts, len(x) // 8)
     if parts < 2:
-        return Router(np.zeros((x.shape[1] if x.ndim == 2 else 0, 1)), np.zeros(1), 1)
+        return Softmax(np.zeros((x.shape[1] if x.ndim == 2 else 0, 1), np.float32), np.zeros(1, np.float32))
     graph = neighbour_graph(x, min(k, len(x) - 1))
-    router = fit_router(x, graph, balanced_cut(x, graph, parts), parts)
-    ranked = router.ranked(x)
-    home = ranked[:, 0]
-    place = np.empty_like(ranked)
-    place[np.arange(len(x))[:, None], ranked] = np.arange(parts)
-    tried = slice(0, TRIALS)
-    needed = np.sort(place[tried][np.arange(len(x[tried]))[:, None], home[graph[tried]]].ravel())
-    router.probes = int(needed[min(len(needed) - 1, int(np.ceil(target * len(needed))))]) + 1
-    return router
+    return fit_router(x, graph, balanced_cut(x, graph, parts), parts)
 
 
-def best_of(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+@dataclass
+class Router:
+    """Classifiers of the parts and of each part's leaves, and the logarithm of the probability from which a query visits a leaf."""
+
+    parts: Softmax
+    leaves: list[Softmax] = field(default_factory=list)
+    least: float = -np.inf
+
+    def log_leaves(self, x: np.ndarray, shares: np.ndarray, part: int) -> np.ndarray:
+        return shares[:, part : part + 1] + self.leaves[part].log_shares(x)
+
+    def home(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The part and leaf of each vector."""
+        part = self.parts.log_shares(x).argmax(1)
+        leaf = np.zeros(len(x), np.int64)
+        for p in np.unique(part):
+            leaf[part == p] = self.leaves[p].log_shares(x[part == p]).argmax(1)
+        return part, leaf
+
+    def calibrate(self, x: np.ndarray, rows: int, k: int, target: float) -> None:
+        """Sets the bound with which sample vectors find ``target`` of their neighbours in the sample.
+
+        As many of the nearest in the sample as the k nearest of the table can
+        be expected to be there, so they are as near as those that are sought.
+        """
+        if len(x) < 2:
+            return
+        graph = neighbour_graph(x, max(1, min(len(x) - 1, round(k * len(x) / max(rows, 1)))))[:TRIALS]
+        part, leaf = self.home(x)
+        shares = self.parts.log_shares(x[:TRIALS])
+        seen = np.empty(graph.shape)
+        for p in range(len(self.leaves)):
+            mine = part[graph] == p
+            at = np.flatnonzero(mine.any(1))
+            if len(at):
+                every = self.log_leaves(x[at], shares[at], p)
+                seen[at] = np.where(mine[at], np.take_along_axis(every, np.where(mine[at], leaf[graph[at]], 0), 1), seen[at])
+        found = np.sort(seen.ravel())
+        self.least = float(found[int((1 - target) * len(found))]) - 1e-6
+
+
+def best_of(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, cuts: np.ndarray | None = None, probed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, id, score) of the k nearest of each query, itself excluded.
 
-    A matrix product picks those that can be among them; their scores are then
-    summed vector by vector, in the same order everywhere, so equal vectors
-    have equal scores and ties go to the smaller id.
+    With ``cuts``, x is in leaves one after another, and a query is compared
+    only with those that are ``probed``. A matrix product picks those that can
+    be among the k; their scores are then summed vector by vector, in the same
+    order everywhere, so equal vectors have equal scores and ties go to the
+    smaller id. A product that is no number takes no part; an infinite one does.
     """
     out_q, out_i, out_s = [], [], []
     for a in range(0, len(q), 256):
-        rough = q[a : a + 256] @ x.T
-        rough[query_ids[a : a + 256, None] == ids[None, :]] = -np.inf
-        m = min(k, len(ids))
-        edge = np.partition(rough, len(ids) - m, axis=1)[:, len(ids) - m]
-        slack = 1e-9 * (1 + np.abs(edge))
-        rows, cols = np.nonzero((rough >= (edge - slack)[:, None]) & np.isfinite(rough))
-        exact = np.concatenate([(q[a + rows[i : i + 65536]] * x[cols[i : i + 65536]]).sum(1) for i in range(0, len(rows), 65536)]) if len(rows) else np.zeros(0)
+        block = q[a : a + 256]
+        with np.errstate(over="ignore", invalid="ignore"):
+            if cuts is None:
+                rough = block @ x.T
+            else:
+                rough = np.full((len(block), len(x)), np.nan)
+                for leaf in np.flatnonzero(probed[a : a + 256].any(0)):
+                    who = np.flatnonzero(probed[a : a + 256, leaf])
+                    rough[who, cuts[leaf] : cuts[leaf + 1]] = block[who] @ x[cuts[leaf] : cuts[leaf + 1]].T
+            open_ = ~np.isnan(rough) & (query_ids[a : a + 256, None] != ids[None, :])
+            rough[~open_] = -np.inf
+            m = min(k, len(ids))
+            edge = np.partition(rough, len(ids) - m, axis=1)[:, len(ids) - m]
+            slack = np.where(np.isfinite(edge), 1e-9 * (1 + np.abs(edge)), 0)
+            rows, cols = np.nonzero((rough >= (edge - slack)[:, None]) & open_)
+            exact = np.concatenate([(q[a + rows[i : i + 65536]] * x[cols[i : i + 65536]]).sum(1) for i in range(0, len(rows), 65536)]) if len(rows) else np.zeros(0)
         order = np.lexsort((ids[cols], -exact, rows))
         rows, cols, exact = rows[order], cols[order], exact[order]
         nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
@@ -192,37 +237,102 @@ def best_of(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray
     return (np.concatenate(out_q), np.concatenate(out_i), np.concatenate(out_s)) if out_q else (empty, empty, np.zeros(0))
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE, target: float = TARGET) -> DataFrame:
+def train(rows: DataFrame, total: int, k: int, target: float) -> Router:
+    """A router from bounded samples of (vec_id, v): the parts on the driver, the leaves of each part by one task."""
+    parts = int(min(MAX_PARTS, max(1, round(total**0.5 / 8))))
+    size = max(SAMPLE, min(MOST_SAMPLE, 64 * parts))
+    drawn = [bytes(r.v) for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(size).collect()]
+    x = matrix(drawn) if drawn else np.zeros((0, 0))
+    first = learn(x, min(parts, len(x) // 64), k)
+    parts = len(first.bias)
+    width = max(1, x.shape[1])
+    leaves = max(1, min(MAX_LEAVES, ROUTER_BYTES // (4 * (width + 1) * parts), total // (parts * LEAF_ROWS)))
+    sent = rows.sparkSession.sparkContext.broadcast(first)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                part = sent.value.log_shares(matrix(batch.column(1).to_pylist())).argmax(1)
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *batch.columns], ["part", "vec_id", "v"])
+
+    placed = rows.mapInArrow(place, "part int, vec_id bigint, v binary")
+    sizes = {r.part: r["count"] for r in placed.groupBy("part").count().collect()}  # at most MAX_PARTS rows
+    own = [Softmax(np.zeros((width, 1), np.float32), np.zeros(1, np.float32)) for _ in range(parts)]
+    if leaves > 1 and sizes:
+        share = F.element_at(F.create_map(*(F.lit(v) for p, n in sizes.items() for v in (p, min(1.0, PART_SAMPLE / n)))), F.col("part"))
+        some = placed.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < share * F.lit(float(1 << 30)))
+
+        def inside(group: pd.DataFrame) -> pd.DataFrame:
+            y = matrix(group.sort_values("vec_id", kind="stable")["v"].tolist())
+            got = learn(y, leaves, k)
+            return pd.DataFrame({"part": [int(group["part"].iloc[0])], "w": [got.weights.tobytes()], "b": [got.bias.tobytes()]})
+
+        for r in some.groupBy("part").applyInPandas(inside, "part int, w binary, b binary").collect():
+            own[r.part] = Softmax(np.frombuffer(bytes(r.w), np.float32).reshape(width, -1), np.frombuffer(bytes(r.b), np.float32))
+    router = Router(first, own)
+    router.calibrate(x, total, k, target)
+    return router
+
+
+def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", target: float = TARGET) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query row, by inner product.
 
-    ``is_query`` is a condition on vec_id. Every usable row is indexed. An
-    empty table, or one without usable vectors, gives no rows. Rows that share
-    an id are candidates each, but never for a query of that id.
+    ``is_query`` is a condition on vec_id. Every usable row is indexed. A
+    query whose leaves hold fewer than k others is compared with all vectors.
+    An empty table, or one without usable vectors, gives no rows. Rows that
+    share an id are candidates each, but never for a query of that id.
     """
     spark = vectors.sparkSession
+    nothing = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     rows = common.staged(usable(vectors, id_col, vec_col), "vectors")
     total = rows.count()
-    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
-    router = learn(matrix([r.v for r in drawn]) if drawn else np.zeros((0, 0)), total, k, target)
-    sent = spark.sparkContext.broadcast(router)
+    if not total:
+        return nothing
+    sent = spark.sparkContext.broadcast(train(rows, total, k, target))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                ranked = sent.value.ranked(matrix(batch.column(1).to_pylist()))[:, : sent.value.probes].astype(np.int32)
-                offsets = pa.array(np.arange(len(ranked) + 1) * ranked.shape[1], pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, pa.array(ranked.ravel()))], ["vec_id", "v", "parts"])
+                part, leaf = sent.value.home(matrix(batch.column(1).to_pylist()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part, pa.int32()), pa.array(leaf, pa.int32())], ["vec_id", "v", "part", "leaf"])
 
-    routed = common.staged(rows.mapInArrow(route, "vec_id bigint, v binary, parts array<int>"), "routed")
-    home = routed.select("vec_id", "v", F.element_at("parts", 1).alias("part"))
-    asked = routed.where(is_query).select(F.col("vec_id").alias("query_id"), "v", F.explode("parts").alias("part"))
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each part that a query visits, with the leaves there as bits."""
+        router = sent.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = matrix(batch.column(1).to_pylist())
+            shares = router.parts.log_shares(x)
+            for p in range(len(router.leaves)):
+                near = np.flatnonzero(shares[:, p] >= router.least)
+                wanted = router.log_leaves(x[near], shares[near], p) >= router.least
+                near, wanted = near[wanted.any(1)], wanted[wanted.any(1)]
+                some = batch.take(pa.array(near))
+                bits = [r.tobytes() for r in np.packbits(wanted, axis=1)]
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(np.full(len(near), p), pa.int32()), pa.array(bits, pa.binary())], ["query_id", "v", "part", "leaves"])
+
+    home = common.staged(rows.mapInArrow(route, "vec_id bigint, v binary, part int, leaf int"), "routed")
+    queries = rows.where(is_query)
+    asked = common.staged(queries.mapInArrow(visits, "query_id bigint, v binary, part int, leaves binary"), "asked")
     sizes = {r.part: r["count"] for r in home.groupBy("part").count().collect()}  # at most MAX_PARTS rows
+    best = common.staged(_compared(home, asked, sizes, k), "best")
+    # Queries whose leaves hold too few: compared with all of every part.
+    whole = rows.groupBy("vec_id").count().select(F.col("vec_id").alias("query_id"), (F.lit(total) - F.col("count")).alias("others")).join(queries.select(F.col("vec_id").alias("query_id")).distinct(), "query_id")
+    lists = best.select("query_id", F.size("top").alias("n"))
+    short = common.staged(whole.join(lists, "query_id", "left").where(F.coalesce("n", F.lit(0)) < F.least(F.lit(k), "others")).select("query_id"), "short")
+    if not short.isEmpty():
+        every = F.explode(F.array(*map(F.lit, sorted(sizes)))).cast("int").alias("part")
+        again = queries.withColumnRenamed("vec_id", "query_id").join(short, "query_id", "left_semi").select("query_id", "v", every, F.lit(None).cast("binary").alias("leaves"))
+        best = best.join(short, "query_id", "left_anti").unionByName(_compared(home, common.staged(again, "again"), sizes, k))
+    return best.select("query_id", F.posexplode("top").alias("pos", "t")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), "t.vec_id", "t.score")
+
+
+def _compared(home: DataFrame, asked: DataFrame, sizes: dict[int, int], k: int) -> DataFrame:
+    """query_id, top: the k nearest (vec_id, score) of each query in the leaves that it asks for; null leaves are all."""
     asks = {r.part: r["count"] for r in asked.groupBy("part").count().collect()}
-    if not sizes or not asks:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    pieces = lambda counts, each: F.element_at(F.create_map(*(F.lit(int(y)) for p, n in counts.items() for y in (p, -(-n // each)))), F.col("part"))
-    mine = F.coalesce(pieces(sizes, PIECE_ROWS), F.lit(1))
-    theirs = F.coalesce(pieces(asks, PIECE_QUERIES), F.lit(1))
+    pieces = lambda counts, each: F.coalesce(F.element_at(F.create_map(F.lit(-1), F.lit(1), *(F.lit(int(y)) for p, n in counts.items() for y in (p, -(-n // each)))), F.col("part")), F.lit(1))
+    mine, theirs = pieces(sizes, PIECE_ROWS), pieces(asks, PIECE_QUERIES)
     # Each piece of a part's vectors meets each piece of its queries once.
     left = home.withColumn("a", F.pmod(F.xxhash64("vec_id"), mine).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), theirs - 1)))
     right = asked.withColumn("b", F.pmod(F.xxhash64("query_id"), theirs).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), mine - 1)))
@@ -230,7 +340,16 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
     def compare(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(vectors) or not len(queries):
             return pd.DataFrame({"query_id": [], "ids": [], "scores": []}).astype({"query_id": "int64", "ids": object, "scores": object})
-        q, i, s = best_of(vectors["vec_id"].to_numpy(), matrix(vectors["v"].tolist()), queries["query_id"].to_numpy(), matrix(queries["v"].tolist()), k)
+        vectors = vectors.sort_values(["leaf", "vec_id"], kind="stable")
+        ids, x = vectors["vec_id"].to_numpy(), matrix(vectors["v"].tolist())
+        found = []
+        for whole, some in queries.groupby(queries["leaves"].isna()):
+            cuts = probed = None
+            if not whole:
+                probed = np.unpackbits(np.frombuffer(b"".join(map(bytes, some["leaves"])), np.uint8).reshape(len(some), -1), axis=1).astype(bool)
+                cuts = np.searchsorted(vectors["leaf"].to_numpy(), np.arange(probed.shape[1] + 1))
+            found.append(best_of(ids, x, some["query_id"].to_numpy(), matrix(some["v"].tolist()), k, cuts, probed))
+        q, i, s = (np.concatenate(z) for z in zip(*found, strict=True))
         cut = np.flatnonzero(np.diff(q)) + 1
         first = np.concatenate([[0], cut])[: len(q)]
         return pd.DataFrame({"query_id": q[first], "ids": np.split(i, cut)[: len(first)], "scores": np.split(s, cut)[: len(first)]})
@@ -240,5 +359,4 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
     # A query has a list of k from each piece at most, so those of one query are few.
     lists = found.groupBy("query_id").agg(F.flatten(F.collect_list(F.arrays_zip("ids", "scores"))).alias("all"))
     ranked = F.array_sort(F.transform("all", lambda x: F.struct((-x["scores"]).alias("m"), x["ids"].alias("vec_id"), x["scores"].alias("score"))))
-    best = lists.select("query_id", F.slice(ranked, 1, k).alias("top"))
-    return best.select("query_id", F.posexplode("top").alias("pos", "t")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), "t.vec_id", "t.score")
+    return lists.select("query_id", F.slice(ranked, 1, k).alias("top"))

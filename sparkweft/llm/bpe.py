@@ -30,9 +30,23 @@ from pyspark.sql import DataFrame
 from sparkweft.llm import common, pretoken
 
 #: Pieces whose encoding a worker keeps, the longest that it keeps, and answers that its pair table keeps.
-CACHE_PIECES, CACHE_LENGTH, PAIRS = 300_000, 64, 250_000
+CACHE_PIECES, CACHE_LENGTH, PAIRS = 200_000, 64, 200_000
 #: Bytes of text that are encoded at once; arrays over them take some 60 times as much.
 CHUNK = 500_000
+#: The rules of a vocabulary file that this module follows.
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "decoder": None,
+}
+#: Settings of its model.
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
 #: Final symbols are told from inner ones by this distance.
 FINAL = 0x8000
 
@@ -164,6 +178,9 @@ class WordBpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        other = [k for k, v in RULES.items() if spec.get(k) != v] + [k for k, v in MODEL.items() if model.get(k, v) != v]
+        if other:
+            raise ValueError(f"{path} has other rules than this module follows: {', '.join(other)}")
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.suffix = model.get("end_of_word_suffix") or ""
         self.bpe = Backtracking(model["vocab"], merges, self.suffix)

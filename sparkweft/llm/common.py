@@ -82,8 +82,8 @@ def slices(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.Record
         yield batch.slice(start)
 
 
-#: Bits of the map that ``maybe_in`` sends to every task: 8 MB.
-MAP_BITS = 1 << 26
+#: Bits that the map of ``maybe_in`` has for a key, and at most: 8 MB.
+KEY_BITS, MAP_BITS = 16, 1 << 26
 
 
 def maybe_in(rows: DataFrame, column: str, keys: DataFrame, key: str, flag: str) -> DataFrame:
@@ -92,8 +92,10 @@ def maybe_in(rows: DataFrame, column: str, keys: DataFrame, key: str, flag: str)
     The map of the keys' hashes is of MAP_BITS / 8 bytes at most, whatever
     their number: values that share a bit only make it say true too often.
     So it goes to every task, and rows that it tells apart need no shuffle.
+    The keys are counted first, so they should be a written table.
     """
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS)) + 1
+    size = min(MAP_BITS, 1 << max(15, (KEY_BITS * keys.count()).bit_length()))
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(size)) + 1
     bits = keys.select(bit(key).alias("b")).groupBy(F.bitmap_bucket_number("b").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("__bits"))
     at = F.bitmap_bit_position(bit(column)).cast("int")
     byte = F.conv(F.hex(F.substring("__bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")

@@ -26,8 +26,8 @@ from sparkweft.llm import common
 SEED_WORDS, COVERAGE = 5, 0.5
 #: Bits of the Bloom filter for a seed and at most (32 MB), and its probes; a larger benchmark only lets more seeds pass.
 BITS_PER_SEED, MOST_BITS, PROBES = 64, 1 << 28, 4
-#: Items that a document is tiled with at once, word pairs that are compared at once.
-GROUP_ITEMS, PAIRS = 64, 1_000_000
+#: Items that a document is tiled with at once, word pairs that are compared at once, bytes of texts that are hashed at once.
+GROUP_ITEMS, PAIRS, CHUNK = 64, 1_000_000, 400_000
 
 _P, _Q, _MIX = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F, np.uint64(0xBF58476D1CE4E5B9)
 
@@ -252,7 +252,7 @@ def _suspects(docs: DataFrame, items: DataFrame, id_col: str, text_col: str) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.frombuffer(sent.value, np.uint8)
         for batch in batches:
-            for part in common.slices(batch, 1, 1_500_000):
+            for part in common.slices(batch, 1, CHUNK):
                 texts = common.column_bytes(part.column(1))
                 hashes, owners = [], []
                 for width in widths:

@@ -25,6 +25,7 @@ among which its rows are dealt, so it fills no single task.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -43,6 +44,8 @@ SHARD_IDS, CHUNK = 400_000, 2_000_000
 #: Pieces whose ids a worker keeps, and the longest that it keeps.
 CACHE_PIECES, CACHE_LENGTH = 500_000, 64
 SELECT_STEP = 64
+#: The rules of a vocabulary file that this module follows.
+RULES = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}
 
 
 class EliasFano:
@@ -152,8 +155,13 @@ class ByteBpe:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        from sparkweft.llm.bpe import byte_symbols
+        from sparkweft.llm.bpe import MODEL, byte_symbols
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        other = [k for k, v in RULES.items() if spec.get(k) != v] + [k for k, v in MODEL.items() if spec["model"].get(k, v) != v]
+        if other:
+            raise ValueError(f"{path} has other rules than this module follows: {', '.join(other)}")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()

@@ -43,6 +43,13 @@ def test_bpe_equals_library(spark, table):
     assert bpe.encode_texts(docs_of(spark, []), path).count() == 0
 
 
+def test_other_rules_are_refused():
+    """A file that splits or normalises otherwise would give wrong ids."""
+    for make, name in ((bpe.WordBpe, "byte_bpe_50k.json"), (tokenbin.ByteBpe, "word_bpe_49k.json")):
+        with pytest.raises(ValueError, match="other rules"):
+            make(queries.vocabulary(name))
+
+
 def test_backtracking_equals_merging():
     w = bpe.tokenizer(queries.vocabulary("word_bpe_49k.json"))
     rnd = random.Random(3)
@@ -589,6 +596,16 @@ def test_nearest(spark):
         assert mine == sorted(mine, key=lambda t: (-t[1], t[0])) and all(abs(s[i] - v) < 1e-12 for i, v in mine)
         hits += len(set(best) & {i for i, _ in mine})
     assert set(by) == set(range(0, 4000, 20)) and hits >= 0.9 * 20 * 200
+    # A query far from all leaves that it would visit is compared with all vectors.
+    apart = [(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([x[:2000], rng.normal(size=(6, 16)) * 1e-3 - 50]))]
+    alone = ann.search(spark.createDataFrame(apart, "vec_id bigint, embedding array<float>, part int"), F.expr("vec_id = 2000"), target=0.05).collect()
+    y = np.array([np.float32(v) for _, v, _ in apart], np.float64)
+    s = (y * y[2000]).sum(1)
+    s[2000] = -np.inf
+    assert [r.vec_id for r in sorted(alone, key=lambda r: r["rank"])][:5] == sorted(range(2006), key=lambda i: (-s[i], i))[:5] and len(alone) == 20
+    big = [(i, [1e200 * (i + 1), 1e200]) for i in range(30)]
+    huge = ann.search(spark.createDataFrame(big, "vec_id bigint, embedding array<double>"), F.expr("vec_id % 20 = 0")).collect()
+    assert len(huge) == 40 and all(r.score == float("inf") for r in huge)
     few = ann.search(df.where("vec_id < 5"), F.expr("vec_id % 20 = 0")).collect()
     assert [(r.query_id, r["rank"]) for r in sorted(few, key=lambda r: r["rank"])] == [(0, 1), (0, 2), (0, 3), (0, 4)]
     assert ann.search(df.limit(0), F.expr("vec_id % 20 = 0")).count() == 0
