@@ -313,4 +313,4 @@ def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str, more: str,
                 made = columns(ids, cuts, tok.decode_many(ids, cuts))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(cuts), pa.int64()), *made], names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(common.tidy(run), schema)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,14 +105,54 @@ def maybe_in(rows: DataFrame, column: str, keys: DataFrame, key: str, flag: str)
     return told.withColumn(flag, F.coalesce(F.getbit(byte, at % 8) == 1, F.lit(False))).select(*rows.columns, flag)
 
 
-def connected_components(edges: DataFrame, node_type: str = "bigint") -> DataFrame:
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function for batches, which at its end gives freed memory back: workers live on and serve later stages."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+        if trim:
+            trim(0)
+
+    return tidied
+
+
+#: Edges that one task connects by itself: 16 bytes each.
+FEW_EDGES = 500_000
+
+
+def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, to) of the edges of all batches: least labels spread along edges, and along labels."""
+    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if not got:
+        return
+    a, b = (np.concatenate(x) for x in zip(*got, strict=True))
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        while (new != new[new]).any():
+            new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], ["node", "to"])
+
+
+def connected_components(edges: DataFrame, node_type: str = "bigint", few: int = FEW_EDGES) -> DataFrame:
     """(node, root) for each node of an undirected edge list (a, b).
 
     Each round every node takes the neighbour of least priority, itself
     included, and the edges are relabelled by it. The priority is a hash of
     the node, so chains that are sorted by node do not unroll one by one; the
     edges shrink by a constant factor a round. The maps of the rounds are then
-    composed, last first. Every round is a written table.
+    composed, last first. Every round is a written table. As soon as ``few``
+    edges or less are left one task ends the work.
 
     Nodes with many edges cost no single task: the minimum is combined before
     the shuffle and relabelling is a plain join that Spark may split.
@@ -119,7 +161,10 @@ def connected_components(edges: DataFrame, node_type: str = "bigint") -> DataFra
     key = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("n"))
     now = staged(edges.select(F.col("a").cast(node_type), F.col("b").cast(node_type)).where("a <> b").distinct(), "edges")
     maps: list[DataFrame] = []
-    while not now.isEmpty():
+    while left := now.count():
+        if left <= few:
+            maps.append(staged(now.coalesce(1).mapInArrow(_rooted, f"node {node_type}, to {node_type}"), "step"))
+            break
         ways = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         best = ways.groupBy("a").agg(F.min(key("b")).alias("m"))
         up = F.when(F.col("m") < key("a"), F.col("m.n")).otherwise(F.col("a"))

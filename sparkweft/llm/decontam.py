@@ -269,7 +269,7 @@ def _suspects(docs: DataFrame, items: DataFrame, id_col: str, text_col: str) ->
                 yield pa.RecordBatch.from_arrays([*rows.columns, _lists([np.unique(h[owner == i]) for i in mine], pa.int64())], ["doc_id", "text", "seeds"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, text string, seeds array<bigint>")
+    found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(common.tidy(run), f"doc_id {kind}, text string, seeds array<bigint>")
     return common.staged(found.withColumn("n", F.monotonically_increasing_id()), "suspects")
 
 

@@ -120,7 +120,7 @@ def train(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text
             rows = [features(t).astype(np.float16).tobytes() for t in common.column_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["label", "x"])
 
-    rows = labelled.where(drawn).select(F.col(label_col).alias("label"), text_col).mapInArrow(run, "label string, x binary").collect()
+    rows = labelled.where(drawn).select(F.col(label_col).alias("label"), text_col).mapInArrow(common.tidy(run), "label string, x binary").collect()
     rows.sort(key=lambda r: (r.label, bytes(r.x)))
     x = np.frombuffer(b"".join(bytes(r.x) for r in rows), np.float16).reshape(-1, FEATURES).astype(np.float32)
     return fit(x, [r.label for r in rows])
@@ -158,7 +158,7 @@ def predict(docs: DataFrame, model: Model, keep: list[Column | str], text_col: s
                     lang[i], score[i], doubt[i] = model.languages[k], float(s), s < AMBIGUOUS
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(lang), pa.array(score, pa.float64()), pa.array(doubt)], [*names, "lang_pred", "score", "ambiguous"])
 
-    return given.mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double", "ambiguous boolean"]))
+    return given.mapInArrow(common.tidy(run), ", ".join([*fields, "lang_pred string", "score double", "ambiguous boolean"]))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -96,7 +96,7 @@ def fingerprints(docs: DataFrame, width: int, lanes: int = 1, repeats: bool = Tr
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(run, "doc_id bigint, fp binary")
+    return rows.mapInArrow(common.tidy(run), "doc_id bigint, fp binary")
 
 
 def _forest_matrix(m: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -278,7 +278,7 @@ def _sets(docs: DataFrame, prefix: bool) -> DataFrame:
             held = [np.unique(s[: len(s) - len(s) * 7 // 10].astype(np.uint32)).view(np.int32) if prefix else s.view(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), pa.array(size), _lists(held, pa.int32() if prefix else pa.int64())], ["doc_id", "fp", "size", "tokens"])
 
-    rows = docs.select("doc_id", "t").mapInArrow(run, f"doc_id bigint, fp bigint, size bigint, tokens array<{'int' if prefix else 'bigint'}>")
+    rows = docs.select("doc_id", "t").mapInArrow(common.tidy(run), f"doc_id bigint, fp bigint, size bigint, tokens array<{'int' if prefix else 'bigint'}>")
     return rows.withColumn("row", F.monotonically_increasing_id())
 
 
@@ -364,11 +364,13 @@ def _hits(rows: DataFrame, parts: int) -> DataFrame:
         order = np.argsort(token, kind="stable")
         same = token[order[1:]] == token[order[:-1]]
         row = row[order[np.append(same, False) | np.append(False, same)]] if len(order) else row
-        found, hits = np.unique(row[row >= 0], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(hits.astype(np.int64))], ["row", "hits"])
+        row = row[row >= 0]
+        for i in range(0, len(row), 65536):
+            some = row[i : i + 65536]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.ones(len(some), np.int64))], ["row", "hits"])
 
-    dealt = rows.select("tokens", "row").mapInArrow(deal, "part int, base bigint, blob binary, row bigint, hits bigint").repartitionById(parts, F.col("part"))
-    return dealt.mapInArrow(meet, "row bigint, hits bigint").groupBy("row").agg(F.sum("hits").alias("hits"))
+    dealt = rows.select("tokens", "row").mapInArrow(common.tidy(deal), "part int, base bigint, blob binary, row bigint, hits bigint").repartitionById(parts, F.col("part"))
+    return dealt.mapInArrow(common.tidy(meet), "row bigint, hits bigint").groupBy("row").agg(F.sum("hits").alias("hits"))
 
 
 def _join_bytes_pair(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -427,7 +429,7 @@ def _keyed(sets: DataFrame) -> DataFrame:
                 marks.append(fingerprint(mine.view(np.uint64), 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks, pa.binary()), pa.array(share, pa.int8()), _lists(keys, pa.int32()), _lists(maps, pa.int64())], ["n", "size", "mark", "share", "keys", "maps"])
 
-    return sets.select("row", "size", "tokens").mapInArrow(run, "n bigint, size bigint, mark binary, share tinyint, keys array<int>, maps array<bigint>")
+    return sets.select("row", "size", "tokens").mapInArrow(common.tidy(run), "n bigint, size bigint, mark binary, share tinyint, keys array<int>, maps array<bigint>")
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -474,6 +476,8 @@ def set_links(held: DataFrame, distinct: DataFrame, docs: DataFrame) -> DataFram
         near = WHOLE * F.least("a_size", "b_size") >= PART * F.greatest("a_size", "b_size")
         near &= (PART + WHOLE) * apart <= (WHOLE - PART) * (F.col("a_size") + F.col("b_size"))
         close = common.staged(pairs.join(one, "a").join(two, "b").where(near).select("a", "b").distinct(), "close")
+        if close.isEmpty():
+            return close
         # Only the sets of these pairs travel.
         x, y = (common.maybe_in(tokens, "n", close, c, "may").where("may").select(F.col("n").alias(c), F.col("tokens").alias(v)) for c, v in (("a", "x"), ("b", "y")))
         both = close.join(x, "a").join(y, "b").select("a", "b", "x", "y")

@@ -275,8 +275,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, out: str, id
         if keys:
             yield close()
 
-    dealt = rows.mapInArrow(encode, "k bigint, part int, ids binary").repartitionById(parts, F.col("part"))
-    dealt.select("k", "ids").sortWithinPartitions(F.col("k").asc_nulls_first()).mapInArrow(run, SHARDS).write.option("parquet.block.size", 16 << 20).parquet(out)
+    dealt = rows.mapInArrow(common.tidy(encode), "k bigint, part int, ids binary").repartitionById(parts, F.col("part"))
+    dealt.select("k", "ids").sortWithinPartitions(F.col("k").asc_nulls_first()).mapInArrow(common.tidy(run), SHARDS).write.option("parquet.block.size", 16 << 20).parquet(out)
     return out
 
 

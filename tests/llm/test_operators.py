@@ -306,11 +306,11 @@ def test_near_components_against_all_pairs(spark):
 
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (200, 200)] + [(300, 300 + i) for i in range(1, 40)]
-    got = common.connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
-    groups = {}
-    for r in got:
-        groups.setdefault(r.root, set()).add(r.node)
-    assert sorted(map(sorted, groups.values())) == [list(range(61)), [100, 101], list(range(300, 340))]
+    for few in (0, 20, 1000):  # by rounds alone, by both ways, by one task
+        groups = {}
+        for r in common.connected_components(spark.createDataFrame(edges, "a bigint, b bigint"), few=few).collect():
+            groups.setdefault(r.root, set()).add(r.node)
+        assert sorted(map(sorted, groups.values())) == [list(range(61)), [100, 101], list(range(300, 340))]
 
 
 def plain_line_dedup(rows, min_chars, min_docs):
