@@ -26,7 +26,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkweft.llm import common
@@ -469,13 +469,19 @@ def set_links(held: DataFrame, distinct: DataFrame, docs: DataFrame) -> DataFram
     facts = keyed.select("n", "size", *[F.col("maps")[i].alias(m) for i, m in enumerate(maps)])
     tokens = sets.select(F.col("row").alias("n"), "tokens")
 
+    def told(rows: DataFrame, n: str) -> DataFrame:
+        """The rows with size and parity map of n, under its name."""
+        return rows.join(facts.toDF(n, *[f"{n}_{c}" for c in ("size", *maps)]), n)
+
+    def near(x: str, y: str) -> Column:
+        """Whether sizes and parity maps allow the similarity."""
+        apart = sum((F.bit_count(F.col(f"{x}_{m}").bitwiseXOR(F.col(f"{y}_{m}"))) for m in maps), F.lit(0))
+        sizes = WHOLE * F.least(f"{x}_size", f"{y}_size") >= PART * F.greatest(f"{x}_size", f"{y}_size")
+        return sizes & ((PART + WHOLE) * apart <= (WHOLE - PART) * (F.col(f"{x}_size") + F.col(f"{y}_size")))
+
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The written pairs (a, b) that are at the similarity."""
-        one, two = (facts.toDF(x, *[f"{x}_{c}" for c in ("size", *maps)]) for x in ("a", "b"))
-        apart = sum((F.bit_count(F.col(f"a_{m}").bitwiseXOR(F.col(f"b_{m}"))) for m in maps), F.lit(0))
-        near = WHOLE * F.least("a_size", "b_size") >= PART * F.greatest("a_size", "b_size")
-        near &= (PART + WHOLE) * apart <= (WHOLE - PART) * (F.col("a_size") + F.col("b_size"))
-        close = common.staged(pairs.join(one, "a").join(two, "b").where(near).select("a", "b").distinct(), "close")
+        close = common.staged(told(told(pairs, "a"), "b").where(near("a", "b")).select("a", "b").distinct(), "close")
         if close.isEmpty():
             return close
         # Only the sets of these pairs travel.
@@ -510,7 +516,12 @@ def set_links(held: DataFrame, distinct: DataFrame, docs: DataFrame) -> DataFram
         part = F.when(F.col("small") & F.lit(some > 1), F.col("n")).otherwise(F.pmod(F.xxhash64("n", F.lit(some)), F.lit(some)))
         heads = placed.groupBy("key", part.alias("part")).agg(F.min("o").alias("o")).select("key", F.col("o").bitwiseAND(F.lit((1 << 58) - 1)).alias("r_n"))
         heads = common.staged(rooted(heads, "r_n", "r_c"), "heads")
-        pairs = placed.join(heads, "key").where("c <> r_c").select(*ends("n", "r_n")).distinct()
+        met = F.col("p.c") != F.col("h.r_c")
+        if some > 1:  # several heads a bucket: only pairs that may be alike leave the join
+            placed_, heads_, met = told(placed, "n"), told(heads, "r_n"), met & near("n", "r_n")
+        else:
+            placed_, heads_ = placed, heads
+        pairs = placed_.alias("p").join(heads_.alias("h"), (F.col("p.key") == F.col("h.key")) & met).select(*ends("n", "r_n")).distinct()
         pairs = common.staged(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         new = confirmed(pairs)
         more = not new.isEmpty()
