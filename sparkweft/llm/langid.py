@@ -9,6 +9,7 @@ worse the text is flagged as ambiguous.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 from sparkweft.llm import common
 
 UNKNOWN = "und"
-#: Hashed features, rows that a language gives to the training sample, longest code.
-FEATURES, SAMPLE_PER_LANGUAGE, MAX_BITS = 4096, 1000, 31
+#: Hashed features, rows that a language gives to the training sample, rows that all give at most, longest code.
+FEATURES, SAMPLE_PER_LANGUAGE, MOST_SAMPLE, MAX_BITS = 4096, 1000, 16_000, 31
 #: A text is ambiguous if its share of the likelihood is below this.
 AMBIGUOUS = 0.4
 
@@ -104,15 +105,17 @@ def train(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text
     """A model from the labelled rows given.
 
     The sample has about ``per_language`` rows of each language, or all if it
-    has fewer; rows are taken by a hash of their id. That bound keeps what
-    comes to the driver small; nothing else is sampled.
+    has fewer, and all languages together about MOST_SAMPLE; rows are taken by
+    a hash of their id. That bound keeps what comes to the driver small;
+    nothing else is sampled.
     """
     common.small_batches(docs.sparkSession)
     labelled = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in labelled.groupBy(label_col).count().collect()}
     if not counts:
         return fit(np.zeros((0, FEATURES), np.float32), [])
-    share = F.element_at(F.create_map(*(F.lit(v) for k, n in counts.items() for v in (k, min(1.0, per_language / n)))), F.col(label_col))
+    most = min(per_language, MOST_SAMPLE / len(counts))
+    share = F.element_at(F.create_map(*(F.lit(v) for k, n in counts.items() for v in (k, min(1.0, most / n)))), F.col(label_col))
     drawn = F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < share * F.lit(float(1 << 30))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,10 +123,15 @@ def train(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text
             rows = [features(t).astype(np.float16).tobytes() for t in common.column_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["label", "x"])
 
-    rows = labelled.where(drawn).select(F.col(label_col).alias("label"), text_col).mapInArrow(common.tidy(run), "label string, x binary").collect()
-    rows.sort(key=lambda r: (r.label, bytes(r.x)))
-    x = np.frombuffer(b"".join(bytes(r.x) for r in rows), np.float16).reshape(-1, FEATURES).astype(np.float32)
-    return fit(x, [r.label for r in rows])
+    rows = labelled.where(drawn).select(F.col(label_col).alias("label"), text_col).mapInArrow(common.tidy(run), "label string, x binary").toArrow()
+    labels, raw = rows["label"].to_pylist(), rows["x"].combine_chunks()
+    x = np.frombuffer(b"".join(y.as_buffer() for y in raw), np.float16).reshape(-1, FEATURES)
+    order = sorted(range(len(labels)), key=lambda i: (labels[i], zlib.crc32(x[i])))  # whatever the order of the rows
+    del rows, raw
+    model = fit(x[order].astype(np.float32), [labels[i] for i in order])
+    del x
+    common.give_back()
+    return model
 
 
 def has_letter(text: str) -> bool:

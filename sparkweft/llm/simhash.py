@@ -394,8 +394,8 @@ def _may_have_partner(held: DataFrame, distinct: DataFrame) -> DataFrame:
 def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that many sets hold, and how many, on some of the sets: any order of shingles gives the same pairs, so this only sets the cost."""
     some = sets.where(F.pmod("fp", F.lit(EVERY)) == 0).select(F.explode("tokens").alias("token")).groupBy("token").count().where("count > 2")
-    rows = some.orderBy(F.desc("count"), "token").limit(FREQUENT).collect()
-    token, count = np.array([r.token for r in rows], np.int64), np.array([r["count"] for r in rows], np.int64)
+    rows = some.orderBy(F.desc("count"), "token").limit(FREQUENT).toArrow()
+    token, count = rows["token"].to_numpy(), rows["count"].to_numpy()
     order = np.argsort(token)
     return token[order], count[order]
 
