@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 #: The dashes that prose must not hold.
 DASHES = "[—–]"
 #: Spacing accents and the combining marks that replace them.
-ACCENTS = {
-    "^": "̂", "ˆ": "̂", "~": "̃", "˜": "̃", "¯": "̄",
-    "‾": "̄", "˙": "̇", "¨": "̈", "ˇ": "̌", "→": "⃗",
-}
+ACCENTS = {"¯": "\u0304", "^": "\u0302", "~": "\u0303", "¨": "\u0308", "´": "\u0301", "`": "\u0300", "˘": "\u0306", "˙": "\u0307", "ˇ": "\u030c", "→": "\u20d7"}
+#: Operators whose limits stand above and below, and those whose limits stand beside.
+LIMITS = {"undOvr": "∑∏∐⋃⋂⨂⨁⨀", "subSup": "∫∬∭∮"}
+#: Relational signs, at which an operator's body ends.
+RELATIONS = "=<>≤≥≠≈≡≪≫⇔⇒↔→←∝"
+#: From which measures on a piece of code is reported; lines must exceed theirs.
+LARGE_CODE = {"lines": 41, "params": 5, "methods": 10, "nesting": 3}
 
 
 def sanitize_prose(text: Column) -> Column:
@@ -92,3 +95,25 @@ def rank_in(value: Column, order: list[str]) -> Column:
     """Place of a value in an ordered domain; unknown values come last."""
     ranked = reduce(lambda acc, kv: acc.when(value == kv[1], kv[0]), enumerate(order[1:], 1), F.when(value == order[0], 0))
     return ranked.otherwise(len(order)).cast("int")
+
+
+def limit_place(sign: Column) -> Column:
+    """Where the limits of an operator stand, null for any other sign."""
+    return F.when(F.trim(sign).isin(*LIMITS["undOvr"]), "undOvr").when(F.trim(sign).isin(*LIMITS["subSup"]), "subSup")
+
+
+def ends_body(sign: Column) -> Column:
+    """Whether the sign is a relation, at which the body of an operator ends."""
+    return F.coalesce(F.trim(sign).isin(*RELATIONS), F.lit(False))
+
+
+def is_upright(identifier: Column, variant: Column) -> Column:
+    """Names of several letters stand upright, single letters only if they are marked normal; null if there is no name."""
+    name = F.trim(identifier)
+    return F.when(F.char_length(name) > 0, (F.char_length(name) > 1) | F.coalesce(variant == "normal", F.lit(False)))
+
+
+def large_code(lines: Column, params: Column, methods: Column, nesting: Column) -> Column:
+    """Names of the measures by which a piece of code is too large."""
+    given = {"lines": lines, "params": params, "methods": methods, "nesting": nesting}
+    return F.filter(F.array(*(F.when(given[k] >= least, k) for k, least in LARGE_CODE.items())), lambda x: x.isNotNull())

@@ -12,13 +12,21 @@ def ordered_union(overlay: Column, base: Column) -> Column:
     return F.array_union(overlay, base)
 
 
-def ordered_union_json(overlay: Column, base: Column) -> Column:
-    """The same for lists of JSON texts, alike if their canonical form is.
+def ordered_union_json(overlay: Column, base: Column, equality: str = "host") -> Column:
+    """The same for lists of JSON texts, which are read and written again; see ``merge_outcome`` for what is equal. Texts that are no JSON go."""
 
-    ``1``, ``1.0`` and ``true`` stay apart, unlike under host-language equality.
-    """
-    canonical = lambda xs: F.transform(xs, lambda x: F.to_json(F.try_parse_json(x)))
-    return F.array_union(canonical(overlay), canonical(base))
+    @F.pandas_udf("array<string>")
+    def united(o: pd.Series, b: pd.Series) -> pd.Series:
+        def read(texts):
+            for t in texts if texts is not None else ():
+                try:
+                    yield json.loads(t)
+                except (TypeError, ValueError):
+                    continue
+
+        return pd.Series([[json.dumps(v, ensure_ascii=False, separators=(",", ":")) for v in union_values([*read(x)], [*read(y)], equality)] for x, y in zip(o, b, strict=True)], dtype=object)
+
+    return united(overlay, base)
 
 
 def prepend_unless(items: Column, item: Column, same) -> Column:
@@ -26,42 +34,70 @@ def prepend_unless(items: Column, item: Column, same) -> Column:
     return F.when(F.exists(items, same), items).otherwise(F.concat(F.array(item), items))
 
 
-def _canonical(x) -> str:
-    return json.dumps(x, sort_keys=True)
+def _comparable(x):
+    """A value in which all that is equal in the host language looks the same: 1, 1.0 and true are."""
+    if isinstance(x, (bool, float)) and x == x and abs(x) != float("inf"):
+        return int(x) if int(x) == x else x
+    if isinstance(x, list):
+        return [_comparable(y) for y in x]
+    return {k: _comparable(v) for k, v in x.items()} if isinstance(x, dict) else x
+
+
+def _key(x, equality: str) -> str:
+    return json.dumps(_comparable(x) if equality == "host" else x, sort_keys=True)
+
 
+def union_values(overlay: list, base: list, equality: str) -> list:
+    """The overlay's items, then the base's others; of equal items the first stays."""
+    first: dict[str, object] = {}
+    for x in (*overlay, *base):
+        first.setdefault(_key(x, equality), x)
+    return list(first.values())
 
-def merge_values(base, overlay, union: frozenset[str], path: str = ""):
+
+def merge_values(base, overlay, union: frozenset[tuple[str, ...]], equality: str, path: tuple[str, ...] = ()):
     """Overlay wins; objects merge key by key; lists at a path in ``union`` unite; null overwrites."""
     if isinstance(base, dict) and isinstance(overlay, dict):
-        out = dict(base)
-        for key, value in overlay.items():
-            at = f"{path}.{key}" if path else key
-            out[key] = merge_values(base[key], value, union, at) if key in base else value
-        return out
+        changed = {k: merge_values(base[k], v, union, equality, (*path, k)) if k in base else v for k, v in overlay.items()}
+        return base | changed
     if isinstance(base, list) and isinstance(overlay, list) and path in union:
-        seen: set[str] = set()
-        return [x for x in overlay + base if not ((k := _canonical(x)) in seen or seen.add(k))]
+        return union_values(overlay, base, equality)
     return overlay
 
 
-def deep_merge(base: Column, overlay: Column, union: list[str] = ()) -> Column:
-    """Merged JSON text; null if either text is not an object. Depth is unbounded, hence Arrow batches in Python."""
-    paths = frozenset(union)
+def merge_outcome(base: Column, overlay: Column, union=(), equality: str = "host") -> Column:
+    """doc and outcome of a merge: merged, current (the base already holds it all) or rejected.
+
+    Paths in ``union`` are tuples of keys; a string is cut at its dots. With
+    the equality ``host`` the numbers 1 and 1.0 and true are one list item,
+    with ``text`` only what is written alike. Null and blank texts are empty
+    objects; a text that is no object is rejected, and doc is null. Depth is
+    unbounded, hence Arrow batches in Python.
+    """
+    paths = frozenset(tuple(p.split(".")) if isinstance(p, str) else tuple(p) for p in union)
 
-    @F.pandas_udf("string")
-    def merged(b: pd.Series, o: pd.Series) -> pd.Series:
+    @F.pandas_udf("doc string, outcome string")
+    def merged(b: pd.Series, o: pd.Series) -> pd.DataFrame:
         def one(x, y):
             try:
-                x, y = json.loads(x or "{}"), json.loads(y or "{}")
+                x, y = (json.loads(t) if t and t.strip() else {} for t in (x, y))
             except ValueError:
-                return None
-            return json.dumps(merge_values(x, y, paths), ensure_ascii=False) if isinstance(x, dict) and isinstance(y, dict) else None
+                return None, "rejected"
+            if not isinstance(x, dict) or not isinstance(y, dict):
+                return None, "rejected"
+            out = merge_values(x, y, paths, equality)
+            return json.dumps(out, ensure_ascii=False), "current" if out == x else "merged"
 
-        return pd.Series([one(x, y) for x, y in zip(b, o, strict=True)], dtype=object)
+        return pd.DataFrame([one(x, y) for x, y in zip(b, o, strict=True)], columns=["doc", "outcome"], dtype=object)
 
     return merged(base, overlay)
 
 
+def deep_merge(base: Column, overlay: Column, union=(), equality: str = "host") -> Column:
+    """Merged JSON text; null if either text is not an object."""
+    return merge_outcome(base, overlay, union, equality)["doc"]
+
+
 def merge_flat(base: DataFrame, overlay: DataFrame, key: str, path: str, value: str) -> DataFrame:
     """One level of documents flattened to (key, path, value): a full outer join with presence flags.
 

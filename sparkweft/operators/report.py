@@ -47,6 +47,18 @@ def complete(parts: DataFrame, keys: list[str], part: str, required: list[str])
     return parts.groupBy(*keys).agg(*have).where(" AND ".join(f"_h{i}" for i in range(len(required)))).select(*keys)
 
 
+def listed(names: DataFrame, by: str, name: str) -> DataFrame:
+    """Each group's names in the order in which they are run, that of their bytes, with their places from 1."""
+    return names.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(name)))
+
+
+def selection(scenarios: DataFrame, agent: str = "", scenario: str = "") -> DataFrame:
+    """How many scenarios a filter leaves, their cost, and whether there is anything to run; nothing is a warning, no failure."""
+    count = select_scenarios(scenarios, agent, scenario).agg(F.count("*").alias("total"))
+    outcome = F.when(F.col("total") > 0, "run").when(F.lit(bool(agent or scenario)), "no match for the filter").otherwise("no scenarios")
+    return count.select("total", (F.col("total") * 2).alias("cost"), outcome.alias("outcome"))
+
+
 def tally(results: DataFrame, by: list[str], passed: str) -> DataFrame:
     """Passed, failed, rate, cost (two runs each) and whether all passed."""
     ok = F.coalesce(F.col(passed), F.lit(False))
@@ -55,9 +67,19 @@ def tally(results: DataFrame, by: list[str], passed: str) -> DataFrame:
     return out.select(*by, "passed", "failed", (F.col("passed") / total).alias("rate"), (total * 2).alias("cost"), (F.col("failed") == 0).alias("all_passed"))
 
 
-def reduce_items(items: DataFrame, by: list[str], met: str, bonus: str) -> DataFrame:
-    """A case passes if every item that is no bonus is met."""
-    return items.groupBy(*by).agg(F.coalesce(F.bool_and(F.when(~F.col(bonus), F.col(met))), F.lit(True)).alias("passed"))
+def reduce_items(items: DataFrame, by: list[str], item: str, met: str, kind: str) -> DataFrame:
+    """passed, matched, missed and forbidden of each case, by the kind of its items: required, bonus or forbidden.
+
+    A case passes if every required item is met and no forbidden one is. The
+    lists are of item numbers in order: met ones that are not forbidden,
+    required ones that are not met, forbidden ones that are met. A case's
+    items are those of one rubric, so the lists are short.
+    """
+    yes = F.coalesce(F.col(met), F.lit(False))
+    forbidden, required = F.col(kind) == "forbidden", F.col(kind) == "required"
+    numbers = lambda which: F.array_sort(F.collect_list(F.when(which, F.col(item))))
+    out = items.groupBy(*by).agg(numbers(yes & ~forbidden).alias("matched"), numbers(required & ~yes).alias("missed"), numbers(forbidden & yes).alias("forbidden"))
+    return out.select(*by, ((F.size("missed") == 0) & (F.size("forbidden") == 0)).alias("passed"), "matched", "missed", "forbidden")
 
 
 def all_gates(gates: DataFrame, by: list[str], gate: str) -> DataFrame:

@@ -1,12 +1,23 @@
 """Counters and flags over ordered records, as windows."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkweft.functions.scalars import ends_body, limit_place
 
-def number_kinds(rows: DataFrame, doc: str, seq: str, kind: str, name: str = "number") -> DataFrame:
-    """An own running number for each kind of block in a document."""
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(doc, kind).orderBy(seq)))
+
+def number_kinds(rows: DataFrame, doc: str, seq: str, kind: str, name: str = "number", counted: Column | None = None) -> DataFrame:
+    """An own running number for each kind of block in a document.
+
+    Rows that are not ``counted``, such as figures whose file is missing, take
+    no number: theirs is null and the next row's is the next.
+    """
+    w = Window.partitionBy(doc, kind).orderBy(seq)
+    if counted is None:
+        return rows.withColumn(name, F.row_number().over(w))
+    taken = F.coalesce(counted, F.lit(False))
+    so_far = F.sum(F.when(taken, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn(name, F.when(taken, so_far).cast("int"))
 
 
 def number_tables(tables: DataFrame, doc: str, seq: str, n_rows: str, name: str = "number") -> DataFrame:
@@ -14,15 +25,16 @@ def number_tables(tables: DataFrame, doc: str, seq: str, n_rows: str, name: str
     return tables.where(F.col(n_rows) > 0).withColumn(name, F.row_number().over(Window.partitionBy(doc).orderBy(seq)))
 
 
-def break_flags(rows: DataFrame, doc: str, seq: str, kind: str) -> DataFrame:
-    """Whether a heading needs a page break before it.
+def break_flags(rows: DataFrame, doc: str, seq: str, kind: str, profile: Column | None = None) -> DataFrame:
+    """Whether a heading needs a page break before it; never where the document's ``profile`` is false.
 
     Only headings (h1) and page breaks touch the state, and a document starts
     as just broken; text between does not clear it.
     """
     before = Window.partitionBy(doc).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
     last = F.last(F.when(F.col(kind).isin("h1", "page_break"), F.col(kind)), ignorenulls=True).over(before)
-    return rows.withColumn("breaks", (F.col(kind) == "h1") & F.coalesce(last == "h1", F.lit(False)))
+    breaks = (F.col(kind) == "h1") & F.coalesce(last == "h1", F.lit(False))
+    return rows.withColumn("breaks", breaks if profile is None else breaks & F.coalesce(profile, F.lit(True)))
 
 
 def restart_lists(rows: DataFrame, doc: str, seq: str, kind: str) -> DataFrame:
@@ -40,6 +52,31 @@ def body_lines(lines: DataFrame, doc: str, pos: str, line: str) -> DataFrame:
     return lines.withColumn("_m", marks).where((F.col("_m") == 2) & (F.col(line) != "---")).drop("_m")
 
 
-def nearest_root(marks: DataFrame, start: str, path: str, depth: str) -> DataFrame:
-    """Of the marked ancestors of each start, the deepest."""
-    return marks.groupBy(start).agg(F.max_by(path, depth).alias("root"))
+def ancestors(path: Column) -> Column:
+    """The path and all folders above it, the root included."""
+    parts = F.filter(F.split(path, "/"), lambda x: x != "")
+    return F.transform(F.sequence(F.size(parts), F.lit(0)), lambda n: F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, n), "/")))
+
+
+def nearest_root(starts: DataFrame, start: str, files: DataFrame, path: str, markers: list[str]) -> DataFrame:
+    """start, root: of the folders at or above each start, the deepest that holds a marker; null if none does."""
+    folder, name = F.regexp_extract(path, "^(.*)/[^/]*$", 1), F.element_at(F.split(path, "/"), -1)
+    marked = files.where(name.isin(*markers)).select(F.when(folder == "", "/").otherwise(folder).alias("_at")).distinct()
+    ways = starts.select(start).distinct().select(start, F.explode(ancestors(F.col(start))).alias("_at"))
+    found = ways.join(marked.withColumn("_has", F.lit(True)), "_at", "left")
+    return found.groupBy(start).agg(F.max_by(F.when(F.col("_has"), F.col("_at")), F.when(F.col("_has"), F.char_length("_at"))).alias("root"))
+
+
+def operator_bodies(signs: DataFrame, doc: str, seq: str, sign: str) -> DataFrame:
+    """The operators with limits, and the last place of each one's body, null if it is empty.
+
+    A body goes on to the next relation or the end of the row of signs. An
+    operator inside takes its own body first, which ends at the same place.
+    """
+    order = Window.partitionBy(doc).orderBy(seq)
+    after = order.rowsBetween(1, Window.unboundedFollowing)
+    placed = signs.withColumns({"_before": F.lag(seq).over(order), "_next": F.lead(seq).over(order)})
+    stop = F.min(F.when(ends_body(F.col(sign)), F.struct(F.col(seq).alias("at"), F.col("_before").alias("last")))).over(after)
+    placed = placed.withColumns({"_stop": stop, "_last": F.max(seq).over(after)})
+    end = F.when(F.col("_stop.at") == F.col("_next"), None).when(F.col("_stop").isNotNull(), F.col("_stop.last")).otherwise(F.col("_last"))
+    return placed.where(limit_place(F.col(sign)).isNotNull()).select(*signs.columns, limit_place(F.col(sign)).alias("limits"), end.alias("body_end"))

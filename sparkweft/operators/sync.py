@@ -1,10 +1,12 @@
 """Keyed comparison of a source with what is installed.
 
-Both sides are (key, content). The joins are equi-joins on the key, so Spark
-picks a broadcast or a co-partitioned merge by the sizes it measures.
+Both sides are (key, content), with a row for a key, as files have one path;
+a key that a side repeats is compared with each of the other side's rows. The
+joins are equi-joins on the key, so Spark picks a broadcast or a
+co-partitioned merge by the sizes it measures.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkweft.functions.scalars import fingerprint
@@ -57,12 +59,22 @@ def folder_fingerprint(files: DataFrame, folder: str, path: str, content: str) -
     return sums.select(folder, "n_files", fingerprint(F.concat_ws("-", *(F.col(f"_w{i}") for i in range(4)))).alias("fingerprint"))
 
 
-def clones(lines: DataFrame, doc: str, pos: str, line: str, width: int = 5) -> DataFrame:
-    """Windows of ``width`` adjacent lines that occur more than once, with their number of places."""
-    from pyspark.sql import Window
+def replacement(there: Column, new: Column) -> Column:
+    """What putting a file in place means, told by digest: write if there is none, keep if it is the same, else back up and write."""
+    return F.when(there.isNull(), "write").when(fingerprint(there).eqNullSafe(fingerprint(new)), "keep").otherwise("back up")
 
+
+def clones(lines: DataFrame, doc: str, pos: str, line: str, width: int = 5, near: bool = False) -> DataFrame:
+    """Windows of ``width`` adjacent lines that occur more than once, with their number of places.
+
+    With ``near``, lines are alike that differ in case, white space and digits
+    only. A document's lines are sorted by one task, which holds ``width`` of
+    them at a time.
+    """
     w = Window.partitionBy(doc).orderBy(pos)
-    block = F.concat_ws("\n", F.col(line), *(F.lead(line, i).over(w) for i in range(1, width)))
+    text = F.regexp_replace(F.regexp_replace(F.lower(F.trim(line)), r"\s+", " "), "[0-9]+", "0") if near else F.col(line)
+    alike = lines.withColumn("_line", text)
+    block = F.concat_ws("\n", F.col("_line"), *(F.lead("_line", i).over(w) for i in range(1, width)))
     whole = F.lead(F.lit(1), width - 1).over(w).isNotNull()
-    blocks = lines.select(doc, block.alias("_b"), whole.alias("_w")).where("_w")
+    blocks = alike.select(doc, block.alias("_b"), whole.alias("_w")).where("_w")
     return blocks.groupBy(fingerprint(F.col("_b")).alias("block")).agg(F.count("*").alias("places")).where("places > 1")

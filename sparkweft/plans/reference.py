@@ -4,11 +4,15 @@ The ``ext_`` query is an extension over the event table, not an operator of
 the surveyed material.
 """
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkweft.functions import scalars as S
 from sparkweft.operators import merge, report, sequence, sync, textops
+from sparkweft.sources import manifest as manifests
+from sparkweft.sources.jsondocs import object_text
 from sparkweft.sources.tables import table
 
 QUERIES, ORACLES = {}, {}
@@ -84,6 +88,33 @@ def clone_blocks(spark, d):
     return sync.clones(lines, "doc_id", "pos", "line")
 
 
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+ n AS (SELECT doc_id, pos, regexp_replace(regexp_replace(lower(trim(line)), '\\s+', ' ', 'g'), '[0-9]+', '0', 'g') AS line FROM l),
+ b AS (SELECT line, """ + ", ".join(f"lead(line, {i}) OVER w AS l{i}" for i in range(1, 5)) + """ FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
+ SELECT sha256(concat_ws(chr(10), line, l1, l2, l3, l4)) AS block, count(*) AS places FROM b WHERE l4 IS NOT NULL GROUP BY 1 HAVING count(*) > 1""")
+def near_clone_blocks(spark, d):
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    return sync.clones(lines, "doc_id", "pos", "line", near=True)
+
+
+@query(f"WITH {_DST} SELECT s.doc_id, CASE WHEN d.text IS NULL THEN 'write' WHEN d.text = s.text THEN 'keep' ELSE 'back up' END AS action FROM documents s LEFT JOIN dst d ON s.doc_id = d.doc_id")
+def byte_probe(spark, d):
+    src, dst = _sides(spark, d)
+    both = src.join(dst.withColumnRenamed("text", "there"), "doc_id", "left")
+    return both.select("doc_id", sync.replacement(F.col("there"), F.col("text")).alias("action"))
+
+
+@query("""WITH f AS (SELECT CASE doc_id % 5 WHEN 0 THEN 'agents/' || source || '.md' WHEN 1 THEN 'commands/' || lang || '.md' WHEN 2 THEN 'skills/' || source || '/' || doc_id || '.txt' WHEN 3 THEN 'agents/' || source || '/x.md' ELSE 'README.md' END AS p FROM documents),
+ k AS (SELECT CASE WHEN regexp_matches(p, '^agents/[^/]+\\.md$') THEN 'agent' WHEN regexp_matches(p, '^commands/[^/]+\\.md$') THEN 'command' WHEN regexp_matches(p, '^skills/[^/]+/') THEN 'skill' END AS kind, replace(string_split(p, '/')[2], '.md', '') AS name FROM f)
+ SELECT kind, name, count(*) AS n_files FROM k WHERE kind IS NOT NULL GROUP BY 1, 2""")
+def manifest(spark, d):
+    doc = table(spark, d, "documents")
+    number = F.col("doc_id") % 5
+    path = F.when(number == 0, F.concat(F.lit("agents/"), "source", F.lit(".md"))).when(number == 1, F.concat(F.lit("commands/"), "lang", F.lit(".md")))
+    path = path.when(number == 2, F.concat(F.lit("skills/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))).when(number == 3, F.concat(F.lit("agents/"), "source", F.lit("/x.md"))).otherwise("README.md")
+    return manifests.manifest(doc.select(path.alias("path")), "path")
+
+
 # --- sequences ----------------------------------------------------------------------
 
 @query("""SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS number,
@@ -94,6 +125,14 @@ def numbering(spark, d):
     return rows.select("conv_id", "turn", F.col("number").cast("bigint"), S.caption(F.col("role"), F.col("number"), F.col("text")).alias("caption"))
 
 
+@query("""SELECT conv_id, turn, role, CASE WHEN length(text) % 3 <> 0 THEN count(*) FILTER (length(text) % 3 <> 0) OVER (PARTITION BY conv_id, role ORDER BY turn) END AS number FROM conversations""")
+def figure_numbering(spark, d):
+    """Figures whose file is missing (here: texts of certain lengths) take no number."""
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", (F.char_length("text") % 3 != 0).alias("there"))
+    out = sequence.number_kinds(rows, "conv_id", "turn", "role", counted=F.col("there"))
+    return out.select("conv_id", "turn", "role", F.col("number").cast("bigint").alias("number"))
+
+
 @query("""SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS number FROM conversations WHERE role <> 'system'""")
 def table_numbering(spark, d):
     rows = table(spark, d, "conversations").withColumn("n_rows", F.when(F.col("role") == "system", 0).otherwise(1))
@@ -109,6 +148,31 @@ def break_flags(spark, d):
     return sequence.break_flags(rows, "conv_id", "turn", "kind")
 
 
+@query("""WITH k AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'h1' WHEN 'system' THEN 'page_break' ELSE 'text' END AS kind FROM conversations),
+ f AS (SELECT *, lag(kind) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM k WHERE kind <> 'text')
+ SELECT k.conv_id, k.turn, (k.conv_id % 3 <> 0 AND k.kind = 'h1' AND coalesce(f.prev = 'h1', false)) AS breaks FROM k LEFT JOIN f USING (conv_id, turn)""")
+def profile_breaks(spark, d):
+    """Every third document's profile has no page breaks."""
+    kind = F.when(F.col("role") == "user", "h1").when(F.col("role") == "system", "page_break").otherwise("text")
+    rows = table(spark, d, "conversations").select("conv_id", "turn", kind.alias("kind"))
+    return sequence.break_flags(rows, "conv_id", "turn", "kind", F.col("conv_id") % 3 != 0).drop("kind")
+
+
+_SIGNS = {0: "∑", 3: "∫", 5: "=", 8: "≤"}
+
+
+@query("""WITH t AS (SELECT user_id, event_id, CASE event_id * 7 % 11 WHEN 0 THEN '∑' WHEN 3 THEN '∫' WHEN 5 THEN '=' WHEN 8 THEN '≤' ELSE 'x' END AS sign FROM events),
+ p AS (SELECT *, lag(event_id) OVER w AS before, lead(event_id) OVER w AS next, max(event_id) OVER (PARTITION BY user_id) AS last FROM t WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+ q AS (SELECT *, min(CASE WHEN sign IN ('=', '≤') THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS stop FROM p)
+ SELECT a.user_id, a.event_id, a.sign, CASE a.sign WHEN '∑' THEN 'undOvr' ELSE 'subSup' END AS limits, CASE WHEN a.next IS NULL OR a.stop = a.next THEN NULL WHEN a.stop IS NULL THEN a.last ELSE b.before END AS body_end
+ FROM q a LEFT JOIN p b ON b.user_id = a.user_id AND b.event_id = a.stop WHERE a.sign IN ('∑', '∫')""")
+def operator_bodies(spark, d):
+    number, sign = F.col("event_id") * 7 % 11, F.lit("x")
+    for k, v in _SIGNS.items():
+        sign = F.when(number == k, v).otherwise(sign)
+    return sequence.operator_bodies(table(spark, d, "events").select("user_id", "event_id", sign.alias("sign")), "user_id", "event_id", "sign")
+
+
 @query("""WITH a AS (SELECT event_id, user_id, ts, event_type, CASE WHEN event_type = lag(event_type) OVER w THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
  b AS (SELECT *, CAST(99 + sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS BIGINT) AS list_id FROM a)
  SELECT event_id, user_id, list_id, row_number() OVER (PARTITION BY user_id, list_id ORDER BY ts) AS item FROM b""")
@@ -127,10 +191,19 @@ def front_matter(spark, d):
     return sequence.body_lines(lines, "doc_id", "pos", "line").withColumn("pos", F.col("pos").cast("bigint"))
 
 
-@query("""SELECT o_custkey AS start, max(o_orderkey) AS root FROM orders WHERE o_orderstatus = 'F' GROUP BY 1""")
+@query("""WITH p AS (SELECT page_id, '/' || string_split(url, '/')[3] AS host, string_split(url, '/')[4] AS part FROM pages WHERE url IS NOT NULL),
+ s AS (SELECT DISTINCT host, part, host || '/' || part || '/src' AS start FROM p),
+ m AS (SELECT DISTINCT host AS folder FROM p WHERE page_id % 3 = 0 UNION SELECT DISTINCT host || '/' || part FROM p WHERE page_id % 7 = 0)
+ SELECT start, CASE WHEN host || '/' || part IN (SELECT folder FROM m) THEN host || '/' || part WHEN host IN (SELECT folder FROM m) THEN host END AS root FROM s""")
 def project_root(spark, d):
-    marks = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("start"), "o_orderkey")
-    return sequence.nearest_root(marks, "start", "o_orderkey", "o_orderkey")
+    """Folders made of hosts and first parts of addresses; some hold a marker file, others a file of another name."""
+    cut = F.split("url", "/")
+    p = table(spark, d, "pages").where("url IS NOT NULL").select("page_id", F.concat(F.lit("/"), cut[2]).alias("host"), cut[3].alias("part"))
+    starts = p.select(F.concat_ws("/", "host", "part", F.lit("src")).alias("start"))
+    files = p.where("page_id % 3 = 0").select(F.concat("host", F.lit("/Makefile")).alias("file"))
+    files = files.unionByName(p.where("page_id % 7 = 0").select(F.concat_ws("/", "host", "part", F.lit(".git")).alias("file")))
+    files = files.unionByName(p.where("page_id % 2 = 0").select(F.concat_ws("/", "host", "part", F.lit("src/readme")).alias("file")))
+    return sequence.nearest_root(starts, "start", files, F.col("file"), [".git", "Makefile", "pyproject.toml"])
 
 
 # --- text ---------------------------------------------------------------------------
@@ -188,15 +261,60 @@ def title_lines(spark, d):
     return table(spark, d, "customer").select("c_custkey", F.array_join(lines, "\n").alias("lines"), F.size(S.as_list(segment)).cast("bigint").alias("promoted"))
 
 
+_MARKS = ["¯", "^", "~", "¨", "´", "`", "˘", "˙", "ˇ", "→", "x", "‾"]
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 12 WHEN 0 THEN chr(772) WHEN 1 THEN chr(770) WHEN 2 THEN chr(771) WHEN 3 THEN chr(776) WHEN 4 THEN chr(769) WHEN 5 THEN chr(768) WHEN 6 THEN chr(774) WHEN 7 THEN chr(775) WHEN 8 THEN chr(780) WHEN 9 THEN chr(8407) WHEN 10 THEN 'x' ELSE chr(8254) END AS accent,
+ CASE WHEN p_partkey % 4 = 0 THEN 'undOvr' WHEN p_partkey % 4 = 1 THEN 'subSup' END AS limits, p_partkey % 3 = 0 AS ends, CASE p_partkey % 3 WHEN 0 THEN NULL WHEN 1 THEN p_partkey % 2 = 0 ELSE true END AS upright FROM part""")
+def math_signs(spark, d):
+    key = F.col("p_partkey")
+    mark = F.element_at(F.array(*map(F.lit, _MARKS)), (key % 12 + 1).cast("int"))
+    sign = F.when(key % 4 == 0, " ∏").when(key % 4 == 1, "∮").when(key % 4 == 2, "+")
+    relation = F.when(key % 3 == 0, F.when(key % 2 == 0, "≥ ").otherwise("∝")).otherwise("∑")
+    name = F.when(key % 3 == 0, " ").when(key % 3 == 1, "x").otherwise("sin")
+    return table(spark, d, "part").select(
+        "p_partkey", S.combining_accent(mark).alias("accent"), S.limit_place(sign).alias("limits"), S.ends_body(relation).alias("ends"),
+        S.is_upright(name, F.when(key % 2 == 0, "normal")).alias("upright"),
+    )
+
+
+@query("""SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_size > 40 THEN 'lines' END, CASE WHEN p_size % 7 >= 5 THEN 'params' END, CASE WHEN p_size % 13 >= 10 THEN 'methods' END, CASE WHEN p_size % 5 >= 3 THEN 'nesting' END], lambda x: x IS NOT NULL), ',') AS large FROM part""")
+def large_code(spark, d):
+    size = F.col("p_size")
+    return table(spark, d, "part").select("p_partkey", F.array_join(S.large_code(size, size % 7, size % 13, size % 5), ",").alias("large"))
+
+
 # --- JSON ---------------------------------------------------------------------------
 
-@query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'v' ELSE CAST(json_extract(props, '$.k') AS VARCHAR) END AS k, 'deep' AS nested, CASE WHEN event_id % 2 = 0 THEN '["new","old"]' ELSE '["old"]' END AS tags FROM events""")
+_RAW = "CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN ' ' WHEN 2 THEN '[' || props || ']' WHEN 3 THEN substr(props, 2) WHEN 4 THEN NULL ELSE '7' END"
+
+
+@query(f"""WITH r AS (SELECT event_id, {_RAW} AS raw FROM events), o AS (SELECT event_id, CASE WHEN raw IS NULL OR trim(raw) = '' THEN '{{}}' WHEN json_valid(raw) AND json_type(CASE WHEN json_valid(raw) THEN raw END) = 'OBJECT' THEN raw END AS doc FROM r)
+ SELECT event_id, doc, doc IS NULL AS rejected FROM o""")
+def json_documents(spark, d):
+    """What a scan of documents makes of good, blank, missing, malformed and other texts."""
+    read = table(spark, d, "events").select("event_id", object_text(F.expr(_RAW)).alias("doc"))
+    return read.withColumn("rejected", F.col("doc").isNull())
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'current' WHEN 1 THEN 'merged' WHEN 2 THEN 'rejected' ELSE CASE WHEN json_extract_string(props, '$.k') = '1' THEN 'current' ELSE 'merged' END END AS outcome,
+ CASE event_id % 4 WHEN 0 THEN json_extract_string(props, '$.k') WHEN 1 THEN 'v' WHEN 3 THEN '1' END AS k FROM events""")
+def merge_outcomes(spark, d):
+    """Whether a merge changes the document: nothing to add, another value, no object, and a value that may be there."""
+    overlay = F.when(F.col("event_id") % 4 == 0, "{}").when(F.col("event_id") % 4 == 1, '{"k":"v"}').when(F.col("event_id") % 4 == 2, "[1]").otherwise('{"k":1}')
+    m = table(spark, d, "events").select("event_id", merge.merge_outcome(F.col("props"), overlay).alias("m"))
+    return m.select("event_id", "m.outcome", F.get_json_object("m.doc", "$.k").alias("k"))
+
+@query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'v' ELSE json_extract_string(props, '$.k') END AS k, event_type AS nested, CASE WHEN event_id % 2 = 0 THEN json_array('new', event_type) ELSE json_array(event_type, 'old') END::VARCHAR AS tags,
+ CASE WHEN event_id % 2 = 0 THEN '[2]' ELSE '[1]' END AS plain FROM events""")
 def json_merge(spark, d):
-    base = F.concat(F.lit('{"tags":["old"],"o":{"p":"deep","q":1},'), F.substring("props", 2, 1_000_000))
-    overlay = F.when(F.col("event_id") % 2 == 0, '{"k":"v","tags":["new","old"],"o":{"q":2}}').otherwise("")
-    m = table(spark, d, "events").select("event_id", merge.deep_merge(base, overlay, ["tags"]).alias("m"))
-    tags = F.to_json(F.from_json(F.get_json_object("m", "$.tags"), "array<string>"))
-    return m.select("event_id", F.get_json_object("m", "$.k").alias("k"), F.get_json_object("m", "$.o.p").alias("nested"), tags.alias("tags"))
+    """Objects merge at any depth, lists unite at ``o.tags`` and are replaced elsewhere."""
+    tags = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('["'), "event_type", F.lit('"]'))).otherwise(F.concat(F.lit('["'), "event_type", F.lit('","old"]')))
+    base = F.concat(F.lit('{"o":{"p":"'), "event_type", F.lit('","q":1,"tags":'), tags, F.lit('},"plain":[1],'), F.expr("substring(props, 2)"))
+    overlay = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"k":"v","plain":[2],"o":{"q":2,"tags":["new","'), "event_type", F.lit('"]}}'))).otherwise("")
+    m = table(spark, d, "events").select("event_id", merge.deep_merge(base, overlay, [("o", "tags")]).alias("m"))
+    lists = lambda path, kind: F.to_json(F.from_json(F.get_json_object("m", path), kind))
+    return m.select("event_id", F.get_json_object("m", "$.k").alias("k"), F.get_json_object("m", "$.o.p").alias("nested"), lists("$.o.tags", "array<string>").alias("tags"), lists("$.plain", "array<int>").alias("plain"))
 
 
 @query("""WITH e AS (SELECT event_id, json_extract_string(props, '$.k') AS v FROM events) SELECT event_id, 'k' AS path, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 3 = 0 THEN 'over' ELSE v END AS value FROM e
@@ -209,25 +327,27 @@ def json_merge_flat(spark, d):
     return merge.merge_flat(base, over.unionByName(new), "event_id", "path", "value")
 
 
-@query("""SELECT DISTINCT user_id, event_type, CASE WHEN event_type IN ('purchase', 'signup') THEN 0 ELSE 1 END AS side FROM events
- UNION SELECT DISTINCT user_id, unnest(['purchase', 'signup']), 0 FROM events""")
+@query("""WITH t AS (SELECT user_id, array_to_string(list_filter(list_sort(list_distinct(list(event_type))), lambda x: x NOT IN ('purchase', 'signup')), ',') AS others FROM events GROUP BY 1)
+ SELECT user_id, 'purchase,signup' || CASE WHEN others = '' THEN '' ELSE ',' || others END AS types FROM t""")
 def ordered_union(spark, d):
-    """Per user: a fixed list, then the types seen that it lacks. The types are a small domain, so the array is bounded."""
+    """Per user: a fixed list, then the types seen that it lacks, in order. The types are a small domain, so the array is bounded."""
     seen = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("base"))
     fixed = F.array(F.lit("purchase"), F.lit("signup"))
-    out = seen.select("user_id", F.posexplode(merge.ordered_union(fixed, F.col("base"))).alias("pos", "event_type"))
-    return out.select("user_id", "event_type", F.when(F.col("pos") < 2, 0).otherwise(1).alias("side"))
+    return seen.select("user_id", F.array_join(merge.ordered_union(fixed, F.col("base")), ",").alias("types"))
 
 
-@query("""SELECT event_id, CASE WHEN json_extract_string(props, '$.k') = '1' THEN 2 ELSE 3 END::BIGINT AS n FROM events""")
+@query("""WITH e AS (SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS k FROM events) SELECT event_id, '[{"k":1},true' || CASE WHEN k = '1' THEN '' ELSE ',{"k":' || k || '}' END || ']' AS host, '[{"k":1},true' || CASE WHEN k = '1' THEN '' ELSE ',{"k":' || k || '}' END || ',1]' AS text FROM e""")
 def ordered_union_json(spark, d):
+    """Objects that are written otherwise are one; 1 is true by the host language's equality, not by text."""
     overlay = F.array(F.lit('{"k": 1}'), F.lit('{ "k":1 }'), F.lit("true"))
-    return table(spark, d, "events").select("event_id", F.size(merge.ordered_union_json(overlay, F.array(F.col("props")))).cast("bigint").alias("n"))
+    both = [F.concat(F.lit("["), F.array_join(merge.ordered_union_json(overlay, F.array(F.col("props"), F.lit("1")), e), ","), F.lit("]")).alias(e) for e in ("host", "text")]
+    return table(spark, d, "events").select("event_id", *both)
 
 
-@query("SELECT event_id, CASE WHEN event_type = 'view' THEN 1 ELSE 2 END::BIGINT AS n FROM events")
+@query("SELECT event_id, CASE WHEN event_type = 'view' THEN 'old,view' ELSE 'view,old,' || event_type END AS hooks FROM events")
 def hook_merge(spark, d):
-    return table(spark, d, "events").select("event_id", F.size(merge.prepend_unless(F.array("event_type"), F.lit("view"), lambda x: x == "view")).cast("bigint").alias("n"))
+    hooks = merge.prepend_unless(F.array(F.lit("old"), "event_type"), F.lit("view"), lambda x: x == "view")
+    return table(spark, d, "events").select("event_id", F.array_join(hooks, ",").alias("hooks"))
 
 
 # --- verdicts and tallies -----------------------------------------------------------
@@ -245,6 +365,22 @@ def scenario_listing(spark, d):
     return report.complete(report.select_scenarios(parts, agent="3"), ["conv_id"], "role", ["user", "assistant"])
 
 
+@query("""WITH c AS (SELECT DISTINCT conv_id % 10 AS agent, CAST(conv_id AS VARCHAR) AS scenario FROM conversations) SELECT agent, scenario, row_number() OVER (PARTITION BY agent ORDER BY scenario) AS place FROM c""")
+def scenario_order(spark, d):
+    """Scenarios by name, as strings: 10 comes before 9."""
+    names = table(spark, d, "conversations").select((F.col("conv_id") % 10).alias("agent"), F.col("conv_id").cast("string").alias("scenario")).distinct()
+    return report.listed(names, "agent", "scenario").withColumn("place", F.col("place").cast("bigint"))
+
+
+@query("""WITH c AS (SELECT DISTINCT CAST(conv_id % 10 AS VARCHAR) AS agent, CAST(conv_id AS VARCHAR) AS scenario FROM conversations), f(a, s) AS (VALUES ('', ''), ('3', ''), ('', '13'), ('none', ''), ('3', 'none'))
+ SELECT a AS agent, s AS scenario, count(c.agent) AS total, 2 * count(c.agent) AS cost, CASE WHEN count(c.agent) > 0 THEN 'run' ELSE 'no match for the filter' END AS outcome FROM f LEFT JOIN c ON (a = '' OR a = c.agent) AND (s = '' OR s = c.scenario) GROUP BY 1, 2""")
+def scenario_selection(spark, d):
+    names = table(spark, d, "conversations").select((F.col("conv_id") % 10).cast("string").alias("agent"), F.col("conv_id").cast("string").alias("scenario")).distinct()
+    filters = [("", ""), ("3", ""), ("", "13"), ("none", ""), ("3", "none")]
+    out = [report.selection(names, a, s).select(F.lit(a).alias("agent"), F.lit(s).alias("scenario"), "*") for a, s in filters]
+    return reduce(DataFrame.unionByName, out)
+
+
 @query("""WITH r AS (SELECT source, quality = 1 AND toxic = 0 AS ok FROM documents JOIN labels USING (doc_id))
  SELECT source, count(*) FILTER (ok) AS passed, count(*) FILTER (NOT ok) AS failed, count(*) FILTER (ok) / count(*) AS rate, 2 * count(*) AS cost, bool_and(ok) AS all_passed FROM r GROUP BY source""")
 def gate_tally(spark, d):
@@ -258,11 +394,14 @@ def two_gates(spark, d):
     return report.all_gates(table(spark, d, "labels").select("doc_id", F.explode(gates).alias("gate")), ["doc_id"], "gate")
 
 
-@query("SELECT doc_id, (quality = 1) AS passed FROM labels")
+@query("""WITH i AS (SELECT l_orderkey, l_linenumber AS item, l_quantity > 10 AS met, CASE WHEN l_linenumber <= 4 THEN 'required' WHEN l_linenumber = 5 THEN 'forbidden' ELSE 'bonus' END AS kind FROM lineitem),
+ r AS (SELECT l_orderkey, coalesce(string_agg(item, ',' ORDER BY item) FILTER (met AND kind <> 'forbidden'), '') AS matched, coalesce(string_agg(item, ',' ORDER BY item) FILTER (NOT met AND kind = 'required'), '') AS missed, coalesce(string_agg(item, ',' ORDER BY item) FILTER (met AND kind = 'forbidden'), '') AS forbidden FROM i GROUP BY 1)
+ SELECT *, missed = '' AND forbidden = '' AS passed FROM r""")
 def verdict_reduce(spark, d):
-    items = F.array(F.struct(F.expr("quality = 1").alias("met"), F.lit(False).alias("bonus")), F.struct(F.expr("toxic = 1").alias("met"), F.lit(True).alias("bonus")))
-    rows = table(spark, d, "labels").select("doc_id", F.inline(items))
-    return report.reduce_items(rows, ["doc_id"], "met", "bonus")
+    kind = F.when(F.col("l_linenumber") <= 4, "required").when(F.col("l_linenumber") == 5, "forbidden").otherwise("bonus")
+    items = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("item"), (F.col("l_quantity") > 10).alias("met"), kind.alias("kind"))
+    out = report.reduce_items(items, ["l_orderkey"], "item", "met", "kind")
+    return out.select("l_orderkey", "passed", *(F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("matched", "missed", "forbidden")))
 
 
 @query("SELECT doc_id, (quality = 1) AS passed_text, (quality = 1) AS passed_parsed, (CASE WHEN toxic = 1 THEN 2 ELSE 3 END)::BIGINT AS matched FROM labels")

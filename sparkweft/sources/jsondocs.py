@@ -3,6 +3,7 @@ that is not an object is set apart instead of stopping the job."""
 
 import json
 import os
+import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,10 +27,21 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("path", object_text(F.col("value")).alias("doc")).withColumn("rejected", F.col("doc").isNull())
 
 
+def literal(spark: SparkSession, text: str) -> DataFrame:
+    """A document given as text: doc (null if it is no object) and rejected, one row."""
+    doc = object_text(F.lit(text))
+    return spark.range(1).select(doc.alias("doc")).withColumn("rejected", F.col("doc").isNull())
+
+
 def write_document(path: str, doc: dict) -> None:
-    """A single small document: written beside the target, then moved over it."""
-    tmp = f"{path}.tmp"
-    with open(tmp, "w", encoding="utf-8") as f:
-        json.dump(doc, f, indent=2, ensure_ascii=False)
-        f.write("\n")
-    os.replace(tmp, path)
+    """A single small document: written beside the target under a name of its own, then moved over it; nothing is left of a failed write."""
+    folder = os.path.dirname(os.path.abspath(path))
+    os.makedirs(folder, exist_ok=True)
+    handle, beside = tempfile.mkstemp(dir=folder, suffix=".part")
+    try:
+        with open(handle, "w", encoding="utf-8") as f:
+            f.write(json.dumps(doc, indent=2, ensure_ascii=False) + "\n")
+        os.replace(beside, path)
+    except BaseException:
+        os.unlink(beside)
+        raise

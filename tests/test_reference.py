@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from sparkweft.functions import scalars as S
 from sparkweft.operators import merge, report, sequence, sync, textops
 from sparkweft.plans import reference
-from sparkweft.sources import jsondocs
+from sparkweft.sources import jsondocs, manifest
 from sparkweft.streaming.tally import windowed_tally
 
 DATA = "/root/testdata/sf0.001"
@@ -58,7 +58,9 @@ def test_entry(spark):
         ('{"a":5}', '{"a":{}}', [], {"a": {}}),
         ('{"l":[1]}', '{"l":[2]}', [], {"l": [2]}),
         ('{"l":[1,2]}', '{"l":[3,1]}', ["l"], {"l": [3, 1, 2]}),
-        ('{"p":{"l":[true]}}', '{"p":{"l":[1]}}', ["p.l"], {"p": {"l": [1, True]}}),
+        ('{"p":{"l":[true,1.0,"1",{"a":1.0}]}}', '{"p":{"l":[1,{"a":1}]}}', ["p.l"], {"p": {"l": [1, {"a": 1}, "1"]}}),
+        ('{"p.l":[1],"p":{"l":[1]}}', '{"p.l":[2],"p":{"l":[2]}}', [("p", "l")], {"p.l": [2], "p": {"l": [2, 1]}}),
+        ('{"p.l":[1],"p":{"l":[1]}}', '{"p.l":[2],"p":{"l":[2]}}', [("p.l",)], {"p.l": [2, 1], "p": {"l": [2]}}),
         ("", '{"a":1}', [], {"a": 1}),
     ],
 )
@@ -71,6 +73,18 @@ def test_deep_merge(spark, base, overlay, union, want):
     assert json.loads(again) == want
 
 
+def test_union_by_text(spark):
+    import json
+
+    got = one(spark, merge.deep_merge(F.lit('{"l":[true,1.0,1]}'), F.lit('{"l":[1]}'), ["l"], "text"))
+    assert repr(json.loads(got)["l"]) == "[1, True, 1.0]"
+
+
+def test_merge_outcome(spark):
+    for base, overlay, want in [('{"a":1}', '{"a":1}', "current"), ('{"a":1}', "", "current"), ('{"a":1}', '{"a":2}', "merged"), ("", '{"a":2}', "merged"), ("x", "{}", "rejected"), ("{}", "3", "rejected")]:
+        assert one(spark, merge.merge_outcome(F.lit(base), F.lit(overlay))).outcome == want
+
+
 def test_deep_merge_rejects(spark):
     assert one(spark, merge.deep_merge(F.lit("[1]"), F.lit("{}"))) is None
     assert one(spark, merge.deep_merge(F.lit("{"), F.lit("{}"))) is None
@@ -87,7 +101,8 @@ def test_widths_and_padding(spark):
     rows = F.array(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("c")))
     assert one(spark, S.pad_rows(rows)) == [["a", "b"], ["c", ""]]
     assert abs(one(spark, S.natural_width_cm(F.lit(300), F.lit(300))) - 2.54) < 1e-9
-    assert one(spark, S.combining_accent(F.lit("^"))) == "̂"
+    assert [one(spark, S.combining_accent(F.lit(x))) for x in "^´`˘‾"] == ["\u0302", "\u0301", "\u0300", "\u0306", "‾"]
+    assert one(spark, S.large_code(F.lit(40), F.lit(5), F.lit(9), F.lit(None).cast("int"))) == ["params"]
 
 
 def test_break_flags(spark):
@@ -96,6 +111,33 @@ def test_break_flags(spark):
     assert [r.breaks for r in got.orderBy("d", "s").collect()] == [False, False, False, False, True, False]
 
 
+def test_number_and_body_rules(spark):
+    rows = spark.createDataFrame([(1, i, "fig", ok) for i, ok in enumerate([True, False, None, True])], "d int, s int, k string, ok boolean")
+    assert [r.number for r in sequence.number_kinds(rows, "d", "s", "k", counted=F.col("ok")).orderBy("s").collect()] == [1, None, None, 2]
+    signs = spark.createDataFrame([(1, i, x) for i, x in enumerate("∑a∫b=c∏=∑")], "d int, s int, x string")
+    assert [(r.s, r.body_end) for r in sequence.operator_bodies(signs, "d", "s", "x").orderBy("s").collect()] == [(0, 3), (2, 3), (6, None), (8, None)]
+
+
+def test_nearest_root(spark):
+    starts = spark.createDataFrame([("/a/b/c",), ("/a",), ("/",), ("/x/y",)], "p string")
+    files = spark.createDataFrame([("/a/b/.git",), ("/a/Makefile",), ("/a/b/c/readme",), ("/q/.git",)], "f string")
+    got = dict(map(tuple, sequence.nearest_root(starts, "p", files, F.col("f"), [".git", "Makefile"]).collect()))
+    assert got == {"/a/b/c": "/a/b", "/a": "/a", "/": None, "/x/y": None}
+
+
+def test_manifest_of_a_folder(spark, tmp_path):
+    for name in ("agents/a.md", "agents/sub/b.md", "commands/c.md", "skills/s/one.txt", "skills/s/deep/two.txt", "readme.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    assert sorted(map(tuple, manifest.scan(spark, str(tmp_path)).collect())) == [("agent", "a", 1), ("command", "c", 1), ("skill", "s", 2)]
+
+
+def test_nothing_selected(spark):
+    none = spark.createDataFrame([], "agent string, scenario string")
+    assert report.selection(none).first().outcome == "no scenarios"
+    assert report.selection(none, "x").first().outcome == "no match for the filter"
+
+
 def test_trailing_and_drop(spark):
     assert one(spark, textops.trim_blank_tail(F.lit("a\nb\n\n\n"))) == "a\nb"
     assert one(spark, textops.trim_blank_tail(F.lit("a\n \n"))) == "a\n "
@@ -135,6 +177,10 @@ def test_json_documents(spark, tmp_path):
     assert got["a"] == ('{"x":1}', False) and got["b"][0] == "{}" and got["c"][1] and got["d"][1]
     jsondocs.write_document(str(tmp_path / "o.json"), {"é": 1})
     assert (tmp_path / "o.json").read_text() == '{\n  "é": 1\n}\n'
+    with pytest.raises(TypeError):
+        jsondocs.write_document(str(tmp_path / "o.json"), {"x": object()})
+    assert (tmp_path / "o.json").read_text() == '{\n  "é": 1\n}\n' and not list(tmp_path.glob("*.part"))
+    assert jsondocs.literal(spark, "[1]").first().rejected and jsondocs.literal(spark, '{"a":1}').first().doc == '{"a":1}'
 
 
 def test_stream_matches_batch(spark, tmp_path):
