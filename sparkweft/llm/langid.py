@@ -143,12 +143,14 @@ def predict(docs: DataFrame, model: Model, keep: list[Column | str], text_col: s
 
     Null texts and texts without a letter have ``und``, score 0, and are not
     ambiguous; so has every text if nothing was learned. A single learned
-    language is predicted with score 1.
+    language is predicted with score 1. Kept columns that are named like these
+    three are replaced.
     """
     common.small_batches(docs.sparkSession)
-    given = docs.select(*keep)
+    made = "lang_pred", "score", "ambiguous"
+    given = docs.select(*keep).drop(*made)
     if text_col not in given.columns:
-        given = docs.select(*keep, F.col(text_col).alias("__text"))
+        given = docs.select(*keep, F.col(text_col).alias("__text")).drop(*made)
     out = [f for f in given.schema.fields if f.name != "__text"]
     at = given.columns.index("__text" if "__text" in given.columns else text_col)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in out]

@@ -476,6 +476,8 @@ def test_language(spark):
     assert got.where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.99
     odd = {r.doc_id: r for r in langid.predict(docs_of(spark, TEXTS), model, ["doc_id"]).collect()}
     assert [odd[i].lang_pred for i in (1, 2, 3)] == ["und"] * 3 and odd[4].lang_pred in model.languages and 0 < odd[4].score <= 1
+    named = langid.predict(docs_of(spark, TEXTS).withColumnsRenamed({"fp": "score", "n": "lang_pred"}), model, ["doc_id", "score", "lang_pred", "text"])
+    assert named.columns == ["doc_id", "text", "lang_pred", "score", "ambiguous"] and 0 < named.where("doc_id = 4").first().score <= 1
     none = langid.train(d.limit(0))
     assert {r.lang_pred for r in langid.predict(docs_of(spark, TEXTS), none, ["doc_id"]).collect()} == {"und"}
     assert langid.predict(d.limit(0), model, ["doc_id"]).count() == 0
