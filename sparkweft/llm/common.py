@@ -51,6 +51,19 @@ def remove_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of the table has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        i, made = 0, f"__{name}"
+        while made.lower() in taken:
+            i, made = i + 1, f"__{name}_{i}"
+        taken.add(made.lower())
+        out.append(made)
+    return out
+
+
 def small_batches(spark: SparkSession) -> None:
     """Python workers get at most BATCH_ROWS rows at once, unless the session asks for fewer."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweft.llm import ann, bpe, chat, decontam, htmltext, langid, linededup, simhash, tokenbin, warc
+from sparkweft.llm import ann, bpe, chat, decontam, fim, htmltext, langid, linededup, simhash, tokenbin, warc
 from sparkweft.llm.common import fresh_path
 
 QUERIES, ORACLES = {}, {}
@@ -101,3 +101,18 @@ def op10_token_ids(spark, sf_dir):
     path = fresh_path(spark, "token-ids")
     tokenbin.write_shards(_read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 2, path)
     return tokenbin.read_documents(spark, path)
+
+
+@query
+def op13_fill_in_middle(spark, sf_dir):
+    cut = fim.fill_in_middle(_read(spark, sf_dir, "documents"))
+    whole = fim.restored(F.col("output"), F.col("form"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(whole, 256).alias("restored_sha256"))
+
+
+ORACLES["op13_fill_in_middle"] = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+g AS (SELECT *, ('0x' || h[1:8])::BIGINT % (n + 1) AS x, ('0x' || h[9:16])::BIGINT % (n + 1) AS y, ('0x' || h[17:24])::BIGINT % 100 AS rate, ('0x' || h[25:32])::BIGINT % 100 AS spm FROM d),
+c AS (SELECT *, least(x, y) AS a, greatest(x, y) AS b, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR rate >= 90 THEN 'plain' WHEN spm < 20 THEN 'spm' ELSE 'psm' END AS form FROM g),
+o AS (SELECT *, substring(t, 1, a) AS p, substring(t, a + 1, b - a) AS m, substring(t, b + 1) AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars, sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM o"""
