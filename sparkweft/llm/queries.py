@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweft.llm import ann, bpe, chat, decontam, fim, htmltext, langid, linededup, simhash, tokenbin, warc
+from sparkweft.llm import ann, balltree, bpe, chat, decontam, fim, htmltext, langid, linededup, simhash, tokenbin, warc
 from sparkweft.llm.common import fresh_path
 
 QUERIES, ORACLES = {}, {}
@@ -103,6 +103,35 @@ def op10_token_ids(spark, sf_dir):
     return tokenbin.read_documents(spark, path)
 
 
+@query
+def op11_centroids(spark, sf_dir):
+    return balltree.cluster(_read(spark, sf_dir, "embeddings"))
+
+
+def _centroid_sql(k: int = 16, dim: int = 64, rounds: int = 3) -> str:
+    floor_mean = "(sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*)"
+    parts = [
+        f"""v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+ WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dim})""",
+        "p AS (SELECT vec_id, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM v)",
+        f"s AS (SELECT v, row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c FROM v QUALIFY c < {k})",
+        "c0 AS (SELECT c, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM s)",
+    ]
+    for n in range(rounds + 1):
+        parts += [
+            f"d{n} AS (SELECT p.vec_id, c{n}.c, sum((p.x - c{n}.x) * (p.x - c{n}.x)) AS d FROM p JOIN c{n} ON p.i = c{n}.i GROUP BY ALL)",
+            f"a{n} AS (SELECT vec_id, c, d FROM d{n} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1)",
+            f"m{n} AS (SELECT a{n}.c, p.i, {floor_mean} AS x FROM p JOIN a{n} ON p.vec_id = a{n}.vec_id GROUP BY ALL)",
+            f"c{n + 1} AS (SELECT c{n}.c, c{n}.i, coalesce(m{n}.x, c{n}.x) AS x FROM c{n} LEFT JOIN m{n} ON c{n}.c = m{n}.c AND c{n}.i = m{n}.i)",
+        ]
+    return f"""WITH {", ".join(parts)}, h AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS h FROM c{rounds} GROUP BY c)
+SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, h AS centroid_sha256
+ FROM a{rounds} a JOIN h ON a.c = h.c"""
+
+
+ORACLES["op11_centroids"] = _centroid_sql()
+
+
 @query
 def op13_fill_in_middle(spark, sf_dir):
     cut = fim.fill_in_middle(_read(spark, sf_dir, "documents"))
