@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweft.llm import ann, balltree, bpe, chat, decontam, fim, htmltext, langid, linededup, simhash, tokenbin, warc
+from sparkweft.llm import ann, balltree, bpe, chat, decontam, fim, htmltext, langid, linededup, mixing, simhash, tokenbin, warc
 from sparkweft.llm.common import fresh_path
 
 QUERIES, ORACLES = {}, {}
@@ -132,6 +132,11 @@ SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, C
 ORACLES["op11_centroids"] = _centroid_sql()
 
 
+@query
+def op12_mixing(spark, sf_dir):
+    return mixing.mix(_read(spark, sf_dir, "documents"))
+
+
 @query
 def op13_fill_in_middle(spark, sf_dir):
     cut = fim.fill_in_middle(_read(spark, sf_dir, "documents"))
