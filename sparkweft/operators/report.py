@@ -1,9 +1,13 @@
 """Verdicts, gates, findings and their tallies."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkweft.functions.scalars import rank_in
+from sparkweft.operators.scan import rolling_sums
+from sparkweft.sources.staging import free_names
 
 #: Severities and priorities in order; gate words of each emitter.
 SEVERITIES = ["CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO"]
@@ -15,6 +19,8 @@ GATES = {
     "refactorer": ["CLEAN", "HAS_FINDINGS", "NEEDS_MAJOR_WORK"],
     "deploy": ["READY", "WARNING", "BLOCKED"],
 }
+#: Severity, burn rate, long and short window in seconds of each alert.
+BURN_POLICIES = [("Page", 14.4, 3600, 300), ("Page", 6.0, 21600, 1800), ("Ticket", 3.0, 86400, 7200), ("Ticket", 1.0, 259200, 21600)]
 #: Fixed value: the words by which a verdict counts as passed.
 PASS_PATTERN = r'"verdict"\s*:\s*"pass"'
 
@@ -82,9 +88,15 @@ def reduce_items(items: DataFrame, by: list[str], item: str, met: str, kind: str
     return out.select(*by, ((F.size("missed") == 0) & (F.size("forbidden") == 0)).alias("passed"), "matched", "missed", "forbidden")
 
 
-def all_gates(gates: DataFrame, by: list[str], gate: str) -> DataFrame:
-    """Whether every gate of an item says PASS."""
-    return gates.groupBy(*by).agg(F.bool_and(F.col(gate) == "PASS").alias("proceeds"))
+def all_gates(gates: DataFrame, by: list[str], gate: str, verdict: str, required: tuple[str, ...] = ("reviewer", "security")) -> DataFrame:
+    """Whether an item has every required gate, and each says what lets it pass: the first of its words in GATES.
+
+    A gate that is missing, null or unknown stops the item, and so does one of
+    several verdicts of a gate that is not the passing one.
+    """
+    passes = lambda g: F.when(F.col(gate) == g, F.coalesce(F.col(verdict) == GATES[g][0], F.lit(False)))
+    each = [F.coalesce(F.bool_and(passes(g)), F.lit(False)) for g in required]
+    return gates.groupBy(*by).agg(reduce(lambda a, b: a & b, each).alias("proceeds"))
 
 
 def consensus(runs: DataFrame, by: list[str], passed: str) -> DataFrame:
@@ -102,13 +114,13 @@ def overall_risk(findings: DataFrame, severity: str) -> DataFrame:
 
 
 def merge_reports(reports: list[DataFrame], key: list[str], severity: str) -> DataFrame:
-    """Findings of several reports, each once at its worst severity, worst first."""
+    """Findings of several reports, each once at its worst severity, worst first; words that are no severity come last and stay as they are."""
     both = reports[0]
     for r in reports[1:]:
         both = both.unionByName(r)
-    worst = both.groupBy(*key).agg(F.min(rank_in(F.col(severity), SEVERITIES)).alias("rank"))
-    name = F.element_at(F.array(*map(F.lit, SEVERITIES)), F.least(F.col("rank") + 1, F.lit(len(SEVERITIES))))
-    return worst.withColumn(severity, name).orderBy("rank", *key)
+    rank = rank_in(F.col(severity), SEVERITIES)
+    worst = both.groupBy(*key).agg(F.min(F.struct(rank.alias("rank"), F.col(severity).alias("word"))).alias("_worst"))
+    return worst.select(*key, F.col("_worst.rank").alias("rank"), F.col("_worst.word").alias(severity)).orderBy("rank", *key)
 
 
 def top_findings(findings: DataFrame, impact: Column, ease: Column, effort: Column, tie: str, k: int) -> DataFrame:
@@ -129,9 +141,35 @@ def sigma_levels(rows: DataFrame, value: str) -> DataFrame:
 
 
 def burn_rate(events: DataFrame, key: str, second: str, good: Column, span: int, slo: float) -> DataFrame:
-    """Bad share of the last ``span`` seconds of each key over the share that the objective allows."""
-    w = Window.partitionBy(key).orderBy(second).rangeBetween(-span, 0)
-    return events.withColumn("burn", F.avg(F.when(good, 0.0).otherwise(1.0)).over(w) / (1 - slo))
+    """Bad share of the last ``span`` seconds of each key over the share that the objective allows, for each event.
+
+    Events count by second; sums over a span are a segmented scan, so no task
+    has all of a key. Rows without a second have none.
+    """
+    total, bad = free_names([*events.columns, "burn"], "total", "bad")
+    counts = events.where(F.col(second).isNotNull()).groupBy(key, second).agg(F.count("*").alias(total), F.count_if(~F.coalesce(good, F.lit(False))).alias(bad))
+    sums = rolling_sums(counts, [key], second, [total, bad], {"span": span})
+    burns = sums.select(F.col(key).alias(total), F.col(second).alias(bad), (F.col(f"{bad}_span") / F.col(f"{total}_span") / (1 - slo)).alias("burn"))
+    rows = events.drop("burn")
+    return rows.join(burns, rows[key].eqNullSafe(burns[total]) & (rows[second] == burns[bad]), "left").drop(total, bad)
+
+
+def burn_alerts(events: DataFrame, key: str, second: str, good: Column, slo: float, policies=BURN_POLICIES, bucket: int = 60) -> DataFrame:
+    """(key, bucket, severity, factor, burn_long, burn_short, fires) for each key, bucket with events and policy.
+
+    A policy fires where the share of bad events over that the objective allows
+    is above its factor both in its long and in its short window, each of which
+    ends with the bucket. Events that are not known to be good are bad, those
+    without a second take no part. Events are counted by bucket before anything is
+    shuffled, and windows are running sums over buckets, so neither a hot key
+    nor the number of its events in a window costs more.
+    """
+    counts = events.where(F.col(second).isNotNull()).groupBy(key, F.floor(F.col(second) / bucket).alias("bucket")).agg(F.count("*").alias("n"), F.count_if(~F.coalesce(good, F.lit(False))).alias("bad"))
+    spans = {str(w): w // bucket - 1 for _, _, *windows in policies for w in windows}
+    sums = rolling_sums(counts, [key], "bucket", ["n", "bad"], spans)
+    burn = lambda w: F.col(f"bad_{w}") / F.col(f"n_{w}") / (1 - slo)
+    one = [F.struct(F.lit(s).alias("severity"), F.lit(float(f)).alias("factor"), burn(long).alias("burn_long"), burn(short).alias("burn_short"), ((burn(long) > f) & (burn(short) > f)).alias("fires")) for s, f, long, short in policies]
+    return sums.select(key, "bucket", F.explode(F.array(*one)).alias("p")).select(key, "bucket", "p.*")
 
 
 def version_bump(commits: DataFrame, by: list[str], message: str) -> DataFrame:

@@ -1,9 +1,11 @@
-"""Counters and flags over ordered records, as windows."""
+"""Counters and flags over ordered records, as segmented scans: a document that holds most of the rows is many tasks."""
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkweft.functions.scalars import ends_body, limit_place
+from sparkweft.operators.scan import Ranges, running_sums
+from sparkweft.sources.staging import free_names
 
 
 def number_kinds(rows: DataFrame, doc: str, seq: str, kind: str, name: str = "number", counted: Column | None = None) -> DataFrame:
@@ -12,17 +14,15 @@ def number_kinds(rows: DataFrame, doc: str, seq: str, kind: str, name: str = "nu
     Rows that are not ``counted``, such as figures whose file is missing, take
     no number: theirs is null and the next row's is the next.
     """
-    w = Window.partitionBy(doc, kind).orderBy(seq)
-    if counted is None:
-        return rows.withColumn(name, F.row_number().over(w))
-    taken = F.coalesce(counted, F.lit(False))
-    so_far = F.sum(F.when(taken, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn(name, F.when(taken, so_far).cast("int"))
+    taken = F.lit(True) if counted is None else F.coalesce(counted, F.lit(False))
+    (mine,) = free_names([*rows.columns, name], "taken")
+    numbers = running_sums(rows.withColumn(mine, taken), [doc, kind], [seq], {name: F.when(F.col(mine), 1).otherwise(0)})
+    return numbers.withColumn(name, F.when(F.col(mine), F.col(name)).cast("int")).drop(mine)
 
 
 def number_tables(tables: DataFrame, doc: str, seq: str, n_rows: str, name: str = "number") -> DataFrame:
     """Empty tables take no number and go; those without caption take one."""
-    return tables.where(F.col(n_rows) > 0).withColumn(name, F.row_number().over(Window.partitionBy(doc).orderBy(seq)))
+    return running_sums(tables.where(F.col(n_rows) > 0), [doc], [seq], {name: F.lit(1)}).withColumn(name, F.col(name).cast("int"))
 
 
 def break_flags(rows: DataFrame, doc: str, seq: str, kind: str, profile: Column | None = None) -> DataFrame:
@@ -31,25 +31,41 @@ def break_flags(rows: DataFrame, doc: str, seq: str, kind: str, profile: Column
     Only headings (h1) and page breaks touch the state, and a document starts
     as just broken; text between does not clear it.
     """
-    before = Window.partitionBy(doc).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col(kind).isin("h1", "page_break"), F.col(kind)), ignorenulls=True).over(before)
-    breaks = (F.col(kind) == "h1") & F.coalesce(last == "h1", F.lit(False))
-    return rows.withColumn("breaks", breaks if profile is None else breaks & F.coalesce(profile, F.lit(True)))
+    wanted, mark, last = free_names(rows.columns, "wanted", "mark", "last")
+    ranges = Ranges(rows.withColumn(wanted, F.lit(True) if profile is None else F.coalesce(profile, F.lit(True))), [doc], [seq])
+    marked = ranges.rows.withColumn(mark, F.when(F.col(kind).isin("h1", "page_break"), F.col(kind)))
+    states = ranges.states(marked, **{last: F.max_by(mark, F.when(F.col(mark).isNotNull(), F.col(seq)))})
+    local = marked.withColumn(last, F.last(mark, ignorenulls=True).over(ranges.within.rowsBetween(Window.unboundedPreceding, -1)))
+    told = ranges.carried(local, states, **{f"{last}_": F.last(last, ignorenulls=True).over(ranges.before)})
+    breaks = (F.col(kind) == "h1") & F.coalesce(F.coalesce(last, f"{last}_") == "h1", F.lit(False)) & F.col(wanted)
+    return told.select(*rows.columns, breaks.alias("breaks"))
 
 
 def restart_lists(rows: DataFrame, doc: str, seq: str, kind: str) -> DataFrame:
-    """Each run of equal kinds is a list with the next id from 100 on; items restart at 1."""
-    w = Window.partitionBy(doc).orderBy(seq)
-    new = F.when(F.lag(kind).over(w).eqNullSafe(F.col(kind)), 0).otherwise(1)
-    runs = rows.withColumn("_new", new).withColumn("list_id", (F.sum("_new").over(w) + 99).cast("bigint")).drop("_new")
-    return runs.withColumn("item", F.row_number().over(Window.partitionBy(doc, "list_id").orderBy(seq)))
+    """Each run of equal kinds is a list with the next id from 100 on; items restart at 1. Null is a kind like any other."""
+    run, item, ids, items = free_names(rows.columns, "run", "item", "ids", "items")
+    ranges = Ranges(rows, [doc], [seq])
+    w, key = ranges.within, F.struct(F.col(kind).alias("k"))
+    same = (F.row_number().over(w) > 1) & F.lag(kind).over(w).eqNullSafe(F.col(kind))
+    local = ranges.rows.withColumn(run, F.when(same, 0).otherwise(1)).withColumn(run, F.sum(run).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    local = local.withColumn(item, F.row_number().over(Window.partitionBy(ranges.range, doc, run).orderBy(seq)))
+    states = ranges.states(local, first=F.min_by(key, seq), last=F.max_by(key, seq), runs=F.max(run), tail=F.max_by(item, seq))
+    # Whether a range's first run goes on with the last one before it; a range of one run that does leaves it open.
+    before = F.lag("last").over(ranges.across)
+    goes_on = states.withColumn("on", before.isNotNull() & before["k"].eqNullSafe(F.col("first.k")))
+    opened = F.sum(F.when(F.col("on") & (F.col("runs") == 1), 0).otherwise(1)).over(ranges.across.rowsBetween(Window.unboundedPreceding, 0))
+    long = goes_on.withColumn("opened", opened).withColumn("length", F.sum("tail").over(Window.partitionBy(doc, "opened").orderBy(ranges.range)))
+    on = F.col("on").cast("int")
+    told = ranges.carried(local, long, **{ids: F.sum(F.col("runs") - on).over(ranges.before) - on, items: F.when(F.col("on"), F.lag("length").over(ranges.across))})
+    at = F.col(item) + F.when(F.col(run) == 1, F.coalesce(items, F.lit(0))).otherwise(0)
+    return told.select(*rows.columns, (F.col(run) + F.coalesce(ids, F.lit(0)) + 99).cast("bigint").alias("list_id"), at.cast("int").alias("item"))
 
 
 def body_lines(lines: DataFrame, doc: str, pos: str, line: str) -> DataFrame:
     """Lines after the second ``---`` line and before a third."""
-    w = Window.partitionBy(doc).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    marks = F.sum(F.when(F.col(line) == "---", 1).otherwise(0)).over(w)
-    return lines.withColumn("_m", marks).where((F.col("_m") == 2) & (F.col(line) != "---")).drop("_m")
+    (marks,) = free_names(lines.columns, "marks")
+    counted = running_sums(lines, [doc], [pos], {marks: F.when(F.col(line) == "---", 1).otherwise(0)})
+    return counted.where((F.col(marks) == 2) & (F.col(line) != "---")).drop(marks)
 
 
 def ancestors(path: Column) -> Column:
@@ -73,10 +89,18 @@ def operator_bodies(signs: DataFrame, doc: str, seq: str, sign: str) -> DataFram
     A body goes on to the next relation or the end of the row of signs. An
     operator inside takes its own body first, which ends at the same place.
     """
-    order = Window.partitionBy(doc).orderBy(seq)
-    after = order.rowsBetween(1, Window.unboundedFollowing)
-    placed = signs.withColumns({"_before": F.lag(seq).over(order), "_next": F.lead(seq).over(order)})
-    stop = F.min(F.when(ends_body(F.col(sign)), F.struct(F.col(seq).alias("at"), F.col("_before").alias("last")))).over(after)
-    placed = placed.withColumns({"_stop": stop, "_last": F.max(seq).over(after)})
-    end = F.when(F.col("_stop.at") == F.col("_next"), None).when(F.col("_stop").isNotNull(), F.col("_stop.last")).otherwise(F.col("_last"))
-    return placed.where(limit_place(F.col(sign)).isNotNull()).select(*signs.columns, limit_place(F.col(sign)).alias("limits"), end.alias("body_end"))
+    prior, following, end, stop, far = free_names(signs.columns, "prior", "following", "end", "stop", "far")
+    ranges = Ranges(signs, [doc], [seq])
+    w = ranges.within
+    states = ranges.states(ranges.rows, low=F.min(seq), high=F.max(seq))
+    whole = Window.partitionBy(doc)
+    local = ranges.rows.withColumns({prior: F.lag(seq).over(w), following: F.lead(seq).over(w), end: F.max(seq).over(Window.partitionBy(ranges.range, doc))})
+    local = ranges.carried(local, states, low_=F.lag("high").over(ranges.across), high_=F.lead("low").over(ranges.across), end_=F.max("high").over(whole))
+    local = local.withColumns({prior: F.coalesce(prior, "low_"), following: F.coalesce(following, "high_"), end: F.coalesce("end_", end)}).drop("low_", "high_", "end_")
+    relation = F.when(ends_body(F.col(sign)), F.struct(F.col(seq).alias("at"), F.col(prior).alias("last")))
+    stops = ranges.states(local, stop=F.min(relation))
+    told = local.withColumn(stop, F.min(relation).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    told = ranges.carried(told, stops, **{far: F.min("stop").over(ranges.after)})
+    first = F.coalesce(stop, far)
+    body = F.when(first["at"] == F.col(following), None).when(first.isNotNull(), first["last"]).when(F.col(following).isNotNull(), F.col(end))
+    return told.where(limit_place(F.col(sign)).isNotNull()).select(*signs.columns, limit_place(F.col(sign)).alias("limits"), body.alias("body_end"))

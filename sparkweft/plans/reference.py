@@ -388,10 +388,19 @@ def gate_tally(spark, d):
     return report.tally(rows.withColumn("ok", F.expr("quality = 1 AND toxic = 0")), ["source"], "ok")
 
 
-@query("SELECT doc_id, bool_and(quality = 1 AND toxic = 0) AS proceeds FROM labels GROUP BY doc_id")
+_GATES = """g AS (SELECT doc_id, 'reviewer' AS gate, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN quality = 1 THEN 'PASS' ELSE 'NEEDS_WORK' END AS verdict FROM labels
+ UNION ALL SELECT doc_id, 'security', CASE WHEN toxic = 0 THEN 'PASS' ELSE 'FAIL' END FROM labels WHERE doc_id % 11 <> 0)"""
+
+
+@query(f"""WITH {_GATES} SELECT doc_id, coalesce(bool_and(coalesce(verdict = 'PASS', false)) FILTER (gate = 'reviewer'), false) AND coalesce(bool_and(coalesce(verdict = 'PASS', false)) FILTER (gate = 'security'), false) AS proceeds
+ FROM g GROUP BY doc_id""")
 def two_gates(spark, d):
-    gates = F.array(F.when(F.col("quality") == 1, "PASS").otherwise("NEEDS_WORK"), F.when(F.col("toxic") == 0, "PASS").otherwise("FAIL"))
-    return report.all_gates(table(spark, d, "labels").select("doc_id", F.explode(gates).alias("gate")), ["doc_id"], "gate")
+    """Some items have a null gate, some lack one."""
+    labels = table(spark, d, "labels")
+    review = F.when(F.col("doc_id") % 7 == 0, None).when(F.col("quality") == 1, "PASS").otherwise("NEEDS_WORK")
+    reviewed = labels.select("doc_id", F.lit("reviewer").alias("gate"), review.alias("verdict"))
+    secured = labels.where("doc_id % 11 <> 0").select("doc_id", F.lit("security").alias("gate"), F.when(F.col("toxic") == 0, "PASS").otherwise("FAIL").alias("verdict"))
+    return report.all_gates(reviewed.unionByName(secured), ["doc_id"], "gate", "verdict")
 
 
 @query("""WITH i AS (SELECT l_orderkey, l_linenumber AS item, l_quantity > 10 AS met, CASE WHEN l_linenumber <= 4 THEN 'required' WHEN l_linenumber = 5 THEN 'forbidden' ELSE 'bonus' END AS kind FROM lineitem),
@@ -429,9 +438,12 @@ def overall_risk(spark, d):
     return report.overall_risk(table(spark, d, "part").withColumn("severity", F.expr(_SEV)), "severity")
 
 
-@query(f"SELECT p_brand, p_type, CASE {_SEV.replace('p_size', 'max(p_size)')} WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 3 ELSE 4 END AS rank, {_SEV.replace('p_size', 'max(p_size)')} AS severity FROM part GROUP BY 1, 2")
+@query(f"""WITH p AS (SELECT p_brand, p_type, CASE WHEN p_size > 45 THEN 'BLOCKER' ELSE {_SEV} END AS severity FROM part),
+ r AS (SELECT *, CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 3 WHEN 'INFO' THEN 4 ELSE 5 END AS rank FROM p)
+ SELECT p_brand, p_type, min(rank) AS rank, arg_min(severity, rank) AS severity FROM r GROUP BY 1, 2""")
 def merged_findings(spark, d):
-    p = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", F.expr(_SEV).alias("severity"))
+    """BLOCKER is no known severity: it is last, and stays what it is."""
+    p = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", F.when(F.col("p_size") > 45, "BLOCKER").otherwise(F.expr(_SEV)).alias("severity"))
     return report.merge_reports([p.where("p_partkey % 2 = 0").drop("p_partkey"), p.where("p_partkey % 2 = 1").drop("p_partkey")], ["p_brand", "p_type"], "severity")
 
 
@@ -464,6 +476,22 @@ def burn_rate(spark, d):
     return report.burn_rate(e, "user_id", "s", F.col("value") > 1, 86400, 0.99).select("event_id", F.round("burn", 6).alias("burn"))
 
 
+def _burn_sql() -> str:
+    windows = sorted({w for *_, a, b in report.BURN_POLICIES for w in (a, b)})
+    sums = ", ".join(f"sum({c}) OVER (PARTITION BY user_id ORDER BY bucket RANGE BETWEEN {w // 60 - 1} PRECEDING AND CURRENT ROW) AS {c}_{w}" for w in windows for c in ("n", "bad"))
+    burn = lambda w: f"bad_{w} / n_{w} / 0.5"
+    rows = " UNION ALL ".join(f"SELECT user_id, bucket, '{s}' AS severity, CAST({f} AS DOUBLE) AS factor, round({burn(a)}, 6) AS burn_long, round({burn(b)}, 6) AS burn_short, {burn(a)} > {f} AND {burn(b)} > {f} AS fires FROM w" for s, f, a, b in report.BURN_POLICIES)
+    return f"""WITH e AS (SELECT user_id, CAST(floor(floor(epoch(ts)) / 60) AS BIGINT) AS bucket, count(*) AS n, count(*) FILTER (NOT value > 1) AS bad FROM events GROUP BY 1, 2),
+ w AS (SELECT user_id, bucket, {sums} FROM e) {rows}"""
+
+
+@query(_burn_sql())
+def burn_alerts(spark, d):
+    e = table(spark, d, "events").select("user_id", "value", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("s"))
+    out = report.burn_alerts(e, "user_id", "s", F.col("value") > 1, 0.5)
+    return out.withColumns({c: F.round(c, 6) for c in ("burn_long", "burn_short")})
+
+
 @query("SELECT user_id, CASE WHEN bool_or(event_type = 'purchase') THEN 'major' WHEN bool_or(event_type = 'click') THEN 'minor' WHEN bool_or(event_type = 'view') THEN 'patch' ELSE 'none' END AS bump FROM events GROUP BY 1")
 def version_bump(spark, d):
     m = F.when(F.col("event_type") == "purchase", "x BREAKING").when(F.col("event_type") == "click", "feat: a").when(F.col("event_type") == "view", "fix: b").otherwise("chore")
