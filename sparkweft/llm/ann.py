@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkweft.llm import common
@@ -241,7 +241,7 @@ def train(rows: DataFrame, total: int, k: int, target: float) -> Router:
     """A router from bounded samples of (vec_id, v): the parts on the driver, the leaves of each part by one task."""
     parts = int(min(MAX_PARTS, max(1, round(total**0.5 / 8))))
     size = max(SAMPLE, min(MOST_SAMPLE, 64 * parts))
-    drawn = [bytes(r.v) for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(size).collect()]
+    drawn = [bytes(r.v) for r in rows.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(size).collect()]
     x = matrix(drawn) if drawn else np.zeros((0, 0))
     first = learn(x, min(parts, len(x) // 64), k)
     parts = len(first.bias)
@@ -259,8 +259,10 @@ def train(rows: DataFrame, total: int, k: int, target: float) -> Router:
     sizes = {r.part: r["count"] for r in placed.groupBy("part").count().collect()}  # at most MAX_PARTS rows
     own = [Softmax(np.zeros((width, 1), np.float32), np.zeros(1, np.float32)) for _ in range(parts)]
     if leaves > 1 and sizes:
-        share = F.element_at(F.create_map(*(F.lit(v) for p, n in sizes.items() for v in (p, min(1.0, PART_SAMPLE / n)))), F.col("part"))
-        some = placed.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < share * F.lit(float(1 << 30)))
+        share = F.element_at(F.create_map(*(F.lit(v) for p, n in sizes.items() for v in (p, min(1.0, 1.1 * PART_SAMPLE / n)))), F.col("part"))
+        # A little more than the share is drawn, then the bound holds to the row, also where ids are equal.
+        some = placed.withColumn("h", F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 30))).where(F.col("h") < share * F.lit(float(1 << 30)))
+        some = some.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy("h", "vec_id"))).where(F.col("n") <= PART_SAMPLE).drop("h", "n")
 
         def inside(group: pd.DataFrame) -> pd.DataFrame:
             y = matrix(group.sort_values("vec_id", kind="stable")["v"].tolist())

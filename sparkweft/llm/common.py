@@ -111,10 +111,11 @@ def maybe_in(rows: DataFrame, column: str, keys: DataFrame, key: str, flag: str)
     """
     size = min(MAP_BITS, 1 << max(15, (KEY_BITS * keys.count()).bit_length()))
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(size)) + 1
-    bits = keys.select(bit(key).alias("b")).groupBy(F.bitmap_bucket_number("b").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("__bits"))
+    bucket_, bits_ = fresh_names(rows, "bucket", "bits")
+    bits = keys.select(bit(key).alias("b")).groupBy(F.bitmap_bucket_number("b").alias(bucket_)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias(bits_))
     at = F.bitmap_bit_position(bit(column)).cast("int")
-    byte = F.conv(F.hex(F.substring("__bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    told = rows.withColumn("__bucket", F.bitmap_bucket_number(bit(column))).join(F.broadcast(bits), "__bucket", "left")
+    byte = F.conv(F.hex(F.substring(bits_, (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    told = rows.withColumn(bucket_, F.bitmap_bucket_number(bit(column))).join(F.broadcast(bits), bucket_, "left")
     return told.withColumn(flag, F.coalesce(F.getbit(byte, at % 8) == 1, F.lit(False))).select(*rows.columns, flag)
 
 

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkweft.llm import common
@@ -104,26 +104,30 @@ def fit(x: np.ndarray, labels: list[str], rounds: int = 150) -> Model:
 def train(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """A model from the labelled rows given.
 
-    The sample has about ``per_language`` rows of each language, or all if it
-    has fewer, and all languages together about MOST_SAMPLE; rows are taken by
-    a hash of their id. That bound keeps what comes to the driver small;
-    nothing else is sampled.
+    The sample has at most ``per_language`` rows of each language, and all
+    languages together at most MOST_SAMPLE: those of the smallest hashes of id
+    and text, equal rows once. That bound keeps what comes to the driver small,
+    also where ids are null or repeated; nothing else is sampled.
     """
     common.small_batches(docs.sparkSession)
     labelled = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in labelled.groupBy(label_col).count().collect()}
+    hashed = labelled.select(F.col(label_col).alias("label"), F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text"))
+    counts = {r[0]: max(r[1], 1) for r in hashed.groupBy("label").agg(F.approx_count_distinct("h")).collect()}
     if not counts:
         return fit(np.zeros((0, FEATURES), np.float32), [])
     most = min(per_language, MOST_SAMPLE / len(counts))
-    share = F.element_at(F.create_map(*(F.lit(v) for k, n in counts.items() for v in (k, min(1.0, most / n)))), F.col(label_col))
-    drawn = F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < share * F.lit(float(1 << 30))
+    # A little more than the share is drawn, then the bound holds to the row.
+    share = F.element_at(F.create_map(*(F.lit(v) for k, n in counts.items() for v in (k, min(1.0, 1.25 * most / n + 50 / n)))), F.col("label"))
+    drawn = hashed.where(F.pmod("h", F.lit(1 << 30)) < share * F.lit(float(1 << 30))).groupBy("label", "h").agg(F.first("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("label").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))
+    drawn = drawn.withColumn("place", place).where(F.col("place") <= int(most)).select("label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [features(t).astype(np.float16).tobytes() for t in common.column_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["label", "x"])
 
-    rows = labelled.where(drawn).select(F.col(label_col).alias("label"), text_col).mapInArrow(common.tidy(run), "label string, x binary").toArrow()
+    rows = drawn.mapInArrow(common.tidy(run), "label string, x binary").toArrow()
     labels, raw = rows["label"].to_pylist(), rows["x"].combine_chunks()
     x = np.frombuffer(b"".join(y.as_buffer() for y in raw), np.float16).reshape(-1, FEATURES)
     order = sorted(range(len(labels)), key=lambda i: (labels[i], zlib.crc32(x[i])))  # whatever the order of the rows
@@ -149,10 +153,11 @@ def predict(docs: DataFrame, model: Model, keep: list[Column | str], text_col: s
     common.small_batches(docs.sparkSession)
     made = "lang_pred", "score", "ambiguous"
     given = docs.select(*keep).drop(*made)
-    if text_col not in given.columns:
-        given = docs.select(*keep, F.col(text_col).alias("__text")).drop(*made)
-    out = [f for f in given.schema.fields if f.name != "__text"]
-    at = given.columns.index("__text" if "__text" in given.columns else text_col)
+    out = given.schema.fields
+    # The text is the column of its own name, or the last one if that is not kept.
+    at = given.columns.index(text_col) if text_col in given.columns else len(out)
+    if at == len(out):
+        given = docs.select(*keep, F.col(text_col).alias(*common.fresh_names(given, "text"))).drop(*made)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in out]
     names = [f.name for f in out]
 

@@ -144,7 +144,9 @@ class Runs:
         return self._merged([self.compact(), *self.log], "left")
 
     def drop(self) -> None:
-        self._drop([*self.names(), *self.log])
+        """No table of these runs stays, also where a step before failed."""
+        for i in range(1, self.made + 1):
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{i} PURGE")
         self.levels, self.log = [], []
 
 
@@ -169,11 +171,13 @@ def drops(docs: DataFrame, min_chars: int, min_docs: int, batches: int, id_col:
     id_type = docs.schema[id_col].dataType.simpleString()
     keys = spark.read.schema(f"doc_id {id_type}, mark bigint, pos int, h1 bigint, h2 bigint, part int").parquet(path)
     runs = Runs(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    with sorted_scans(spark):
-        for i in range(batches):
-            runs.add(batch_counts(keys.where(F.col("part") == i)))
-        hot = common.staged(runs.totals().where(F.col("n_docs") >= min_docs).select("h1", "h2", "last"), "frequent")
-    runs.drop()
+    try:
+        with sorted_scans(spark):
+            for i in range(batches):
+                runs.add(batch_counts(keys.where(F.col("part") == i)))
+            hot = common.staged(runs.totals().where(F.col("n_docs") >= min_docs).select("h1", "h2", "last"), "frequent")
+    finally:
+        runs.drop()
     lost = keys.select("doc_id", "mark", "pos", "h1", "h2").join(hot, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("last")))
     gone = common.staged(lost.groupBy("doc_id", "mark").agg(F.collect_set("pos").alias("dropped")), "dropped")
     common.remove_path(spark, path)
@@ -193,16 +197,17 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     Only documents that a map of fixed size says may lose lines are shuffled.
     """
     rest = docs.drop("n_lines", "n_dropped")
-    lost = drops(rest, min_chars, min_docs, batches, id_col, text_col).select(F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark"), F.col("dropped").alias("__gone"))
-    told = common.maybe_in(rest, id_col, lost, "__doc", "__may").withColumn("__lines", text_lines(F.col(text_col)))
-    size = F.size("__lines").cast("bigint").alias("n_lines")
+    doc_, mark_, gone_, may_, lines_, key_ = common.fresh_names(rest, "doc", "mark", "gone", "may", "lines", "key")
+    lost = drops(rest, min_chars, min_docs, batches, id_col, text_col).select(F.col("doc_id").alias(doc_), F.col("mark").alias(mark_), F.col("dropped").alias(gone_))
+    told = common.maybe_in(rest, id_col, lost, doc_, may_).withColumn(lines_, text_lines(F.col(text_col)))
+    size = F.size(lines_).cast("bigint").alias("n_lines")
     others = [F.col(c) for c in rest.columns]
-    whole = told.where(~F.col("__may")).select(*[F.coalesce(c, F.lit("")).alias(text_col) if n == text_col else c for n, c in zip(rest.columns, others, strict=True)], size, F.lit(0).cast("bigint").alias("n_dropped"))
+    whole = told.where(~F.col(may_)).select(*[F.coalesce(c, F.lit("")).alias(text_col) if n == text_col else c for n, c in zip(rest.columns, others, strict=True)], size, F.lit(0).cast("bigint").alias("n_dropped"))
     # The text goes on as its lines alone; they are a column of the join's, so that a line is found by its place at once.
-    some = told.where("__may").withColumn("__key", F.xxhash64(text_col)).drop(text_col, "__may")
-    joined = some.join(lost, some[id_col].eqNullSafe(lost["__doc"]) & (F.col("__key") == F.col("__mark")), "left")
-    gone = F.coalesce("__gone", F.array().cast("array<int>"))
-    left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), gone)
-    text = F.array_join(F.transform(left, lambda i: F.get("__lines", i)), "\n").alias(text_col)
+    some = told.where(F.col(may_)).withColumn(key_, F.xxhash64(text_col)).drop(text_col, may_)
+    joined = some.join(lost, some[id_col].eqNullSafe(lost[doc_]) & (F.col(key_) == F.col(mark_)), "left")
+    gone = F.coalesce(gone_, F.array().cast("array<int>"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines_) - 1), gone)
+    text = F.array_join(F.transform(left, lambda i: F.get(lines_, i)), "\n").alias(text_col)
     cut = joined.select(*[text if n == text_col else some[n] for n in rest.columns], size, F.size(gone).cast("bigint").alias("n_dropped"))
     return whole.unionByName(cut)

@@ -100,13 +100,16 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
         F.when(head + length <= F.col("size"), F.sha1(F.substring(F.col("value").cast("binary"), (head + 1).cast("int"), length.cast("int")))).alias("digest"),
     )
     parsed = common.staged(parsed, "fragments")
-    # Offsets are running sums inside a split, after the sums of the splits before it: no task sorts a whole archive.
+    return _placed(parsed).drop("split", "row").withColumn("next", F.col("start") + len(MAGIC) + F.col("head") + F.col("length") + len(GAP))
+
+
+def _placed(fragments: DataFrame) -> DataFrame:
+    """The fragments with their offset: running sums of sizes inside a split, after the sums of the splits before it. No task sorts a whole archive."""
     length_of = F.col("size") + len(MAGIC)
-    splits = parsed.groupBy("file", "split").agg(F.sum(length_of).alias("total"))
+    splits = fragments.groupBy("file", "split").agg(F.sum(length_of).alias("total"))
     bases = splits.select("file", "split", (F.sum("total").over(Window.partitionBy("file").orderBy("split")) - F.col("total")).alias("base"))
     inside = F.sum(length_of).over(Window.partitionBy("file", "split").orderBy("row")) - length_of
-    placed = parsed.withColumn("inside", inside).join(bases, ["file", "split"]).withColumn("start", F.col("base") + F.col("inside") - len(MAGIC)).drop("base", "inside", "split", "row")
-    return placed.withColumn("next", F.col("start") + len(MAGIC) + F.col("head") + F.col("length") + len(GAP))
+    return fragments.withColumn("inside", inside).join(bases, ["file", "split"]).withColumn("start", F.col("base") + F.col("inside") - len(MAGIC)).drop("base", "inside")
 
 
 def reachable(start: np.ndarray, nxt: np.ndarray) -> np.ndarray:
@@ -172,15 +175,16 @@ def records(spark: SparkSession, path: str) -> DataFrame:
 def _rejoined(spark: SparkSession, path: str, owned: DataFrame, broken: DataFrame) -> DataFrame:
     """file, start, whole: the digest of each payload that lies in several fragments.
 
-    Their archives are read again. The offsets are summed up anew from that
-    same read, so the fragments are told by offset, however either read was
-    split among executors.
+    Their archives are read again. The offsets are summed up anew, from the
+    sizes of fragments alone, so fragments are told by offset, however the
+    first read was split. What is found is written, and the texts of these
+    fragments, and no others, are joined to it by their place in a last read,
+    which is cut as the one before was.
     """
     read = _fragments(spark, path).join(broken.select("file").distinct(), "file", "left_semi")
-    before = F.sum(F.col("size") + len(MAGIC)).over(Window.partitionBy("file").orderBy("split", "row")) - F.col("size") - len(MAGIC)
-    text = read.select("file", (before - len(MAGIC)).alias("start"), "value")
     parts = owned.join(broken, ["file", "record"])
-    joined = text.join(parts, ["file", "start"]).groupBy("file", "record", "head", "length").agg(F.array_sort(F.collect_list(F.struct("start", "value"))).alias("p"))
+    places = _placed(read.drop("value")).join(parts, ["file", "start"]).select("file", "split", "row", "start", "record", "head", "length")
+    joined = read.select("file", "split", "row", "value").join(common.staged(places, "places"), ["file", "split", "row"]).groupBy("file", "record", "head", "length").agg(F.array_sort(F.collect_list(F.struct("start", "value"))).alias("p"))
     raw = F.array_join(F.transform("p", lambda x: x["value"]), MAGIC).cast("binary")
     sized = joined.select("file", F.col("record").alias("start"), "head", "length", raw.alias("raw")).where(F.octet_length("raw") >= F.col("head") + F.col("length"))
     return sized.select("file", "start", F.sha1(F.substring("raw", (F.col("head") + 1).cast("int"), F.col("length").cast("int"))).alias("whole"))
