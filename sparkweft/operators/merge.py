@@ -55,14 +55,20 @@ def union_values(overlay: list, base: list, equality: str) -> list:
     return list(first.values())
 
 
-def merge_values(base, overlay, union: frozenset[tuple[str, ...]], equality: str, path: tuple[str, ...] = ()):
-    """Overlay wins; objects merge key by key; lists at a path in ``union`` unite; null overwrites."""
-    if isinstance(base, dict) and isinstance(overlay, dict):
-        changed = {k: merge_values(base[k], v, union, equality, (*path, k)) if k in base else v for k, v in overlay.items()}
-        return base | changed
-    if isinstance(base, list) and isinstance(overlay, list) and path in union:
-        return union_values(overlay, base, equality)
-    return overlay
+def merge_values(base, overlay, union: frozenset[tuple[str, ...]], equality: str):
+    """Overlay wins; objects merge key by key; lists at a path in ``union`` unite; null overwrites. There is no limit of depth."""
+    out: dict = {}
+    left = [(out, "", base, overlay, ())]
+    while left:
+        into, name, b, o, path = left.pop()
+        if isinstance(b, dict) and isinstance(o, dict):
+            into[name] = made = b | o
+            left += [(made, k, b[k], v, (*path, k)) for k, v in o.items() if k in b]
+        elif isinstance(b, list) and isinstance(o, list) and path in union:
+            into[name] = union_values(o, b, equality)
+        else:
+            into[name] = o
+    return out[""]
 
 
 def merge_outcome(base: Column, overlay: Column, union=(), equality: str = "host") -> Column:
@@ -71,8 +77,10 @@ def merge_outcome(base: Column, overlay: Column, union=(), equality: str = "host
     Paths in ``union`` are tuples of keys; a string is cut at its dots. With
     the equality ``host`` the numbers 1 and 1.0 and true are one list item,
     with ``text`` only what is written alike. Null and blank texts are empty
-    objects; a text that is no object is rejected, and doc is null. Depth is
-    unbounded, hence Arrow batches in Python.
+    objects; a text that is no object is rejected, and doc is null, and so is
+    one that is nested deeper than the host's JSON reader goes, which takes
+    9,000 levels, or that holds NaN or a number beyond a double's, which can't be
+    written again. ``jsontree.merge_documents`` has neither limit.
     """
     paths = frozenset(tuple(p.split(".")) if isinstance(p, str) else tuple(p) for p in union)
 
@@ -81,12 +89,15 @@ def merge_outcome(base: Column, overlay: Column, union=(), equality: str = "host
         def one(x, y):
             try:
                 x, y = (json.loads(t) if t and t.strip() else {} for t in (x, y))
-            except ValueError:
+            except (ValueError, RecursionError):
                 return None, "rejected"
             if not isinstance(x, dict) or not isinstance(y, dict):
                 return None, "rejected"
-            out = merge_values(x, y, paths, equality)
-            return json.dumps(out, ensure_ascii=False), "current" if out == x else "merged"
+            try:
+                out = merge_values(x, y, paths, equality)
+                return json.dumps(out, ensure_ascii=False, allow_nan=False), "current" if out == x else "merged"
+            except (RecursionError, ValueError):
+                return None, "rejected"
 
         return pd.DataFrame([one(x, y) for x, y in zip(b, o, strict=True)], columns=["doc", "outcome"], dtype=object)
 

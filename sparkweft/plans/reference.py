@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkweft.functions import scalars as S
-from sparkweft.operators import merge, report, sequence, sync, textops
+from sparkweft.operators import jsontree, merge, report, sequence, sync, textops
 from sparkweft.sources import manifest as manifests
 from sparkweft.sources.jsondocs import object_text
 from sparkweft.sources.tables import table
@@ -317,6 +317,17 @@ def json_merge(spark, d):
     return m.select("event_id", F.get_json_object("m", "$.k").alias("k"), F.get_json_object("m", "$.o.p").alias("nested"), lists("$.o.tags", "array<string>").alias("tags"), lists("$.plain", "array<int>").alias("plain"))
 
 
+@query("""WITH e AS (SELECT event_id, event_id % 4 AS n, '"a":{"x":' || user_id || ',"y":{"z":"' || event_type || '"}}' AS a, '"a":{"x":' || user_id || ',"y":3}' AS cut FROM events)
+ SELECT event_id, CASE WHEN n = 3 THEN 'current' ELSE 'merged' END AS outcome, '{' || CASE n WHEN 0 THEN cut || ',"b":5,"dot.key":[1,{"q":2}],"e":{}' WHEN 1 THEN a || ',"b":{"c":{}},"dot.key":[1,{"q":2}],"e":{"n":null}'
+ WHEN 2 THEN a || ',"b":5,"dot":{"key":2},"dot.key":[1,{"q":2}],"e":{}' ELSE a || ',"b":5,"dot.key":[1,{"q":2}],"e":{}' END || '}' AS doc FROM e""")
+def json_merge_deep(spark, d):
+    """Flattened, joined by path and written again: scalars over objects and objects over scalars, empty objects, null, dots in names."""
+    e = table(spark, d, "events")
+    base = F.concat(F.lit('{"e": {}, "b": 5, "a": {"y": {"z": "'), "event_type", F.lit('"}, "x": '), F.col("user_id").cast("string"), F.lit('}, "dot.key": [1,{"q":2}]}'))
+    over = F.when(F.col("event_id") % 4 == 0, '{"a":{"y":3}}').when(F.col("event_id") % 4 == 1, '{"b":{"c":{}},"e":{"n":null}}').when(F.col("event_id") % 4 == 2, '{"dot":{"key":2},"a":{"y":{}}}')
+    return jsontree.merge_documents(e.select("event_id", base.alias("doc")), e.select("event_id", over.alias("doc")), "event_id", "doc")
+
+
 @query("""WITH e AS (SELECT event_id, json_extract_string(props, '$.k') AS v FROM events) SELECT event_id, 'k' AS path, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 3 = 0 THEN 'over' ELSE v END AS value FROM e
  UNION ALL SELECT event_id, 'new', 'x' FROM e WHERE event_id % 7 = 0""")
 def json_merge_flat(spark, d):
