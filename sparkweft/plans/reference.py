@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkweft.functions import scalars as S
-from sparkweft.operators import jsontree, merge, report, sequence, sync, textops
+from sparkweft.operators import jsontree, merge, report, sequence, sync, textops, tree
 from sparkweft.sources import manifest as manifests
 from sparkweft.sources.jsondocs import object_text
 from sparkweft.sources.tables import table
@@ -115,6 +115,36 @@ def manifest(spark, d):
     return manifests.manifest(doc.select(path.alias("path")), "path")
 
 
+_TREE = """s AS (SELECT source || '/' || lang || '/' || doc_id AS path, source, source || '/' || lang AS folder, text FROM documents),
+ t AS (SELECT source || '/' || lang || '/' || doc_id AS path, source, source || '/' || lang AS folder, CASE WHEN doc_id % 97 = 0 THEN text || 'x' ELSE text END AS text FROM documents WHERE doc_id % 89 <> 0 AND source <> 'src7'
+  UNION ALL SELECT source || '/' || lang || '/' || doc_id || '.bak', source, source || '/' || lang, text FROM documents WHERE doc_id % 101 = 0),
+ f AS (SELECT coalesce(s.path, t.path) AS path, coalesce(s.source, t.source) AS source, coalesce(s.folder, t.folder) AS folder, CASE WHEN t.path IS NULL THEN 'NEW' WHEN s.path IS NULL THEN 'EXTRA' WHEN s.text = t.text THEN 'identical' ELSE 'CHANGED' END AS status FROM s FULL JOIN t ON s.path = t.path)"""
+_TREE_UP = "CASE WHEN bool_and(status = 'NEW') THEN 'NEW' WHEN bool_and(status = 'EXTRA') THEN 'EXTRA' WHEN bool_and(status = 'identical') THEN 'identical' ELSE 'CHANGED' END AS status"
+
+
+@query(f"""WITH {_TREE}, d2 AS (SELECT source, folder, {_TREE_UP} FROM f GROUP BY 1, 2), d1 AS (SELECT source, {_TREE_UP} FROM f GROUP BY 1), d0 AS (SELECT {_TREE_UP} FROM f)
+ SELECT '' AS path, 0 AS depth, 'folder' AS kind, status FROM d0 UNION ALL SELECT source, 1, 'folder', status FROM d1
+ UNION ALL SELECT d2.folder, 2, 'folder', d2.status FROM d2 JOIN d1 ON d1.source = d2.source WHERE d1.status = 'CHANGED'
+ UNION ALL SELECT f.path, 3, 'file', f.status FROM f JOIN d1 ON d1.source = f.source JOIN d2 ON d2.folder = f.folder WHERE d1.status = 'CHANGED' AND d2.status = 'CHANGED'""")
+def tree_status(spark, d):
+    """A few files are missing, edited or unknown, and a folder is not installed: only folders that differ are looked into."""
+    docs = table(spark, d, "documents").select("doc_id", "source", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text")
+    there = docs.where("doc_id % 89 <> 0 AND source <> 'src7'").withColumn("text", F.when(F.col("doc_id") % 97 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")))
+    more = docs.where("doc_id % 101 = 0").withColumn("path", F.concat("path", F.lit(".bak")))
+    return tree.tree_status(tree.merkle(docs, "path", "text"), tree.merkle(there.unionByName(more), "path", "text"))
+
+
+@query("""WITH d AS (SELECT doc_id, source, source || '/' || lang AS folder FROM documents), f AS (SELECT DISTINCT folder FROM d UNION SELECT source FROM d UNION SELECT '' FROM d),
+ k AS (SELECT * FROM d WHERE doc_id % 50 = 3), h AS (SELECT folder FROM k UNION SELECT source FROM k UNION SELECT '' FROM k)
+ SELECT f.folder, CASE WHEN h.folder IS NULL THEN 'removed' ELSE 'left in place' END AS action FROM f LEFT JOIN h ON f.folder = h.folder""")
+def emptied_folders(spark, d):
+    """What is left of the folders if all but every fiftieth file is uninstalled."""
+    docs = table(spark, d, "documents").select("doc_id", "source", F.concat_ws("/", "source", "lang").alias("folder"), F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"))
+    known = sync.uninstall(docs.where("doc_id % 50 <> 3"), docs, "path").where("action = 'kept'")
+    folders = docs.select("folder").union(docs.select("source")).union(docs.select(F.lit("")))
+    return tree.emptied_folders(folders, "folder", known, "path")
+
+
 # --- sequences ----------------------------------------------------------------------
 
 @query("""SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS number,
