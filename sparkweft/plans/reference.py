@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkweft.functions import scalars as S
-from sparkweft.operators import jsontree, merge, report, sequence, sync, textops, tree
+from sparkweft.operators import clones, jsontree, merge, report, sequence, sync, textops, tree
 from sparkweft.sources import manifest as manifests
 from sparkweft.sources.jsondocs import object_text
 from sparkweft.sources.tables import table
@@ -145,6 +145,14 @@ def emptied_folders(spark, d):
     return tree.emptied_folders(folders, "folder", known, "path")
 
 
+def near_clones(spark, d):
+    """SQL has no alignment, so this one is held against all pairs in a test."""
+    return clones.near_clones(table(spark, d, "documents"), "doc_id", "text")
+
+
+QUERIES["near_clones"] = near_clones
+
+
 # --- sequences ----------------------------------------------------------------------
 
 @query("""SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS number,

@@ -34,7 +34,7 @@ def plain(v):
     return v.replace(tzinfo=None).isoformat() if hasattr(v, "isoformat") else v
 
 
-@pytest.mark.parametrize("name", sorted(reference.QUERIES))
+@pytest.mark.parametrize("name", sorted(reference.ORACLES))
 def test_query_against_sql(spark, duck, name):
     df = reference.QUERIES[name](spark, DATA)
     got = duck.sql(reference.ORACLES[name])
