@@ -5,12 +5,13 @@ the surveyed material.
 """
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkweft.functions import scalars as S
-from sparkweft.operators import clones, jsontree, merge, report, sequence, sync, textops, tree
+from sparkweft.operators import clones, jsontree, merge, normalform, report, sequence, sync, textops, tree
 from sparkweft.sources import manifest as manifests
 from sparkweft.sources.jsondocs import object_text
 from sparkweft.sources.tables import table
@@ -512,6 +513,29 @@ def fd_profile(spark, d):
     return report.functional_dependency(table(spark, d, "part"), "p_brand", "p_type")
 
 
+def _dependency_sql(name: str, columns: list[str], most: int) -> str:
+    """Every set of up to ``most`` columns, by counting distinct rows."""
+    sets = [x for n in range(most + 1) for x in combinations(sorted(columns), n)]
+    listed = lambda x: f"CAST({list(x)} AS VARCHAR[])"
+    count = lambda x: f"(SELECT count(DISTINCT ({', '.join(x)})) FROM t)" if x else "(SELECT least(count(*), 1) FROM t)"
+    counts = " UNION ALL ".join(f"SELECT {listed(x)} AS x, {count(x)} AS n" for x in sets)
+    pairs = " UNION ALL ".join(f"SELECT {listed(x)} AS x, '{c}' AS c, {count([*x, c])} AS n" for x in sets for c in columns if c not in x)
+    return f"""WITH t AS (FROM {name}), s AS ({counts}), u AS (SELECT x FROM s WHERE n = (SELECT count(*) FROM t)),
+ k AS (SELECT x FROM u WHERE NOT EXISTS (SELECT 1 FROM u v WHERE len(v.x) < len(u.x) AND list_has_all(u.x, v.x))), p AS ({pairs}), h AS (SELECT p.x, p.c FROM p JOIN s ON p.x = s.x AND p.n = s.n),
+ m AS (SELECT * FROM h WHERE NOT EXISTS (SELECT 1 FROM h v WHERE v.c = h.c AND len(v.x) < len(h.x) AND list_has_all(h.x, v.x)))
+ SELECT array_to_string(x, ',') AS determinant, c AS dependent, CASE WHEN EXISTS (SELECT 1 FROM k WHERE list_contains(k.x, m.c)) OR EXISTS (SELECT 1 FROM k WHERE list_has_all(m.x, k.x)) THEN NULL
+ WHEN EXISTS (SELECT 1 FROM k WHERE list_has_all(k.x, m.x)) THEN '2NF' ELSE '3NF' END AS breaks FROM m"""
+
+
+_CUSTOMER = ["c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"]
+
+
+@query(_dependency_sql("(SELECT *, c_nationkey % 5 AS region FROM customer)", [*_CUSTOMER, "region"], 2))
+def normal_forms(spark, d):
+    """The region hangs on the nation, which is no key."""
+    return normalform.normal_forms(table(spark, d, "customer").withColumn("region", F.col("c_nationkey") % 5), [*_CUSTOMER, "region"], 2)
+
+
 @query("SELECT round(avg(p_size) - stddev_pop(p_size), 6) AS low, round(avg(p_size), 6) AS mean, round(avg(p_size) + stddev_pop(p_size), 6) AS high, round(avg(p_size) + 2 * stddev_pop(p_size), 6) AS very_high FROM part")
 def sigma_thresholds(spark, d):
     t = report.sigma_levels(table(spark, d, "part"), "p_size")
