@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkweft.functions import scalars as S
-from sparkweft.operators import clones, jsontree, merge, normalform, report, sequence, sync, textops, tree
+from sparkweft.operators import clones, jsontree, merge, normalform, report, rubric, sequence, sync, textops, tree
 from sparkweft.sources import manifest as manifests
 from sparkweft.sources.jsondocs import object_text
 from sparkweft.sources.tables import table
@@ -438,6 +438,27 @@ def gate_tally(spark, d):
     return report.tally(rows.withColumn("ok", F.expr("quality = 1 AND toxic = 0")), ["source"], "ok")
 
 
+@query("""WITH w AS (SELECT item_id, string_split(trim(regexp_replace(text, '[^A-Za-z ]+', ' ', 'g')), ' ') AS w FROM benchmark),
+ i AS (SELECT item_id, 'x' || w[1] AS a, 'x' || w[2] AS b, 'x' || w[3] AS c, 'x' || w[4] AS d FROM w)
+ SELECT item_id, 1 AS item, 'required' AS kind, a || ' ' || b AS text FROM i UNION ALL SELECT item_id, 2, 'required', b FROM i UNION ALL SELECT item_id, 3, 'bonus', c FROM i UNION ALL SELECT item_id, 4, 'forbidden', d FROM i""")
+def rubric_items(spark, d):
+    """Rubrics made of each item's first words: two required points, the first over two lines, a bonus and a forbidden one."""
+    w = F.split(F.trim(F.regexp_replace("text", "[^A-Za-z ]+", " ")), " ")
+    word = lambda i: F.concat(F.lit("x"), F.get(w, F.lit(i)))
+    text = F.concat(F.lit("It must say:\n1. "), word(0), F.lit("\n   "), word(1), F.lit("\n2. "), word(1), F.lit("\n\nBonus:\n- "), word(2), F.lit("\n\nIt must not say:\n- "), word(3), F.lit("\n"))
+    return rubric.rubric_items(table(spark, d, "benchmark").select("item_id", text.alias("rubric")), "item_id", "rubric")
+
+
+@query("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'no JSON' WHEN 2 THEN 'verdict,unknown name' WHEN 3 THEN 'matched' ELSE CASE WHEN quality = 1 THEN 'pass with missed items' ELSE '' END END AS faults FROM labels""")
+def verdict_faults(spark, d):
+    """Verdicts that are in order, no JSON, of another word and name, without a list of numbers, and passed although an item is missed."""
+    word = F.when(F.col("quality") == 1, "pass").otherwise("fail")
+    number = F.col("doc_id") % 5
+    good = F.concat(F.lit('{"verdict":"'), word, F.lit('","matched":[1],"missed":'), F.when(number == 4, "[2]").otherwise("[]"), F.lit(',"notes":"n"}'))
+    text = F.when(number == 1, F.concat(F.lit("It says "), good)).when(number == 2, F.regexp_replace(good, '"verdict":"(pass|fail)"', '"verdict":"maybe","more":1')).when(number == 3, F.replace(good, F.lit("[1]"), F.lit("[true]"))).otherwise(good)
+    return table(spark, d, "labels").select("doc_id", F.array_join(rubric.verdict_faults(text), ",").alias("faults"))
+
+
 _GATES = """g AS (SELECT doc_id, 'reviewer' AS gate, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN quality = 1 THEN 'PASS' ELSE 'NEEDS_WORK' END AS verdict FROM labels
  UNION ALL SELECT doc_id, 'security', CASE WHEN toxic = 0 THEN 'PASS' ELSE 'FAIL' END FROM labels WHERE doc_id % 11 <> 0)"""
 
