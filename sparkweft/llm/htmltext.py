@@ -9,7 +9,9 @@ block of its region, good if both sides are as near or it lies in the article.
 Markup is evidence, not a gate. An ``article`` (or ``main``) counts only if it
 has its share of the page's prose, so teasers marked as articles don't hide the
 text beside them; a container whose class, id or tag names something else
-(``sidebar``, ``form``) is not believed if the page's prose lies in it.
+(``sidebar``, ``form``) is not believed if the page's prose lies in it. Where
+no article is marked, the innermost container with nearly all the prose and all titles is
+one.
 """
 
 from __future__ import annotations
@@ -49,6 +51,9 @@ MAX_LINKS, SHORT, LONG, STOP_LOW, STOP_HIGH = 0.33, 70, 200, 0.12, 0.20
 STOP_KNOWN = 0.05
 #: Prose that an article has at least, of that in the longest article.
 SECOND_ARTICLE = 0.2
+#: Elements that may hold an article where none is marked; the share of the prose and of the other blocks around it that such a one has at least.
+BOXES = frozenset("div section td center article main".split())
+BOX_PROSE, BOX_BLOCKS = 0.9, 0.5
 
 _OPEN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
 _REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
@@ -107,10 +112,10 @@ def _noisy(attributes: str) -> bool:
 
 
 class _Block:
-    __slots__ = ("article", "heading", "hint", "links", "main", "stop", "text")
+    __slots__ = ("article", "box", "heading", "hint", "links", "main", "stop", "text")
 
-    def __init__(self, text: str, links: int, hint: int, article: int, main: int, heading: bool):
-        self.text, self.links, self.hint, self.article, self.main, self.heading = text, links, hint, article, main, heading
+    def __init__(self, text: str, links: int, hint: int, article: int, main: int, box: int, heading: bool):
+        self.text, self.links, self.hint, self.article, self.main, self.box, self.heading = text, links, hint, article, main, box, heading
         words = _WORD.findall(text.lower()) if len(text) >= SHORT else []
         self.stop = sum(w in STOP for w in words) / len(words) if words else 0.0
 
@@ -129,6 +134,7 @@ class _Page:
     def __init__(self):
         self.blocks: list[_Block] = []
         self.parent, self.doubtful, self.core = [0], [False], [False]
+        self.around = [0]  # the box around each box
 
     def open(self, parent: int, doubtful: bool) -> int:
         self.parent.append(parent)
@@ -142,9 +148,9 @@ def parse(page: str) -> _Page:
     out, ends = _Page(), _Ends(page)
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, int, int, int, int]] = []  # name, and what holds outside of it: hidden, hint, article, main
+    stack: list[tuple[str, int, int, int, int, int]] = []  # name, and what holds outside of it: hidden, hint, article, main, box
     depth: Counter[str] = Counter()
-    hidden = hint = article = main = articles = mains = anchors = breaks = 0
+    hidden = hint = article = main = box = articles = mains = anchors = breaks = 0
     heading = False
 
     def flush() -> None:
@@ -155,7 +161,7 @@ def parse(page: str) -> _Page:
             if text:
                 link = "".join(linked)
                 n = len(" ".join((html.unescape(link) if "&" in link else link).split())) if link else 0
-                out.blocks.append(_Block(text, n, hint, article, main, heading))
+                out.blocks.append(_Block(text, n, hint, article, main, box, heading))
             parts.clear()
             linked.clear()
         breaks = 0
@@ -170,8 +176,8 @@ def parse(page: str) -> _Page:
                 breaks = 0
 
     def close() -> None:
-        nonlocal hidden, hint, article, main
-        name, hidden, hint, article, main = stack.pop()
+        nonlocal hidden, hint, article, main, box
+        name, hidden, hint, article, main, box = stack.pop()
         depth[name] -= 1
 
     at = look = 0
@@ -214,8 +220,11 @@ def parse(page: str) -> _Page:
             if block or named or name in NO_TEXT:
                 if named or apart or name in NO_TEXT:
                     flush()
-                stack.append((name, hidden, hint, article, main))
+                stack.append((name, hidden, hint, article, main, box))
                 depth[name] += 1
+                if name in BOXES:
+                    out.around.append(box)
+                    box = len(out.around) - 1
                 if name in NO_TEXT:
                     hidden = 1
                 if apart or named:
@@ -274,7 +283,38 @@ def _regions(page: _Page, apart: list[bool]) -> list[int]:
         most = max((v for k, v in prose.items() if k), default=-1)
         if 2 * most >= prose[0]:
             return [k if (k := getattr(b, kind)) and prose[k] >= SECOND_ARTICLE * most else 0 for b in page.blocks]
-    return [0] * len(page.blocks)
+    return _boxed(page, apart)
+
+
+def _boxed(page: _Page, apart: list[bool]) -> list[int]:
+    """1 for the blocks in the box that stands for an article where none is marked, else 0.
+
+    From the page on, the way goes down into a box while it has nearly all the
+    prose and its share of the blocks around it, and leaves no title outside.
+    """
+    n = len(page.around)
+    prose, count, titles = [0] * n, [0] * n, [0] * n
+    for b in page.blocks:
+        if not apart[b.hint] and not b.linked():
+            prose[b.box] += b.prose()
+            count[b.box] += 1
+            titles[b.box] += b.heading
+    inner: list[list[int]] = [[] for _ in range(n)]
+    for i in range(n - 1, 0, -1):
+        up = page.around[i]
+        inner[up].append(i)
+        prose[up] += prose[i]
+        count[up] += count[i]
+        titles[up] += titles[i]
+    at = 0
+    while prose[at] and (down := next((i for i in inner[at] if prose[i] >= BOX_PROSE * prose[at] and count[i] >= BOX_BLOCKS * count[at] and titles[i] == titles[at]), 0)):
+        at = down
+    if not at:
+        return [0] * len(page.blocks)
+    within = [i == at for i in range(n)]
+    for i in range(at + 1, n):  # a box comes after the one around it
+        within[i] = within[page.around[i]]
+    return [int(within[b.box]) for b in page.blocks]
 
 
 def judge(page: _Page) -> list[tuple[bool, str]]:
