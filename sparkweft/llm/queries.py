@@ -58,6 +58,15 @@ def op4_chat(spark, sf_dir):
     return chat.read_back(chat.format_conversations(turns.unionByName(extra)))
 
 
+# An escaped text is longer by one for each backslash, each # before ##, and each < that begins </turn> or <|.
+ORACLES["op4_chat"] = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (SELECT *, CASE role WHEN 'system' THEN 'System' WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant' ELSE 'role=' || role END AS name, length(t) + length(t) - length(replace(t, '\', ''))
+ + len(list_filter(range(1, length(t) + 1), lambda i: substring(t, i, 3) = '###')) + (length(t) - length(replace(t, '</turn>', ''))) // 7 + (length(t) - length(replace(t, '<|', ''))) // 2 AS n FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn, role, t)) AS turns_sha256, CAST(coalesce(sum(length(t)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+ sha256(coalesce(string_agg(t, '' ORDER BY turn, role, t) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(15 + length(name) + n) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id"""
+
+
 @query
 def op5_decontamination(spark, sf_dir):
     return decontam.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))

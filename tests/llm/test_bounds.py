@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators import DATA, TEXTS, docs_of, plain_line_dedup, plain_tiles
 
-from sparkweft.llm import ann, common, decontam, langid, linededup, queries, simhash, warc
+from sparkweft.llm import ann, chat, common, decontam, langid, linededup, queries, simhash, warc
 
 
 def test_language_sample_is_bounded(spark, monkeypatch):
@@ -153,3 +153,36 @@ def test_pipeline_against_plain(spark):
 def test_texts_with_odd_rows_pass(spark):
     model = langid.train(docs_of(spark, TEXTS).withColumn("lang", F.lit("en")))
     assert langid.predict(docs_of(spark, TEXTS), model, ["doc_id"]).count() == len(TEXTS)
+
+
+def test_chat_ties(spark):
+    """Two rows of one turn go by role, then text; the formatted text is as long as its turns say."""
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "assistant", "z"), (1, 0, "user", None), (1, 0, "user", "a")]
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
+    r = chat.format_conversations(df).first()
+    assert chat.read_turns(r.formatted) == [("assistant", "z"), ("user", ""), ("user", "a"), ("user", "a"), ("user", "b")]
+    assert chat.read_back(chat.format_conversations(df)).first().formatted_chars == len(r.formatted)
+
+
+def test_nearest_repeated_ids(spark):
+    """Rows that share an id are candidates each, but never for a query of that id."""
+    df = spark.createDataFrame([(20, [1.0, 0.0]), (20, [0.9, 0.0]), (1, [0.5, 0.0]), (1, [0.5, 0.0]), (2, [-1.0, 0.0])], "vec_id bigint, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in ann.search(df, F.expr("vec_id % 20 = 0"), k=20).collect())
+    assert {x[2] for x in got} == {1, 2} and [x[3] for x in got if x[2] == 1][:2] == [0.5, 0.5]
+
+
+def test_all_sql_of_the_subpackage(spark):
+    import os
+
+    import duckdb
+
+    c = duckdb.connect()
+    for f in os.listdir(DATA):
+        c.sql(f"CREATE VIEW {f[:-8]} AS SELECT * FROM '{DATA}/{f}'")
+    for name, sql in queries.ORACLES.items():
+        df = queries.QUERIES[name](spark, DATA)
+        want = c.sql(sql)
+        cols = sorted(df.columns)
+        assert cols == sorted(want.columns), name
+        at = [want.columns.index(x) for x in cols]
+        assert sorted(repr(tuple(r[x] for x in cols)) for r in df.collect()) == sorted(repr(tuple(r[i] for i in at)) for r in want.fetchall()), name
