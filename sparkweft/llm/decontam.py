@@ -17,7 +17,7 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkweft.llm import common
@@ -198,7 +198,7 @@ def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 
 
 def _items(benchmark: DataFrame, seed: int, id_col: str, text_col: str) -> DataFrame:
-    """k, item_id, text, words, width, seeds, times of each item with a word; k numbers the rows.
+    """k, item_id, text, words, width, seeds, places of each item with a word; k numbers the rows, ``places`` has the seed that begins at each word.
 
     Items of fewer than ``seed`` words have one seed, of all their words.
     """
@@ -207,13 +207,13 @@ def _items(benchmark: DataFrame, seed: int, id_col: str, text_col: str) -> DataF
         for batch in batches:
             texts = common.column_bytes(batch.column(2))
             size = [len(words(t)) for t in texts]
-            seeds = [np.unique(_seeds([t], min(seed, n))[0], return_counts=True) for t, n in zip(texts, size, strict=True)]
+            places = [_seeds([t], min(seed, n))[0] for t, n in zip(texts, size, strict=True)]
             width = pa.array([min(seed, n) for n in size], pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size, pa.int32()), width, _lists([h for h, _ in seeds], pa.int64()), _lists([n for _, n in seeds], pa.int64())], ["k", "item_id", "text", "words", "width", "seeds", "times"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size, pa.int32()), width, _lists([np.unique(h) for h in places], pa.int64()), _lists(places, pa.int64())], ["k", "item_id", "text", "words", "width", "seeds", "places"])
 
     kind = benchmark.schema[id_col].dataType.simpleString()
     rows = benchmark.select(F.monotonically_increasing_id().alias("k"), F.col(id_col).alias("item_id"), F.col(text_col).alias("text"))
-    out = rows.where("text IS NOT NULL").mapInArrow(run, f"k bigint, item_id {kind}, text string, words int, width int, seeds array<bigint>, times array<bigint>")
+    out = rows.where("text IS NOT NULL").mapInArrow(run, f"k bigint, item_id {kind}, text string, words int, width int, seeds array<bigint>, places array<bigint>")
     return common.staged(out.where("words > 0"), "items")
 
 
@@ -273,6 +273,30 @@ def _suspects(docs: DataFrame, items: DataFrame, id_col: str, text_col: str) ->
     return common.staged(found.withColumn("n", F.monotonically_increasing_id()), "suspects")
 
 
+def _over_words(of_places: Column) -> Column:
+    """For each word of an item, what ``of_places`` says of the places whose seed holds the word."""
+    low = lambda w: F.greatest(w - F.col("width") + 1, F.lit(1))
+    return F.transform(F.sequence(F.lit(1), F.col("words")), lambda w: F.slice(of_places, low(w), F.least(w, F.size(of_places)) - low(w) + 1))
+
+
+def _rarest(items: DataFrame, in_docs: DataFrame, coverage: float) -> DataFrame:
+    """(k, h): the seeds of each item that fewest documents have, as many as it takes that the words of the others are too few to be enough.
+
+    A document that has none of them can't cover the item, so a phrase that
+    many items and many documents hold brings no pair of them about, unless
+    the item has little else.
+    """
+    spread = in_docs.groupBy("h").agg(F.count("*").alias("docs"))
+    at = items.select("k", F.posexplode("places").alias("at", "h")).join(spread, "h", "left")
+    how = F.struct("at", F.coalesce("docs", F.lit(0)).alias("docs"), "h")
+    known = at.groupBy("k").agg(F.transform(F.sort_array(F.collect_list(how)), lambda x: F.struct(x["docs"], x["h"])).alias("of")).join(items.select("k", "words", "width"), "k")
+    # A word goes with the most frequent of its seeds; the bound is the seed up to which enough words have gone.
+    frequent = F.sort_array(F.transform(_over_words(F.col("of")), F.array_max), asc=False)
+    bound = F.element_at(frequent, F.greatest(F.ceil(F.lit(coverage) * F.col("words")).cast("int"), F.lit(1)))
+    chosen = known.select("k", F.explode(F.array_distinct(F.filter("of", lambda x: (x["docs"] > 0) & (x <= bound)))).alias("x"))
+    return common.staged(chosen.select("k", F.col("x.h").alias("h")), "rarest")
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, seed: int = SEED_WORDS, coverage: float = COVERAGE,
     id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
@@ -290,10 +314,13 @@ def contaminated(
     doc_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
     items = _items(benchmark, seed, item_id, item_text)
     suspects = _suspects(docs, items, id_col, text_col)
-    seeds = common.staged(items.select("k", F.explode(F.arrays_zip("seeds", "times")).alias("s")).select("k", F.col("s.seeds").alias("h"), F.col("s.times").alias("times")), "seeds")
-    shared = suspects.select("n", F.explode("seeds").alias("h")).join(seeds, "h").groupBy("n", "k").agg(F.sum("times").alias("shared"))
-    enough = F.col("shared") * F.col("width") >= F.lit(coverage) * F.col("words")  # a place covers at most a seed's words
-    pairs = common.staged(shared.join(items.select("k", "words", "width"), "k").where(enough).select("n", "k"), "pairs")
+    in_docs = suspects.select("n", F.explode("seeds").alias("h"))
+    met = in_docs.join(_rarest(items, in_docs, coverage), "h").select("n", "k").distinct()
+    both = common.staged(met, "met").join(suspects.select("n", F.col("seeds").alias("held")), "n").join(items.select("k", "places", "words", "width"), "k")
+    shared = both.withColumn("shared", F.transform("places", lambda h: F.array_contains("held", h)))
+    # Tiles lie where seeds are shared, so their words are a bound of what is covered.
+    most = F.size(F.filter(_over_words(F.col("shared")), lambda x: F.array_contains(x, True)))
+    pairs = common.staged(shared.where(most >= F.lit(coverage) * F.col("words")).select("n", "k"), "pairs")
     # A document meets its items in groups, so neither many items nor a long text make a row large.
     group = F.floor((F.row_number().over(Window.partitionBy("n").orderBy("k")) - 1) / GROUP_ITEMS).alias("g")
     groups = pairs.select("n", "k", group).join(items.select("k", "item_id", "text"), "k").groupBy("n", "g").agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
