@@ -216,7 +216,9 @@ def links(distinct: DataFrame, blocks: int, most: int, split: int = SPLIT) -> Da
     tasks = distinct.count() * comb(blocks, agree) // TASK_KEYS
     dealt = distinct.select("n", "fp").repartition(max(tasks + 1, distinct.sparkSession.sparkContext.defaultParallelism))
     keyed = dealt.mapInArrow(keys, "n bigint, keys array<bigint>").select("n", F.posexplode("keys").alias("choice", "key"))
-    met = keyed.withColumn("m", F.count("*").over(Window.partitionBy("choice", "key"))).where("m > 1")
+    # Counts are combined before the shuffle, and the join with them may be split: no bucket is one task's.
+    sizes = common.staged(keyed.groupBy("choice", "key").agg(F.count("*").alias("m")).where("m > 1"), "buckets")
+    met = keyed.join(sizes, ["choice", "key"])
     members = met.join(distinct.select("n", "fp"), "n").select("n", "fp", "choice", "key", "m")
     buckets = ["choice", "key", "part", "sub"]
     spread = members.mapInArrow(deal, "n bigint, fp binary, choice int, key bigint, part int, sub bigint").repartition(*buckets).sortWithinPartitions(*buckets, "n")
