@@ -49,8 +49,8 @@ def boundary(classes: dict[str, str], units: str) -> str:
     return "|".join(f"(?<={left})(?={'|'.join(right)})" for left, right in cuts if right)
 
 
-def _split(text: Column, block: Column, at: str, size: int) -> Column:
-    return F.split(F.substring(text, block * size + 1, F.lit(size + 1)), at, -1)
+def _block(text: Column, block: Column, size: int) -> Column:
+    return F.substring(text, block * size + 1, F.lit(size + 1))
 
 
 def _offset(text: Column, counts: Column, units: Column, at: str, size: int) -> Column:
@@ -59,8 +59,9 @@ def _offset(text: Column, counts: Column, units: Column, at: str, size: int) ->
     step = lambda acc, c: F.when(acc["found"] | (acc["left"] <= c), F.struct(acc["block"].alias("block"), acc["left"].alias("left"), F.lit(True).alias("found"))).otherwise(
         F.struct((acc["block"] + 1).alias("block"), (acc["left"] - c).alias("left"), F.lit(False).alias("found"))
     )
-    pieces = lambda to: F.slice(_split(text, to["block"], at, size), F.lit(1), to["left"].cast("int"))
-    length = lambda to: F.aggregate(pieces(to), to["block"] * size, lambda n, piece: n + F.char_length(piece))
+    # Split so many times, what is left is the last piece.
+    rest = lambda to: F.element_at(F.split(_block(text, to["block"], size), at, to["left"].cast("int") + 1), -1)
+    length = lambda to: to["block"] * size + F.char_length(_block(text, to["block"], size)) - F.char_length(rest(to))
     # Past the last boundary is the end of the text.
     return F.aggregate(counts, start, step, lambda to: F.when(to["found"], length(to)).otherwise(F.char_length(text)))
 
@@ -93,7 +94,7 @@ def fill_in_middle(
     cut = rest.withColumns({text_: F.coalesce(F.col(text_col), F.lit("")), hash_: digest})
     blocks = F.sequence(F.lit(0), F.greatest(F.ceil(F.char_length(text) / block).cast("int") - 1, F.lit(0)))
     # Splitting an empty text gives a piece, but it has no unit.
-    cut = cut.withColumn(counts_, F.transform(blocks, lambda i: F.size(_split(text, i, at, block)) - 1))
+    cut = cut.withColumn(counts_, F.transform(blocks, lambda i: F.size(F.split(_block(text, i, block), at, -1)) - 1))
     whole = F.aggregate(counts_, F.lit(1).cast("bigint"), lambda total, c: total + c)
     cut = cut.withColumn(n_, F.when(text == "", F.lit(0).cast("bigint")).otherwise(whole))
     plain = (text == "") | (number(3) % 100 >= percent)
