@@ -54,7 +54,7 @@ class Ranges:
 
 
 def running_sums(rows: DataFrame, by: list[str], order: list[Column | str], values: dict[str, Column], peers: bool = False) -> DataFrame:
-    """The rows with sums of ``values`` over each key's rows up to each row; with ``peers`` up to all rows of equal order."""
+    """The rows with sums of ``values`` over each key's rows up to each row; with ``peers`` up to all rows of equal order. Columns named like a value are replaced."""
     ranges = Ranges(rows, by, order)
     frame = ranges.within.rangeBetween if peers else ranges.within.rowsBetween
     upto = frame(Window.unboundedPreceding, Window.currentRow)
@@ -62,8 +62,9 @@ def running_sums(rows: DataFrame, by: list[str], order: list[Column | str], valu
     local = ranges.rows.withColumns(dict(zip(taken, values.values(), strict=True)))
     states = ranges.states(local, **{t: F.sum(t) for t in taken})
     summed = local.withColumns({n: F.sum(t).over(upto) for n, t in zip(values, taken, strict=True)}).drop(*taken)
-    told = ranges.carried(summed, states, **{f"{t}_": F.sum(t).over(ranges.before) for t in taken})
-    return told.select(*rows.columns, *((F.col(n) + F.coalesce(f"{t}_", F.lit(0))).alias(n) for n, t in zip(values, taken, strict=True)))
+    before = dict(zip(taken, free_names([*rows.columns, *values, *taken], *(f"b{i}" for i in range(len(taken)))), strict=True))
+    told = ranges.carried(summed, states, **{before[t]: F.sum(t).over(ranges.before) for t in taken})
+    return told.select(*(c for c in rows.columns if c not in values), *((F.col(n) + F.coalesce(before[t], F.lit(0))).alias(n) for n, t in zip(values, taken, strict=True)))
 
 
 def rolling_sums(rows: DataFrame, by: list[str], at: str, values: list[str], spans: dict[str, int]) -> DataFrame:

@@ -31,18 +31,20 @@ def break_flags(rows: DataFrame, doc: str, seq: str, kind: str, profile: Column
     Only headings (h1) and page breaks touch the state, and a document starts
     as just broken; text between does not clear it.
     """
-    wanted, mark, last = free_names(rows.columns, "wanted", "mark", "last")
+    rows = rows.drop("breaks")
+    wanted, mark, last, before = free_names(rows.columns, "wanted", "mark", "last", "before")
     ranges = Ranges(rows.withColumn(wanted, F.lit(True) if profile is None else F.coalesce(profile, F.lit(True))), [doc], [seq])
     marked = ranges.rows.withColumn(mark, F.when(F.col(kind).isin("h1", "page_break"), F.col(kind)))
     states = ranges.states(marked, **{last: F.max_by(mark, F.when(F.col(mark).isNotNull(), F.col(seq)))})
     local = marked.withColumn(last, F.last(mark, ignorenulls=True).over(ranges.within.rowsBetween(Window.unboundedPreceding, -1)))
-    told = ranges.carried(local, states, **{f"{last}_": F.last(last, ignorenulls=True).over(ranges.before)})
-    breaks = (F.col(kind) == "h1") & F.coalesce(F.coalesce(last, f"{last}_") == "h1", F.lit(False)) & F.col(wanted)
+    told = ranges.carried(local, states, **{before: F.last(last, ignorenulls=True).over(ranges.before)})
+    breaks = (F.col(kind) == "h1") & F.coalesce(F.coalesce(last, before) == "h1", F.lit(False)) & F.col(wanted)
     return told.select(*rows.columns, breaks.alias("breaks"))
 
 
 def restart_lists(rows: DataFrame, doc: str, seq: str, kind: str) -> DataFrame:
     """Each run of equal kinds is a list with the next id from 100 on; items restart at 1. Null is a kind like any other."""
+    rows = rows.drop("list_id", "item")
     run, item, ids, items = free_names(rows.columns, "run", "item", "ids", "items")
     ranges = Ranges(rows, [doc], [seq])
     w, key = ranges.within, F.struct(F.col(kind).alias("k"))
@@ -89,14 +91,14 @@ def operator_bodies(signs: DataFrame, doc: str, seq: str, sign: str) -> DataFram
     A body goes on to the next relation or the end of the row of signs. An
     operator inside takes its own body first, which ends at the same place.
     """
-    prior, following, end, stop, far = free_names(signs.columns, "prior", "following", "end", "stop", "far")
+    prior, following, end, stop, far, low, high, whole_end = free_names(signs.columns, "prior", "following", "end", "stop", "far", "low", "high", "whole_end")
     ranges = Ranges(signs, [doc], [seq])
     w = ranges.within
     states = ranges.states(ranges.rows, low=F.min(seq), high=F.max(seq))
     whole = Window.partitionBy(doc)
     local = ranges.rows.withColumns({prior: F.lag(seq).over(w), following: F.lead(seq).over(w), end: F.max(seq).over(Window.partitionBy(ranges.range, doc))})
-    local = ranges.carried(local, states, low_=F.lag("high").over(ranges.across), high_=F.lead("low").over(ranges.across), end_=F.max("high").over(whole))
-    local = local.withColumns({prior: F.coalesce(prior, "low_"), following: F.coalesce(following, "high_"), end: F.coalesce("end_", end)}).drop("low_", "high_", "end_")
+    local = ranges.carried(local, states, **{low: F.lag("high").over(ranges.across), high: F.lead("low").over(ranges.across), whole_end: F.max("high").over(whole)})
+    local = local.withColumns({prior: F.coalesce(prior, low), following: F.coalesce(following, high), end: F.coalesce(whole_end, end)}).drop(low, high, whole_end)
     relation = F.when(ends_body(F.col(sign)), F.struct(F.col(seq).alias("at"), F.col(prior).alias("last")))
     stops = ranges.states(local, stop=F.min(relation))
     told = local.withColumn(stop, F.min(relation).over(w.rowsBetween(1, Window.unboundedFollowing)))

@@ -154,6 +154,14 @@ def near_clones(spark, d):
 QUERIES["near_clones"] = near_clones
 
 
+@query("""SELECT p_partkey, round(w, 6) AS natural_cm, round(CASE WHEN p_partkey % 3 = 0 THEN least(CAST(p_size AS DOUBLE), 16.5) WHEN w > 16.5 THEN 16.5 END, 6) AS width_cm FROM (SELECT *, p_size * 40 / 96.0 * 2.54 AS w FROM part)""")
+def image_widths(spark, d):
+    """Images of 40 pixels a unit of size at 96 dpi, every third with a width that is asked for."""
+    natural = S.natural_width_cm(F.col("p_size") * 40, F.lit(96.0))
+    asked = F.when(F.col("p_partkey") % 3 == 0, F.col("p_size").cast("double"))
+    return table(spark, d, "part").select("p_partkey", F.round(natural, 6).alias("natural_cm"), F.round(S.clamp_width(asked, natural, F.lit(30.0), F.lit(15.0)), 6).alias("width_cm"))
+
+
 # --- sequences ----------------------------------------------------------------------
 
 @query("""SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS number,
