@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sparkweft.functions import scalars as S
 from sparkweft.operators import clones, jsontree, merge, normalform, report, rubric, sequence, sync, textops, tree
+from sparkweft.sources import jsondocs
 from sparkweft.sources import manifest as manifests
 from sparkweft.sources.jsondocs import object_text
 from sparkweft.sources.tables import table
@@ -364,6 +365,17 @@ def json_merge(spark, d):
     return m.select("event_id", F.get_json_object("m", "$.k").alias("k"), F.get_json_object("m", "$.o.p").alias("nested"), lists("$.o.tags", "array<string>").alias("tags"), lists("$.plain", "array<int>").alias("plain"))
 
 
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '{"k":' || (props->'$.k') || ',"n":{"a":1}}' WHEN event_id % 3 = 1 THEN '{"k":' || (props->'$.k') || '}' END AS doc,
+ CASE event_id % 3 WHEN 0 THEN 'merged' WHEN 1 THEN 'current' ELSE 'rejected' END AS outcome FROM events""")
+def json_literal(spark, d):
+    """Every document with an overlay that is given as a text: an object, a blank one, and a list, which is rejected."""
+    given = {i: jsondocs.literal(spark, text).select(F.lit(i).alias("n"), F.coalesce("doc", F.lit("[]")).alias("doc")) for i, text in enumerate(('{"n": {"a": 1}}', " ", "[1]"))}
+    overlays = reduce(DataFrame.unionByName, given.values())  # three rows
+    e = table(spark, d, "events").select("event_id", "props", (F.col("event_id") % 3).alias("n"))
+    both = e.join(F.broadcast(overlays), "n").select("event_id", "props", "doc")
+    return jsontree.merge_documents(both.select("event_id", F.col("props").alias("doc")), both.select("event_id", "doc"), "event_id", "doc")
+
+
 @query("""WITH e AS (SELECT event_id, event_id % 4 AS n, '"a":{"x":' || user_id || ',"y":{"z":"' || event_type || '"}}' AS a, '"a":{"x":' || user_id || ',"y":3}' AS cut FROM events)
  SELECT event_id, CASE WHEN n = 3 THEN 'current' ELSE 'merged' END AS outcome, '{' || CASE n WHEN 0 THEN cut || ',"b":5,"dot.key":[1,{"q":2}],"e":{}' WHEN 1 THEN a || ',"b":{"c":{}},"dot.key":[1,{"q":2}],"e":{"n":null}'
  WHEN 2 THEN a || ',"b":5,"dot":{"key":2},"dot.key":[1,{"q":2}],"e":{}' ELSE a || ',"b":5,"dot.key":[1,{"q":2}],"e":{}' END || '}' AS doc FROM e""")
