@@ -27,6 +27,8 @@ EXACT_BITS = 12
 CHUNK_ROWS = 1024
 #: What a source may miss of its target before its copies are rounded.
 RELATIVE, WORDS = 1e-6, 0.01
+#: Sources of a file of the tables that have a row a source.
+FILE_SOURCES = 100_000
 #: Newton steps at most; every fourth halves the bracket, so far fewer suffice.
 MOST_STEPS = 400
 EXACT = "decimal(38,6)"
@@ -83,7 +85,8 @@ def balanced(sources: DataFrame, classes: DataFrame, most: float) -> DataFrame:
     """
     fixed = F.when(F.col("target") >= F.col("cap"), float(most)).when(F.col("target") <= 0, 0.0)
     none = F.lit(None).cast("double")
-    state = common.staged(sources.withColumns({"fixed": fixed, "lam": F.lit(0.0), "low": none, "high": none, "done": fixed.isNotNull()}), "duals")
+    files = sources.count() // FILE_SOURCES + 1
+    state = common.staged(sources.coalesce(files).withColumns({"fixed": fixed, "lam": F.lit(0.0), "low": none, "high": none, "done": fixed.isNotNull()}), "duals")
     for step in range(MOST_STEPS):
         if not state.where("NOT done").count():
             return state.drop("low", "high", "done")
@@ -101,7 +104,7 @@ def balanced(sources: DataFrame, classes: DataFrame, most: float) -> DataFrame:
         met = F.coalesce(F.abs(gap) <= RELATIVE * F.col("target") + WORDS, F.lit(False))
         told = state.join(sums, "no", "left").withColumns({"low_": low, "high_": high}).withColumns({"met": F.col("done") | met, "moved": moved})
         kept = [c for c in state.columns if c not in ("lam", "low", "high", "done")]
-        state = common.staged(told.select(*kept, F.when(F.col("met"), lam).otherwise(F.col("moved")).alias("lam"), F.col("low_").alias("low"), F.col("high_").alias("high"), F.col("met").alias("done")), "duals")
+        state = common.staged(told.select(*kept, F.when(F.col("met"), lam).otherwise(F.col("moved")).alias("lam"), F.col("low_").alias("low"), F.col("high_").alias("high"), F.col("met").alias("done")).coalesce(files), "duals")
     raise ArithmeticError(f"the dual was not solved in {MOST_STEPS} steps")
 
 
