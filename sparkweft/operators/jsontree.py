@@ -1,10 +1,11 @@
 """Deep merge of JSON documents as relations: a row for each place in a document.
 
-Documents are flattened to (key, path, depth, name, kind, value), the two
-sides joined by path, what lies under an overwritten object is dropped, and
-the rows in order of their paths are written as a document again. In that
-order all that is in an object follows it at once, so each of these steps
-looks at neighbouring rows only, at any depth.
+The texts that meet under a key are numbered, each pair once however many
+keys it has. A pair is flattened to (pair, path, depth, name, kind, value) of
+both sides, what lies under an overwritten object is dropped, and the rows in
+order of their paths are written as a document again. In that order all that
+is in an object follows it at once, so each of these steps looks at
+neighbouring rows only, at any depth.
 """
 
 import json
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkweft.operators.merge import ordered_union_json
+from sparkweft.sources.staging import written
 
 #: The tokens of JSON.
 TOKEN = re.compile(r'[ \t\n\r]*(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?|true|false|null)(?![\w.+-]))')
@@ -50,7 +52,8 @@ def places(text: str | None) -> Iterator[tuple[str, int, str | None, str, str |
         sign, string, scalar = token.groups()
         done = False
         if wanted in ("key", "key or }") and string:
-            told, wanted = json.dumps(json.loads(string))[1:-1], ":"
+            plain = string.isascii() and string.isprintable() and "\\" not in string
+            told, wanted = string[1:-1] if plain else json.dumps(json.loads(string))[1:-1], ":"
             if told in open_[-1][1]:
                 raise ValueError(f"an object repeats a name at {at}")
             open_[-1][1].add(told)
@@ -90,38 +93,41 @@ def places(text: str | None) -> Iterator[tuple[str, int, str | None, str, str |
             wanted = ", or end" if open_ else "end"
 
 
-def flatten(docs: DataFrame, key: str, doc: str) -> DataFrame:
-    """(key, path, depth, name, kind, value) of every place in every document; a rejected document is one row of that kind."""
-    kind = docs.schema[key].dataType.simpleString()
+def merged_places(base: str, overlay: str) -> list[tuple]:
+    """path, depth_b, name, b, value_b, depth_o, o, value_o of what is in either object, in order of path; one row of the kind rejected if a text is none."""
+    try:
+        b, o = ({path: (depth, name, kind, value) for path, depth, name, kind, value in places(text)} for text in (base, overlay))
+    except ValueError:
+        return [("", 0, None, "rejected", None, None, None, None)]
+    none = (None, None, None, None)
+    rows = []
+    for path in sorted(b.keys() | o.keys()):
+        x, y = b.get(path, none), o.get(path, none)
+        rows.append((path, x[0], x[1] or y[1], x[2], x[3], y[0], y[2], y[3]))
+    return rows
+
+
+def flatten(pairs: DataFrame) -> DataFrame:
+    """(pair, path, ...) of every place in the two documents ``base`` and ``overlay`` of each row, joined by path."""
+    names = ["pair", "path", "depth_b", "name", "b", "value_b", "depth_o", "o", "value_o"]
+    kinds = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()]
+    schema = pa.schema(list(zip(names, kinds, strict=True)))
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("at", pa.int64()), ("path", pa.string()), ("depth", pa.int32()), ("name", pa.string()), ("kind", pa.string()), ("value", pa.string())])
         for batch in batches:
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                try:
-                    rows = list(places(text))
-                except ValueError:
-                    rows = [("", 0, None, "rejected", None)]
-                for low in range(0, len(rows), 4096):
-                    some = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*((i, *r) for r in rows[low : low + 4096]), strict=True), schema, strict=True)], schema=schema)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(some.column(0)), *some.columns[1:]], [key, *schema.names[1:]])
-
-    return docs.select(key, doc).mapInArrow(run, f"`{key}` {kind}, {NODE}")
-
-
-def documents(nodes: DataFrame, key: str) -> DataFrame:
-    """(key, doc): the documents that have these places; names come in the order of their escaped forms."""
-    w = Window.partitionBy(key).orderBy("path")
-    around = nodes.withColumns({"before": F.lag("depth").over(w), "after": F.lead("depth").over(w), "place": F.row_number().over(w)})
-    after = F.coalesce("after", F.lit(0))
-    comma = F.when(F.col("before") >= F.col("depth"), ",").otherwise("")
-    name = F.when(F.col("name").isNotNull(), F.concat("name", F.lit(":"))).otherwise("")
-    opened = (F.col("kind") == "object") & (after > F.col("depth"))
-    body = F.when(opened, "{").when(F.col("kind") == "object", "{}").otherwise(F.col("value"))
-    ends = F.when(opened, 0).otherwise(F.col("depth") - after)
-    piece = F.concat(comma, name, body, F.repeat(F.lit("}"), ends))
-    pieces = around.select(key, F.struct("place", piece.alias("piece")).alias("p")).groupBy(key).agg(F.sort_array(F.collect_list("p")).alias("p"))
-    return pieces.select(key, F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("doc"))
+            rows: list[tuple] = []
+            for i, base, overlay in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows += ((i, *r) for r in merged_places(base, overlay))
+                for _ in range(len(rows) // 4096):
+                    yield made(rows[:4096])
+                    del rows[:4096]
+            if rows:
+                yield made(rows)
+
+    return pairs.select("pair", "base", "overlay").mapInArrow(run, "pair bigint, path string, depth_b int, name string, b string, value_b string, depth_o int, o string, value_o string")
 
 
 def merge_documents(base: DataFrame, overlay: DataFrame, key: str, doc: str, union=(), equality: str = "host") -> DataFrame:
@@ -134,27 +140,46 @@ def merge_documents(base: DataFrame, overlay: DataFrame, key: str, doc: str, uni
     if a text is no JSON object or an object in it repeats a name. Scalars
     and lists are taken over as they are written. Names come in the order of
     their escaped forms. One task holds a document's places, as it holds a text.
+    Texts that meet under many keys are merged once.
     """
-    b = flatten(base, key, doc).select(key, "path", F.col("depth").alias("depth_b"), F.col("name").alias("name_b"), F.col("kind").alias("b"), F.col("value").alias("value_b"))
-    o = flatten(overlay, key, doc).select(key, "path", F.col("depth").alias("depth_o"), F.col("name").alias("name_o"), F.col("kind").alias("o"), F.col("value").alias("value_o"))
-    both = b.join(o, [key, "path"], "full_outer")
+    text = lambda side: F.coalesce(side[doc], F.lit(""))
+    b, o = base.select(key, text(base).alias("base")), overlay.select(key, text(overlay).alias("overlay"))
+    both = b.join(o, key, "full_outer").select(key, F.coalesce("base", F.lit("")).alias("base"), F.coalesce("overlay", F.lit("")).alias("overlay"))
+    # Written, so that the number of a pair stays the same wherever its rows are made again.
+    pairs = written(both.select("base", "overlay").distinct().withColumn("pair", F.monotonically_increasing_id()), "pairs")
+    n = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a small file of pairs is much work
+    made = merge_pairs(pairs.repartition(n, "pair"), union, equality).join(pairs, "pair").select("base", "overlay", "doc", "outcome")
+    return both.join(made, ["base", "overlay"]).select(key, F.col("doc").alias(doc), "outcome")
+
+
+def merge_pairs(pairs: DataFrame, union=(), equality: str = "host") -> DataFrame:
+    """(pair, doc, outcome) for rows of (pair, base, overlay); all steps keep a pair's places together, which are shuffled once."""
+    by = Window.partitionBy("pair")
     united = F.col("path").isin(*map(path_of, union)) & (F.col("b") == "list") & (F.col("o") == "list") if union else F.lit(False)
     kind, value = F.coalesce("o", "b"), F.when(F.col("o").isNull(), F.col("value_b")).otherwise(F.col("value_o"))
     changed = F.col("o").isNotNull() & ~(F.col("b").eqNullSafe(F.col("o")) & F.col("value_b").eqNullSafe(F.col("value_o")))
-    merged = both.select(
-        key, "path", F.coalesce("depth_o", "depth_b").alias("depth"), F.coalesce("name_o", "name_b").alias("name"), kind.alias("kind"), value.alias("value"), united.alias("united"), "value_b", changed.alias("changed"),
-        (F.col("o") == "rejected").alias("no_o"), (F.col("b") == "rejected").alias("no_b"), F.when((F.col("b") == "object") & (F.col("o") != "object"), F.col("path")).alias("over"),
+    merged = flatten(pairs).select(
+        "pair", "path", F.coalesce("depth_o", "depth_b").alias("depth"), "name", kind.alias("kind"), value.alias("value"), united.alias("united"), "value_b", changed.alias("changed"),
+        F.when((F.col("b") == "object") & (F.col("o") != "object"), F.col("path")).alias("over"),
     )
-    # No overwritten object lies in another, so only the last one before a place can hold it.
-    over = F.last("over", ignorenulls=True).over(Window.partitionBy(key).orderBy("path").rowsBetween(Window.unboundedPreceding, -1))
-    merged = merged.withColumn("in_over", F.coalesce(F.startswith("path", F.concat(over, F.lit(STEP))), F.lit(False)))
     if union:
         lists = merged.withColumn("value", F.when(F.col("united"), _united(F.col("value"), F.col("value_b"), equality)).otherwise(F.col("value")))
         merged = lists.withColumn("changed", F.when(F.col("united"), F.col("value") != F.regexp_replace("value_b", r"\s*\n\s*", "")).otherwise(F.col("changed")))
-    told = merged.groupBy(key).agg(F.max(F.coalesce("no_o", F.lit(False)) | F.coalesce("no_b", F.lit(False))).alias("rejected"), F.max(F.coalesce("changed", F.lit(False)) & (F.col("path") != "")).alias("changed"))
-    made = documents(merged.where("NOT in_over").select(key, "path", "depth", "name", "kind", "value"), key)
-    outcome = F.when(F.col("rejected"), "rejected").when(F.col("changed"), "merged").otherwise("current")
-    return told.join(made, key).select(key, F.when(~F.col("rejected"), F.col("doc")).alias("doc"), outcome.alias("outcome"))
+    in_order = by.orderBy("path")
+    # No overwritten object lies in another, so only the last one before a place can hold it.
+    over = F.last("over", ignorenulls=True).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    told = merged.withColumns({"last_over": over, "any": F.max(F.coalesce("changed", F.lit(False)) & (F.col("path") != "")).over(by)})
+    kept = told.where(~F.coalesce(F.startswith("path", F.concat("last_over", F.lit(STEP))), F.lit(False)))
+    around = kept.withColumns({"before": F.lag("depth").over(in_order), "after": F.coalesce(F.lead("depth").over(in_order), F.lit(0)), "place": F.row_number().over(in_order)})
+    comma = F.when(F.col("before") >= F.col("depth"), ",").otherwise("")
+    name = F.when(F.col("name").isNotNull(), F.concat("name", F.lit(":"))).otherwise("")
+    opened = (F.col("kind") == "object") & (F.col("after") > F.col("depth"))
+    body = F.when(opened, "{").when(F.col("kind") == "object", "{}").otherwise(F.col("value"))
+    ends = F.when(opened, 0).otherwise(F.col("depth") - F.col("after"))
+    piece = F.concat(comma, name, body, F.repeat(F.lit("}"), ends))
+    pieces = around.groupBy("pair").agg(F.sort_array(F.collect_list(F.struct("place", piece.alias("piece")))).alias("p"), F.max("any").alias("any"), F.max(F.col("kind") == "rejected").alias("rejected"))
+    outcome = F.when(F.col("rejected"), "rejected").when(F.col("any"), "merged").otherwise("current")
+    return pieces.select("pair", F.when(~F.col("rejected"), F.array_join(F.transform("p", lambda x: x["piece"]), "")).alias("doc"), outcome.alias("outcome"))
 
 
 def _united(overlay: Column, base: Column, equality: str) -> Column:

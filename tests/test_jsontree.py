@@ -66,6 +66,22 @@ def test_one_side_only(spark):
     assert jsontree.merge_documents(b.limit(0), o.limit(0), "k", "doc").count() == 0
 
 
+def test_texts_are_read_once_for_a_pair(spark):
+    """Keys with the same two texts share a merge, no text is read in two branches of the plan, and every key has its row."""
+    b = spark.range(900).select("id", F.when(F.col("id") % 3 == 0, '{"a":{"x":1}}').when(F.col("id") % 3 == 1, " ").alias("doc"))
+    o = spark.range(300, 1200).select("id", F.when(F.col("id") % 2 == 0, '{"a":2}').otherwise("[").alias("doc"))
+    out = jsontree.merge_documents(b, o, "id", "doc")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    (read,) = [f for f in out.inputFiles() if "/pairs-" in f][:1]
+    assert spark.read.parquet(read.rsplit("/", 1)[0]).count() == 9  # "", " " and the object with "", {"a":2} and "["
+    got = {r.id: (r.doc, r.outcome) for r in out.collect()}
+    assert len(got) == 1200
+    for i in range(1200):
+        has, over = i < 900 and i % 3 == 0, i >= 300
+        want = (None, "rejected") if over and i % 2 else ('{"a":2}', "merged") if over else ('{"a":{"x":1}}', "current") if has else ("{}", "current")
+        assert got[i] == want
+
+
 def test_what_cannot_be_written_is_rejected(spark):
     for text in ('{"a":NaN}', '{"a":1e400}', '{"a":-Infinity}'):
         assert spark.range(1).select(merge.merge_outcome(F.lit(text), F.lit("{}")).alias("m")).first().m.outcome == "rejected"
