@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkweft.operators.merge import ordered_union_json
-from sparkweft.sources.staging import written
+from sparkweft.sources.staging import free_names, written
 
 #: The tokens of JSON.
 TOKEN = re.compile(r'[ \t\n\r]*(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?|true|false|null)(?![\w.+-]))')
@@ -145,11 +145,28 @@ def merge_documents(base: DataFrame, overlay: DataFrame, key: str, doc: str, uni
     text = lambda side: F.coalesce(side[doc], F.lit(""))
     b, o = base.select(key, text(base).alias("base")), overlay.select(key, text(overlay).alias("overlay"))
     both = b.join(o, key, "full_outer").select(key, F.coalesce("base", F.lit("")).alias("base"), F.coalesce("overlay", F.lit("")).alias("overlay"))
+    return both.join(_merged(both, union, equality), ["base", "overlay"]).select(key, F.col("doc").alias(doc), "outcome")
+
+
+def merge_texts(rows: DataFrame, base: Column, overlay: Column, keep: list[str], union=(), equality: str = "host") -> DataFrame:
+    """The kept columns with doc and outcome, as above, for each row of a table that has both texts.
+
+    No row is shuffled to meet its texts, and none needs a key. The merged
+    pairs are a written table, whose size is known: where they are few they
+    go to the rows, else both are joined by their texts.
+    """
+    base_, overlay_ = free_names([*keep, "doc", "outcome"], "base", "overlay")
+    held = rows.select(*keep, F.coalesce(base, F.lit("")).alias(base_), F.coalesce(overlay, F.lit("")).alias(overlay_))
+    made = written(_merged(held.select(F.col(base_).alias("base"), F.col(overlay_).alias("overlay")), union, equality), "merged")
+    return held.join(made.toDF(base_, overlay_, "doc", "outcome"), [base_, overlay_], "left").select(*keep, "doc", "outcome")
+
+
+def _merged(both: DataFrame, union, equality: str) -> DataFrame:
+    """(base, overlay, doc, outcome) of every pair of texts, once."""
     # Written, so that the number of a pair stays the same wherever its rows are made again.
     pairs = written(both.select("base", "overlay").distinct().withColumn("pair", F.monotonically_increasing_id()), "pairs")
-    n = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a small file of pairs is much work
-    made = merge_pairs(pairs.repartition(n, "pair"), union, equality).join(pairs, "pair").select("base", "overlay", "doc", "outcome")
-    return both.join(made, ["base", "overlay"]).select(key, F.col("doc").alias(doc), "outcome")
+    n = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a small file of pairs is much work
+    return merge_pairs(pairs.repartition(n, "pair"), union, equality).join(pairs, "pair").select("base", "overlay", "doc", "outcome")
 
 
 def merge_pairs(pairs: DataFrame, union=(), equality: str = "host") -> DataFrame:

@@ -371,9 +371,9 @@ def json_literal(spark, d):
     """Every document with an overlay that is given as a text: an object, a blank one, and a list, which is rejected."""
     given = {i: jsondocs.literal(spark, text).select(F.lit(i).alias("n"), F.coalesce("doc", F.lit("[]")).alias("doc")) for i, text in enumerate(('{"n": {"a": 1}}', " ", "[1]"))}
     overlays = reduce(DataFrame.unionByName, given.values())  # three rows
-    e = table(spark, d, "events").select("event_id", "props", (F.col("event_id") % 3).alias("n"))
-    both = e.join(F.broadcast(overlays), "n").select("event_id", "props", "doc")
-    return jsontree.merge_documents(both.select("event_id", F.col("props").alias("doc")), both.select("event_id", "doc"), "event_id", "doc")
+    n = F.when(F.col("event_id") % 3 == 0, 0).when(F.col("event_id") % 3 == 1, 1).otherwise(2)
+    both = table(spark, d, "events").select("event_id", "props", n.alias("n")).join(F.broadcast(overlays), "n")
+    return jsontree.merge_texts(both, F.col("props"), F.col("doc"), ["event_id"])
 
 
 @query("""WITH e AS (SELECT event_id, event_id % 4 AS n, '"a":{"x":' || user_id || ',"y":{"z":"' || event_type || '"}}' AS a, '"a":{"x":' || user_id || ',"y":3}' AS cut FROM events)

@@ -85,3 +85,40 @@ def test_texts_are_read_once_for_a_pair(spark):
 def test_what_cannot_be_written_is_rejected(spark):
     for text in ('{"a":NaN}', '{"a":1e400}', '{"a":-Infinity}'):
         assert spark.range(1).select(merge.merge_outcome(F.lit(text), F.lit("{}")).alias("m")).first().m.outcome == "rejected"
+
+
+def test_rows_with_both_texts(spark):
+    """Every row has its merge, with repeated and missing keys, and no shuffle of the rows; columns may be named like the operator's own."""
+    rows = spark.range(0, 3000, 1, 4).select(F.when(F.col("id") % 10 > 0, F.col("id") % 7).alias("base"), F.when(F.col("id") % 2 == 0, '{"a":{"x":1}}').alias("b"), F.when(F.col("id") % 3 == 0, '{"a":2}').when(F.col("id") % 3 == 1, "[").alias("pair"), "id")
+    out = jsontree.merge_texts(rows, F.col("b"), F.col("pair"), ["base", "id"])
+    assert "Exchange hash" not in out._jdf.queryExecution().toString() and out.columns == ["base", "id", "doc", "outcome"]
+    got = {r.id: r for r in out.collect()}
+    assert len(got) == out.count() == 3000
+    for i, r in got.items():
+        want = (None, "rejected") if i % 3 == 1 else ('{"a":2}', "merged") if i % 3 == 0 else ('{"a":{"x":1}}', "current") if i % 2 == 0 else ("{}", "current")
+        assert (r.base, r.doc, r.outcome) == (i % 7 if i % 10 else None, *want)
+
+
+def test_many_pairs_are_joined_by_their_texts(spark):
+    """The same without a broadcast, and with a pair that nearly all rows have."""
+    rows = spark.range(2000).select("id", F.concat(F.lit('{"k":'), F.greatest("id", F.lit(1900)).cast("string"), F.lit("}")).alias("b"))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.id: (r.doc, r.outcome) for r in jsontree.merge_texts(rows, F.col("b"), F.lit('{"n":[]}'), ["id"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert got == {i: (f'{{"k":{max(i, 1900)},"n":[]}}', "merged") for i in range(2000)}
+
+
+def test_literal_with_repeated_ids(spark, tmp_path):
+    """The query keeps rows with equal, negative and missing ids, as its SQL does."""
+    import duckdb
+
+    from sparkweft.plans import reference
+
+    ids = [*range(9), *range(6), -1, -2, -3, None]
+    spark.createDataFrame([(i, f'{{"k": {k}}}') for k, i in enumerate(ids)], "event_id bigint, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    want = duckdb.sql(reference.ORACLES["json_literal"].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'")).fetchall()
+    got = [tuple(r) for r in reference.QUERIES["json_literal"](spark, str(tmp_path)).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(got) == len(ids)
