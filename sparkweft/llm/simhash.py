@@ -286,7 +286,7 @@ def _sets(docs: DataFrame, prefix: bool) -> DataFrame:
 
 def _one_of_each(rows: DataFrame) -> DataFrame:
     """The row of smallest number of each set. A map of fixed size tells most rows at once that they are alone, so only the others travel."""
-    first = common.staged(rows.groupBy("fp").agg(F.min("row").alias("row"), F.count("*").alias("n_rows")), "firsts")
+    first = common.settled(rows.groupBy("fp").agg(F.min("row").alias("row"), F.count("*").alias("n_rows")), "firsts")
     told = common.maybe_in(rows, "fp", first.where("n_rows > 1"), "fp", "again")
     return told.where(~F.col("again")).unionByName(told.where("again").join(first.select("row"), "row", "left_semi").select(told.columns)).drop("again")
 
@@ -461,12 +461,12 @@ def set_links(held: DataFrame, distinct: DataFrame, docs: DataFrame) -> DataFram
     told by size and parity map, which the sets' difference bounds, and then
     by the sets themselves.
     """
-    left = common.staged(_may_have_partner(held, distinct).select("fp", "first"), "left")
+    left = common.settled(_may_have_partner(held, distinct).select("fp", "first"), "left")
     # Their texts are found by a map of ids, of fixed size, without a shuffle; their sets by one of hashes.
     some = common.maybe_in(docs, "doc_id", left, "first", "may").where("may")
     sets = common.maybe_in(_sets(some, prefix=False), "fp", left, "fp", "may").where("may").drop("may")
-    sets = _one_of_each(common.staged(sets, "sets"))
-    keyed = common.staged(_keyed(sets), "keyed")  # here n is the set's row number
+    sets = _one_of_each(common.settled(sets, "sets"))
+    keyed = common.settled(_keyed(sets), "keyed")  # here n is the set's row number
     maps = [f"m{i}" for i in range(MAPS)]
     facts = keyed.select("n", "size", *[F.col("maps")[i].alias(m) for i, m in enumerate(maps)])
     tokens = sets.select(F.col("row").alias("n"), "tokens")
@@ -483,18 +483,18 @@ def set_links(held: DataFrame, distinct: DataFrame, docs: DataFrame) -> DataFram
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The written pairs (a, b) that are at the similarity."""
-        close = common.staged(told(told(pairs, "a"), "b").where(near("a", "b")).select("a", "b").distinct(), "close")
+        close = common.settled(told(told(pairs, "a"), "b").where(near("a", "b")).select("a", "b").distinct(), "close")
         if close.isEmpty():
             return close
         # Only the sets of these pairs travel.
         x, y = (common.maybe_in(tokens, "n", close, c, "may").where("may").select(F.col("n").alias(c), F.col("tokens").alias(v)) for c, v in (("a", "x"), ("b", "y")))
         both = close.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-        return common.staged(both.mapInArrow(_alike, "a bigint, b bigint").distinct(), "links")
+        return common.settled(both.mapInArrow(_alike, "a bigint, b bigint").distinct(), "links")
 
     ends = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    by_print = common.staged(keyed.groupBy(F.col("mark").alias("fp")).agg(F.min("n").alias("n")), "marks")
+    by_print = common.settled(keyed.groupBy(F.col("mark").alias("fp")).agg(F.min("n").alias("n")), "marks")
     equal = keyed.select("n", F.col("mark").alias("fp")).join(by_print.withColumnRenamed("n", "m"), "fp").where("n <> m").select(*ends("n", "m"))
-    tried = common.staged(equal.unionByName(links(by_print, 4, 2).select(*ends("a", "b"))).distinct(), "pairs")
+    tried = common.settled(equal.unionByName(links(by_print, 4, 2).select(*ends("a", "b"))).distinct(), "pairs")
     found = confirmed(tried)
 
     def rooted(rows: DataFrame, n: str, c: str) -> DataFrame:
@@ -509,22 +509,22 @@ def set_links(held: DataFrame, distinct: DataFrame, docs: DataFrame) -> DataFram
     while True:
         # Only buckets that hold unconnected members go on.
         if more:
-            roots = common.staged(common.connected_components(found), "roots")
+            roots = common.settled(common.connected_components(found), "roots")
         placed = rooted(members, "n", "c")
         open_keys = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("m")).where("x <> y").select("key", (F.col("m") <= SMALL).alias("small"))
-        placed = common.staged(placed.join(open_keys, "key"), "open")
+        placed = common.settled(placed.join(open_keys, "key"), "open")
         if placed.isEmpty():
             break
         part = F.when(F.col("small") & F.lit(some > 1), F.col("n")).otherwise(F.pmod(F.xxhash64("n", F.lit(some)), F.lit(some)))
         heads = placed.groupBy("key", part.alias("part")).agg(F.min("o").alias("o")).select("key", F.col("o").bitwiseAND(F.lit((1 << 58) - 1)).alias("r_n"))
-        heads = common.staged(rooted(heads, "r_n", "r_c"), "heads")
+        heads = common.settled(rooted(heads, "r_n", "r_c"), "heads")
         met = F.col("p.c") != F.col("h.r_c")
         if some > 1:  # several heads a bucket: only pairs that may be alike leave the join
             placed_, heads_, met = told(placed, "n"), told(heads, "r_n"), met & near("n", "r_n")
         else:
             placed_, heads_ = placed, heads
         pairs = placed_.alias("p").join(heads_.alias("h"), (F.col("p.key") == F.col("h.key")) & met).select(*ends("n", "r_n")).distinct()
-        pairs = common.staged(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        pairs = common.settled(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         new = confirmed(pairs)
         more = not new.isEmpty()
         found, tried = found.unionByName(new), tried.unionByName(pairs)
@@ -540,15 +540,15 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Sets are of 64-bit hashes and are told by one; equal sets are one node.
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("t"))
-    held = common.staged(_sets(docs, prefix=True), "prefixes")
+    held = common.settled(_sets(docs, prefix=True), "prefixes")
     given = F.first("size") - F.floor(F.first("size") * 7 / 10) - F.first(F.size("tokens"))
     distinct = held.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"), F.min("row").alias("row"), F.first("size").alias("size"), given.alias("lost"))
-    distinct = common.staged(distinct.withColumn("n", F.col("fp")), "distinct")
+    distinct = common.settled(distinct.withColumn("n", F.col("fp")), "distinct")
     return linked(held, distinct, set_links(held, distinct, docs))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without those that are linked to a smaller doc_id. Rows that share an id stay or go together, rows without id stay."""
     found = near_components(docs, id_col, text_col)
-    losers = common.staged(found.where("component_id < doc_id").select(F.col("doc_id").alias(id_col)).distinct(), "copies")
+    losers = common.settled(found.where("component_id < doc_id").select(F.col("doc_id").alias(id_col)).distinct(), "copies")
     return docs.join(losers, id_col, "left_anti")

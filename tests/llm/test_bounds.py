@@ -186,3 +186,12 @@ def test_all_sql_of_the_subpackage(spark):
         assert cols == sorted(want.columns), name
         at = [want.columns.index(x) for x in cols]
         assert sorted(repr(tuple(r[x] for x in cols)) for r in df.collect()) == sorted(repr(tuple(r[i] for i in at)) for r in want.fetchall()), name
+
+
+def test_near_dedup_lets_go_of_its_steps(spark):
+    """The driver collects the handles of shuffles and broadcasts while steps are written, not only when its heap is full."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    whole = lambda: sum(b.getCollectionCount() for b in beans if re.search("Old|MarkSweep", b.getName()))
+    before = whole()
+    got = simhash.near_components(docs_of(spark, [(i, f"a b c d e f {i // 2}") for i in range(6)])).collect()
+    assert whole() - before >= 10 and {r.doc_id: r.component_id for r in got} == {i: i // 2 * 2 for i in range(6)}
