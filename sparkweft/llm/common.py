@@ -46,16 +46,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """The same, after which Spark lets go of the shuffles and broadcasts that made it, for jobs of many steps.
+def let_go(spark: SparkSession) -> None:
+    """Spark lets go of shuffles and broadcasts that nothing refers to, and the driver's heap of what it no longer needs.
 
     Spark removes them when the driver's JVM collects their handles. A heap
     with room left puts that off, so over many steps the driver's heap grows
     to its limit, and they pile up on the executors and on disk.
     """
-    out = staged(df, name)
     gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """A staged table, after which Spark lets go of what made it, for jobs of many steps."""
+    out = staged(df, name)
+    let_go(df.sparkSession)
     return out
 
 
@@ -184,34 +189,35 @@ def connected_components(edges: DataFrame, node_type: str = "bigint", few: int =
     included, and the edges are relabelled by it. The priority is a hash of
     the node, so chains that are sorted by node do not unroll one by one; the
     edges shrink by a constant factor a round. The maps of the rounds are then
-    composed, last first. Every round is a written table. As soon as ``few``
-    edges or less are left one task ends the work.
+    composed, last first. Every round is a written table, after which Spark
+    lets go of its shuffles. As soon as ``few`` edges or less are left one
+    task ends the work.
 
     Nodes with many edges cost no single task: the minimum is combined before
     the shuffle and relabelling is a plain join that Spark may split.
     """
     spark = edges.sparkSession
     key = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("n"))
-    now = staged(edges.select(F.col("a").cast(node_type), F.col("b").cast(node_type)).where("a <> b").distinct(), "edges")
+    now = settled(edges.select(F.col("a").cast(node_type), F.col("b").cast(node_type)).where("a <> b").distinct(), "edges")
     maps: list[DataFrame] = []
     while left := now.count():
         if left <= few:
-            maps.append(staged(now.coalesce(1).mapInArrow(_rooted, f"node {node_type}, to {node_type}"), "step"))
+            maps.append(settled(now.coalesce(1).mapInArrow(_rooted, f"node {node_type}, to {node_type}"), "step"))
             break
         ways = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         best = ways.groupBy("a").agg(F.min(key("b")).alias("m"))
         up = F.when(F.col("m") < key("a"), F.col("m.n")).otherwise(F.col("a"))
-        step = staged(best.select(F.col("a").alias("node"), up.alias("to")), "step")
+        step = settled(best.select(F.col("a").alias("node"), up.alias("to")), "step")
         maps.append(step)
         to_a, to_b = step.select(F.col("node").alias("a"), F.col("to").alias("a2")), step.select(F.col("node").alias("b"), F.col("to").alias("b2"))
         new = now.join(to_a, "a").join(to_b, "b").where("a2 <> b2")
-        now = staged(new.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), "edges")
+        now = settled(new.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), "edges")
     if not maps:
         return spark.createDataFrame([], f"node {node_type}, root {node_type}")
     out = maps[-1].select("node", F.col("to").alias("root"))
     for step in reversed(maps[:-1]):
         later = out.select(F.col("node").alias("to"), F.col("root").alias("_r"))
-        out = staged(step.join(later, "to", "left").select("node", F.coalesce("_r", "to").alias("root")), "roots")
+        out = settled(step.join(later, "to", "left").select("node", F.coalesce("_r", "to").alias("root")), "roots")
     return out
 
 

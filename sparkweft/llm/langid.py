@@ -128,11 +128,14 @@ def train(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["label", "x"])
 
     rows = drawn.mapInArrow(common.tidy(run), "label string, x binary").toArrow()
-    labels, raw = rows["label"].to_pylist(), rows["x"].combine_chunks()
-    x = np.frombuffer(b"".join(y.as_buffer() for y in raw), np.float16).reshape(-1, FEATURES)
-    order = sorted(range(len(labels)), key=lambda i: (labels[i], zlib.crc32(x[i])))  # whatever the order of the rows
+    # The driver holds the rows once as they came and once as a matrix.
+    labels, raw = rows["label"].to_pylist(), [y.as_buffer() for y in rows["x"]]
+    order = sorted(range(len(labels)), key=lambda i: (labels[i], zlib.crc32(raw[i])))  # whatever the order of the rows
+    x = np.empty((len(raw), FEATURES), np.float32)
+    for k, i in enumerate(order):
+        x[k] = np.frombuffer(raw[i], np.float16)
     del rows, raw
-    model = fit(x[order].astype(np.float32), [labels[i] for i in order])
+    model = fit(x, [labels[i] for i in order])
     del x
     common.give_back()
     return model

@@ -81,6 +81,7 @@ class Runs:
         self.made += 1
         table = f"{self.name}_{self.made}"
         rows.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").saveAsTable(table)
+        common.let_go(self.spark)
         return table
 
     def _drop(self, tables: list[str]) -> None:

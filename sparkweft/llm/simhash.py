@@ -465,7 +465,7 @@ def set_links(held: DataFrame, distinct: DataFrame, docs: DataFrame) -> DataFram
     # Their texts are found by a map of ids, of fixed size, without a shuffle; their sets by one of hashes.
     some = common.maybe_in(docs, "doc_id", left, "first", "may").where("may")
     sets = common.maybe_in(_sets(some, prefix=False), "fp", left, "fp", "may").where("may").drop("may")
-    sets = _one_of_each(common.settled(sets, "sets"))
+    sets = common.settled(_one_of_each(common.settled(sets, "sets")), "distinct_sets")  # every confirmation reads them
     keyed = common.settled(_keyed(sets), "keyed")  # here n is the set's row number
     maps = [f"m{i}" for i in range(MAPS)]
     facts = keyed.select("n", "size", *[F.col("maps")[i].alias(m) for i, m in enumerate(maps)])
