@@ -215,7 +215,8 @@ def links(distinct: DataFrame, blocks: int, most: int, split: int = SPLIT) -> Da
 
     tasks = distinct.count() * comb(blocks, agree) // TASK_KEYS
     dealt = distinct.select("n", "fp").repartition(max(tasks + 1, distinct.sparkSession.sparkContext.defaultParallelism))
-    keyed = dealt.mapInArrow(keys, "n bigint, keys array<bigint>").select("n", F.posexplode("keys").alias("choice", "key"))
+    # Written, as it is read twice, and as a stage with both this and deal() would need two Python workers a core; these stay and load what later stages use.
+    keyed = common.staged(dealt.mapInArrow(common.tidy(keys), "n bigint, keys array<bigint>"), "block_keys").select("n", F.posexplode("keys").alias("choice", "key"))
     # Counts are combined before the shuffle, and the join with them may be split: no bucket is one task's.
     sizes = common.staged(keyed.groupBy("choice", "key").agg(F.count("*").alias("m")).where("m > 1"), "buckets")
     met = keyed.join(sizes, ["choice", "key"])
